@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prospectrum.llm import quality_rules
+from prospectrum.llm import quality_rules, simhash
 from prospectrum.llm.common import table
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), statistics=True)
 
 
 QUERIES = {
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 
