@@ -19,3 +19,35 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(s.body, '') EN
   CAST(coalesce(s.lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(s.removed, 0) AS BIGINT) AS n_removed_lines, CAST(coalesce(s.chunks, 0) AS BIGINT) AS n_removed_chunks
 FROM documents d LEFT JOIN s USING (doc_id)
 """
+
+#: Bisected exponents, quotas and the prefix of each source's permutations.
+MIXING = r"""
+WITH RECURSIVE n AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n FROM documents),
+t AS (SELECT source, sum(n)::BIGINT AS tokens, count(*) AS docs FROM n GROUP BY source),
+one AS (SELECT list(source ORDER BY source NULLS FIRST) AS s, list(tokens::DOUBLE ORDER BY source NULLS FIRST) AS t, sum(tokens)::DOUBLE AS total,
+        floor(sum(tokens) * 0.5) AS budget, ln(count(*)::DOUBLE) * 0.95 AS goal FROM t WHERE tokens > 0),
+step AS (
+  SELECT 0 AS k, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0.0::DOUBLE AS lo2, 1.0::DOUBLE AS hi2
+  UNION ALL
+  SELECT k + 1, CASE WHEN h >= goal THEN m ELSE lo END, CASE WHEN h >= goal THEN hi ELSE m END,
+         CASE WHEN r <= 4.0 THEN lo2 ELSE m2 END, CASE WHEN r <= 4.0 THEN m2 ELSE hi2 END
+  FROM (SELECT k, lo, hi, lo2, hi2, goal, (lo + hi) / 2 AS m, (lo2 + hi2) / 2 AS m2,
+      (SELECT -sum(w * ln(w)) FROM (SELECT x / sum(x) OVER () AS w FROM (SELECT unnest(list_transform(t, lambda v: pow(v / total, (lo + hi) / 2))) AS x))) AS h,
+      (SELECT max(w * budget / tt) FROM (SELECT x / sum(x) OVER () AS w, tt FROM (SELECT unnest(list_transform(t, lambda v: pow(v / total, (lo2 + hi2) / 2))) AS x, unnest(t) AS tt))) AS r
+    FROM step, one WHERE k < 50)),
+ends AS (
+  SELECT one.*, lo, hi2,
+    (SELECT -sum(x / total * ln(x / total)) FROM (SELECT unnest(t) AS x)) AS h1, budget / len(t) / list_min(t) AS r0
+  FROM one, step WHERE k = 50),
+e AS (SELECT *, greatest(CASE WHEN h1 >= goal THEN 1.0 ELSE lo END, CASE WHEN r0 <= 4.0 THEN 0.0 ELSE hi2 END) AS a FROM ends),
+w AS (SELECT source, tokens, budget, x / sum(x) OVER () AS w FROM (
+  SELECT unnest(s) AS source, unnest(t) AS tokens, budget, unnest(list_transform(t, lambda v: pow(v / total, a))) AS x FROM e)),
+q AS (SELECT w.source, w.tokens, round(w, 9) AS weight, CAST(round(w * budget) AS BIGINT) AS quota, CAST(greatest(1, ceil(t.docs / 1024)) AS BIGINT) AS blocks,
+      CAST(ceil(round(w * budget) / w.tokens) AS BIGINT) AS epochs FROM w JOIN t ON w.source IS NOT DISTINCT FROM t.source),
+d AS (SELECT n.doc_id, n.source, n.n, weight, quota, tokens, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % blocks AS block,
+      unnest(generate_series(0, epochs - 1)) AS epoch FROM n JOIN q ON n.source IS NOT DISTINCT FROM q.source WHERE quota > 0),
+p AS (SELECT *, epoch * tokens + coalesce(sum(n) OVER (PARTITION BY source, epoch ORDER BY md5(epoch || '|' || coalesce(source, '') || '|' || block), block,
+      md5(epoch || '|' || coalesce(doc_id::VARCHAR, '')), doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
+SELECT doc_id, source, weight, n AS n_tokens, epoch, CAST(start AS BIGINT) AS start FROM p WHERE start + n <= quota
+"""

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectrum.llm import line_dedup, oracles, quality_rules, simhash
+from prospectrum.llm import line_dedup, mixing, oracles, quality_rules, simhash
 from prospectrum.llm.common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all words, drawn at 95 % of the largest entropy, at most 4 epochs."""
+    return mixing.schedule(table(spark, sf_dir, "documents"), budget=0.5, entropy=0.95, max_repeats=4.0)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text after line dedup, with what went."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -25,11 +30,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_mixing": oracles.MIXING,
     "op2_line_dedup": oracles.LINE_DEDUP,
 }
