@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectrum.llm import line_dedup, mixing, oracles, packing, quality_rules, simhash
-from prospectrum.llm.common import table
+from prospectrum.llm import language_id, line_dedup, mixing, oracles, packing, quality_rules, simhash
+from prospectrum.llm.common import crc_mod, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    filters = language_id.fit(docs, crc_mod("doc_id", 5) != 0)
+    return language_id.identify(docs, filters).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), statistics=True)
 
@@ -38,6 +44,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op9_quality_rules": op9_quality_rules,
 }
 
