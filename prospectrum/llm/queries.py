@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectrum.llm import language_id, line_dedup, mixing, oracles, packing, quality_classifier, quality_rules, simhash
+from prospectrum.llm import language_id, line_dedup, mixing, oracles, packing, quality_classifier, quality_rules, simhash, toxicity
 from prospectrum.llm.common import crc_mod, table
 
 
@@ -46,6 +46,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), statistics=True)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, crc_mod("doc_id", 3) != 1)
+    held_out, predicted = crc_mod("doc_id", 3) == 1, (F.col("score") >= 0.7).cast("int")
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
@@ -54,6 +61,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op9_quality_rules": op9_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
