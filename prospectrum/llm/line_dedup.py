@@ -100,41 +100,50 @@ def _hashed(lines: Column) -> Column:
 
 
 def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, digest of the text, array of first lines): the chunks that go."""
-    base = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).where("__key is not null and __text is not null")
-    whole = base.select("__key", F.md5(F.col("__text").cast("binary")).alias("__doc"), "__text")
+    """(__key, __doc, want): by document, its chunks whose digest repeats, each
+    with whether it is the one that stays. __doc is the text's digest."""
+    whole = docs.select(F.col(key).alias("__key"), _doc(text), F.col(text).alias("__text")).where("__key is not null and __text is not null")
     hashed = whole.select("__key", "__doc", F.explode(_let(_lines("__text"), _hashed)).alias("c"))
-    hashed = hashed.select("c.h", "__key", "__doc", "c.first", "c.last")
-    rows = written(hashed, "chunks")
+    rows = written(hashed.select("c.h", "__key", "__doc", "c.first", "c.last"), "chunks")
     place = F.struct("__key", "__doc", "first")
     groups = rows.groupBy("h").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where("keeper <> other").select("h", "keeper")
-    groups = written(groups, "repeated-chunks")
-    wanted = rows.join(groups, "h").select("h", "__key", "__doc", "first", "last", (F.col("keeper") == place).alias("kept"))
-    by_doc = written(wanted.distinct().groupBy("__key", "__doc").agg(F.collect_list(F.struct("h", "first", "last", "kept")).alias("want")), "wanted")
-    met = whole.join(by_doc, ["__key", "__doc"])
-    bytes_of = _let(_lines("__text"), lambda x: F.transform("want", lambda c: F.struct(c["h"].alias("h"), c["first"].alias("first"), c["kept"].alias("kept"), F.array_join(_of(x, c), "\n").alias("bytes"))))
-    texts = met.select("__key", "__doc", F.explode(bytes_of).alias("c")).select("c.h", "__key", "__doc", "c.first", "c.kept", "c.bytes")
-    texts = written(texts.distinct(), "chunk-texts")
-    keepers = texts.where("kept").select("h", F.col("bytes").alias("kept_bytes"))
-    gone = texts.where("not kept").join(keepers, "h").where(F.col("bytes") == F.col("kept_bytes"))
-    return gone.groupBy("__key", "__doc").agg(F.collect_set("first").alias("gone"))
+    wanted = rows.join(written(groups, "repeated-chunks"), "h").select("__key", "__doc", F.struct("h", "first", "last", (F.col("keeper") == place).alias("kept")).alias("c"))
+    return wanted.groupBy("__key", "__doc").agg(F.collect_set("c").alias("want"))
+
+
+def _doc(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text).cast("binary"))).alias("__doc")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool = False) -> DataFrame:
     """docs with the repeated chunks cut out of text; report adds n_lines,
     n_removed_lines and n_removed_chunks."""
-    gone = written(repeated_chunks(docs, key, text), "removed-chunks")
-    marked = docs.withColumns({"__key": F.col(key), "__doc": F.md5(F.col(text).cast("binary"))}).join(gone, ["__key", "__doc"], "left")
+    want = written(repeated_chunks(docs, key, text), "wanted-chunks")
+    # the only move of the texts: to the lists of their own chunks, which grow with the input
+    met = docs.withColumns({"__key": F.col(key), "__doc": _doc(text)}).join(want.hint("merge"), ["__key", "__doc"], "left")
+    met = written(met.select("__key", "__doc", "want", *docs.columns), "texts-and-chunks")
+
+    bytes_of = _let(_lines(text), lambda x: F.transform("want", lambda c: F.struct(c["h"].alias("h"), c["first"].alias("first"), c["kept"].alias("kept"), F.array_join(_of(x, c), "\n").alias("bytes"))))
+    texts = met.where("want is not null").select("__key", "__doc", F.explode(bytes_of).alias("c")).select("__key", "__doc", "c.*")
+    variants = texts.groupBy("h", "bytes").agg(F.max("kept").alias("kept"))
+    unlike = written(variants.where("not kept").select("h", "bytes"), "unlike-chunks")  # same digest, other bytes
+    differs = F.array().cast("array<int>")
+    if not unlike.isEmpty():
+        spared = texts.join(unlike, ["h", "bytes"]).groupBy("__key", "__doc").agg(F.collect_set("first").alias("__spared"))
+        met, differs = met.join(spared, ["__key", "__doc"], "left"), F.coalesce("__spared", differs)
+
+    gone = F.transform(F.filter("want", lambda c: ~c["kept"]), lambda c: c["first"])
+    met = met.withColumn("__gone", F.array_except(gone, differs))
 
     def what_is_left(lines: Column) -> Column:
-        stay = F.filter(_chunks(lines), lambda c: ~F.array_contains("gone", c["first"]))
+        stay = F.filter(_chunks(lines), lambda c: ~F.array_contains("__gone", c["first"]))
         return F.flatten(F.transform(stay, lambda c: _of(lines, c)))
 
-    left = F.when(F.col("gone").isNotNull(), F.struct(_let(_lines(text), what_is_left).alias("lines")))
-    cut = marked.withColumn("__left", left)
-    new = F.when(F.col("gone").isNull(), F.col(text)).otherwise(F.array_join("__left.lines", "\n"))
+    some = F.col("__gone").isNotNull() & (F.size("__gone") > 0)
+    cut = met.withColumn("__left", F.when(some, F.struct(_let(_lines(text), what_is_left).alias("lines"))))
+    new = F.when(some, F.array_join("__left.lines", "\n")).otherwise(F.col(text))
     out = [new.alias(c) if c == text else F.col(c) for c in docs.columns]
     if report:
-        n = F.coalesce(F.size(_lines(text)), F.lit(0))
-        out += [n.cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(n - F.size("__left.lines")).cast("long").alias("n_removed_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_chunks")]
+        n = F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(text)))
+        out += [n.cast("long").alias("n_lines"), F.when(some, n - F.size("__left.lines")).otherwise(0).cast("long").alias("n_removed_lines"), F.when(some, F.size("__gone")).otherwise(0).cast("long").alias("n_removed_chunks")]
     return cut.select(*out)
