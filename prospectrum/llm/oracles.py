@@ -51,3 +51,26 @@ p AS (SELECT *, epoch * tokens + coalesce(sum(n) OVER (PARTITION BY source, epoc
       md5(epoch || '|' || coalesce(doc_id::VARCHAR, '')), doc_id, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
 SELECT doc_id, source, weight, n AS n_tokens, epoch, CAST(start AS BIGINT) AS start FROM p WHERE start + n <= quota
 """
+
+#: Lines of ten words or more that an earlier document or line has.
+SUBSTRING_DEDUP = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit
+  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+      list_aggregate(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'), 'string_agg', ' ') AS body, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+f AS (SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit FROM o WHERE n >= 10 WINDOW w AS (PARTITION BY body ORDER BY doc_id, unit))
+SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS BIGINT) AS start, CAST(start + length(line) AS BIGINT) AS "end", CAST(n AS INTEGER) AS n_words,
+  kept_doc_id, CAST(kept_unit AS INTEGER) AS kept_unit
+FROM f WHERE kept_doc_id <> doc_id OR kept_unit <> unit
+"""
+
+#: Brute force over sign bits: every query against all other vectors.
+TOP_K = r"""
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
+      CAST(list_sum(list_transform(list_zip(q.bits, v.bits), lambda p: CASE WHEN p[1] <> p[2] THEN 1 ELSE 0 END)) AS BIGINT) AS distance
+      FROM c q JOIN c v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
+SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectrum.llm import language_id, line_dedup, mixing, oracles, packing, quality_classifier, quality_rules, simhash, toxicity
+from prospectrum.llm import language_id, line_dedup, mixing, oracles, packing, quality_classifier, quality_rules, simhash, substring_dedup, topk_search, toxicity
 from prospectrum.llm.common import crc_mod, table
 
 
@@ -42,6 +42,16 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, filters).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removals(table(spark, sf_dir, "documents"))
+
+
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten neighbours of every vector whose id is divisible by 20."""
+    codes = topk_search.sign_codes(table(spark, sf_dir, "embeddings"))
+    return topk_search.top_k(codes, codes.where("id % 20 = 0"), 10)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), statistics=True)
 
@@ -60,6 +70,8 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_topk_search": op8_topk_search,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
 }
@@ -67,4 +79,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_mixing": oracles.MIXING,
     "op2_line_dedup": oracles.LINE_DEDUP,
+    "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op8_topk_search": oracles.TOP_K,
 }
