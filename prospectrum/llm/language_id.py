@@ -123,10 +123,16 @@ def has_letter(b: TextBlock) -> np.ndarray:
 
 
 def sampled(rows: DataFrame, key: str, label: str, each: int) -> DataFrame:
-    """Up to ``each`` rows of every label, by the order of a hash of the key.
-    Only keys and labels are dealt, and each task passes on so many at most."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.col(key).cast("string")), key)
-    return rows.select(key, label).where(F.col(label).isNotNull() & F.col(key).isNotNull()).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= each).drop("__n")
+    """The ``each`` rows of every label that come first by a hash of the key.
+
+    A label's count tells below which hash they lie (four times as many as
+    wanted are let through), so a frequent label sends few rows to its task.
+    """
+    known = rows.select(key, label).where(F.col(label).isNotNull() & F.col(key).isNotNull()).withColumn("__h", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40)))
+    counts = known.groupBy(label).agg(F.count("*").alias("__n"))
+    near = known.join(counts, label).where(F.col("__h") * F.col("__n") <= float(4 * each + 100) * (1 << 40))
+    order = Window.partitionBy(label).orderBy("__h", key)
+    return near.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= each).select(key, label)
 
 
 def fit(docs: DataFrame, training: Column, key: str = "doc_id", label: str = "lang", sample_docs: int = SAMPLE_DOCS, min_share: float = MIN_SHARE, bits: int = TABLE_BITS) -> LanguageFilters:

@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 from prospectrum.llm.common import written
 from prospectrum.llm.textblock import blocks
 
-CAPACITY, END_ID, BLOCK_PIECES = 1024, 2, 1 << 16
+CAPACITY, END_ID, BLOCK_PIECES = 1024, 2, 1 << 12
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
