@@ -110,3 +110,21 @@ BUSINESS_PATTERN = (
 )
 EMAIL_PATTERN = r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
 PHONE_PATTERN = r"\+?\d[\d\s().-]{7,}\d"
+
+# What each role may do.
+ALL_ROLES = ["ADMIN", "MANAGER", "SALES_REP"]
+PERMISSIONS = {
+    "search:create": ALL_ROLES,
+    "search:read": ALL_ROLES,
+    "campaign:create": ALL_ROLES,
+    "campaign:read": ALL_ROLES,
+    "campaign:send": ALL_ROLES,
+    "campaign:delete": ALL_ROLES,
+    "outreach:generate": ALL_ROLES,
+    "analytics:read": ["ADMIN", "MANAGER"],
+    "user:manage": ["ADMIN"],
+    "org:services:edit": ["ADMIN"],
+    "refresh:manage": ALL_ROLES,
+    "saved-search:read": ALL_ROLES,
+    "saved-search:write": ALL_ROLES,
+}

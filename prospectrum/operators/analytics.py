@@ -174,3 +174,26 @@ def crawl_status(pages: DataFrame, *by: str) -> DataFrame:
     ok = F.count_if(F.col("error").isNull() & (F.length("content_text") > 0))
     status = F.when(ok == 0, "failed").when(ok == F.count("*"), "success").otherwise("partial")
     return pages.groupBy(*by).agg(F.count("*").alias("attempted"), ok.alias("succeeded"), status.alias("status"))
+
+
+def outcome_totals(results: DataFrame, *by: str) -> DataFrame:
+    """Sums of the leads' outcomes and the failures that they report.
+
+    A lead that failed counts as removed, and then neither as crawled nor as
+    extracted, whatever was done to it before.
+    """
+    stage, error = F.col("stage"), F.coalesce("stage_error", F.lit(""))
+    through = lambda stages: F.count_if(stage.isin([s for s in stages if s not in FAILED_STAGES]))
+    said = F.collect_set(F.when(error != "", F.concat_ws(":", F.col("company_id").cast("string"), error)))
+    return results.groupBy(*by).agg(through(CRAWLED_STAGES).alias("crawled"), through(EXTRACTED_STAGES).alias("extracted"), through(["ENRICHED"]).alias("enriched"), F.count_if(stage.isin(FAILED_STAGES)).alias("removed"), F.sort_array(said).alias("failures"))
+
+
+def channel_label(channel: Column | str) -> Column:
+    """the channel's name; an unknown one stays."""
+    names = F.create_map(*[F.lit(x) for pair in CHANNEL_LABEL.items() for x in pair])
+    return F.coalesce(names[F.col(channel)], F.col(channel))
+
+
+def engagement_label(channel: Column | str) -> Column:
+    """what an opened message is called."""
+    return F.when(F.col(channel) == "WHATSAPP", "Read").otherwise("Opened")

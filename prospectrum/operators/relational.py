@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from prospectrum.constants import PERMISSIONS
+
 
 def where_all(rows: DataFrame, *predicates: Column | None) -> DataFrame:
     """The predicates that are given, all of them."""
@@ -100,3 +102,14 @@ def budgeted_prefix(pages: DataFrame, key: str, order: list[Column], size: str,
     over = (so_far + F.col(size) + gap > budget).cast("int")
     marked = pages.withColumn("__over", over)
     return marked.withColumn("__ended", F.max("__over").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__ended = 0").drop("__over", "__ended")
+
+
+def deficit_slice(rows: DataFrame, keys: list[str], order: list[Column], limit: Column, done: Column) -> DataFrame:
+    """Of each key's rows, in order, as many as are lacking to the limit."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("__n", place).where(F.col("__n") <= F.greatest(F.lit(0), limit - done)).drop("__n")
+
+
+def has_permission(role: str, what: str) -> Column:
+    """V5: whether a role may do something."""
+    return F.col(role).isin(PERMISSIONS[what])

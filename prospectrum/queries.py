@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from prospectrum.constants import ACTIVE_JOBS, BLOCKED_DOMAINS, CRAWL_PATHS, SIGNAL_WEIGHT
 from prospectrum.functions import contacts, profiles, text, urls
 from prospectrum.operators import analytics, documents, entity, relational
+from prospectrum.plans import search
+from prospectrum.sources import ports
 from prospectrum.sources.views import oracle, view
 from prospectrum.streaming import delivery
 
@@ -664,7 +666,7 @@ def _(v: Views) -> DataFrame:
 @query(
     "f22_phones",
     """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN concat('+358 40 ', substr(d, 1, 3), ' ', substr(d, 4)) WHEN 1 THEN concat('(415) ', substr(d, 1, 3), '-', substr(d, 4)) END AS phone,
-         CASE c_custkey % 4 WHEN 0 THEN concat('+35840', d) WHEN 1 THEN concat('+415', d) END AS e164 FROM (SELECT c_custkey, (2000000 + c_custkey * 7919 % 7000000)::STRING AS d FROM {customer}) WHERE NOT regexp_matches(d, '^([0-9])\\1*$') """.replace("WHERE NOT regexp_matches(d, '^([0-9])\\\\1*$') ", ""),
+         CASE c_custkey % 4 WHEN 0 THEN concat('+35840', d) WHEN 1 THEN concat('+415', d) END AS e164 FROM (SELECT c_custkey, (2000000 + c_custkey * 7919 % 7000000)::STRING AS d FROM {customer})""",
 )
 def _(v: Views) -> DataFrame:
     k, d = F.col("c_custkey") % 4, (2000000 + F.col("c_custkey") * 7919 % 7000000).cast("string")
@@ -684,7 +686,7 @@ PROFILE_JSON = """concat('{"companyName":"', p_name, '","description":"', repeat
 
 
 def profile_rows(v: Views) -> DataFrame:
-    rows = v.part.sparkSession.sql(f"SELECT p_partkey, {PROFILE_JSON} AS json FROM {{part}}", part=v.part)
+    rows = v.part.selectExpr("p_partkey", f"{PROFILE_JSON} AS json")
     return rows.select("p_partkey", profiles.whole(profiles.parsed(F.col("json"))).alias("p"))
 
 
@@ -802,3 +804,221 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     rows = v.recipients.join(v.campaigns.select("campaign_id", "channel"), "campaign_id").withColumn("place", F.struct("line", "part_id", "company_id"))
     return delivery.send_times(rows, order="place").select("campaign_id", "company_id", "part_id", "line", "delay_ms")
+
+
+# --- more of the same families ---------------------------------------------------
+
+
+@query("j5_lead_profiles", f"SELECT job_id, company_id, part_id, line, c.domain, p.version FROM {{results}} r JOIN {{jobs}} j USING (job_id) JOIN {{companies}} c USING (company_id) JOIN ({LATEST}) p USING (company_id) WHERE j.user_id = 12")
+def _(v: Views) -> DataFrame:
+    mine = v.results.join(v.jobs.where("user_id = 12").select("job_id"), "job_id")
+    return relational.leads(mine, v.companies, v.profiles).where("version IS NOT NULL").select("job_id", "company_id", "part_id", "line", "domain", "version")
+
+
+@query("j8_domain_lookup", f"SELECT n.domain, n.name AS given_name, c.company_id FROM ({BATCH}) n LEFT JOIN {{companies}} c ON c.domain = n.domain")
+def _(v: Views) -> DataFrame:
+    batch = v.nation.sparkSession.sql(BATCH, nation=v.nation)
+    return batch.withColumnRenamed("name", "given_name").join(v.companies.select("domain", "company_id"), "domain", "left").select("domain", "given_name", "company_id")
+
+
+@query("j10_missing_links", "SELECT DISTINCT user_id, organization_id FROM {campaigns} c WHERE NOT EXISTS (SELECT 1 FROM {jobs} j WHERE j.user_id = c.user_id AND j.status = 'COMPLETED')")
+def _(v: Views) -> DataFrame:
+    done = v.jobs.where("status = 'COMPLETED'").select("user_id")
+    return v.campaigns.join(done, "user_id", "left_anti").select("user_id", "organization_id").distinct()
+
+
+@query(
+    "a13_outcome_totals",
+    f"""SELECT job_id, {_count("stage", "CRAWLED", "EXTRACTING", "EXTRACTED", "ENRICHING", "ENRICHED")} AS crawled, {_count("stage", "EXTRACTED", "ENRICHING", "ENRICHED")} AS extracted, {_count("stage", "ENRICHED")} AS enriched,
+        {_count("stage", "CRAWL_FAILED", "EXTRACT_FAILED", "ENRICH_FAILED")} AS removed, coalesce(string_agg(DISTINCT CASE WHEN stage_error <> '' THEN concat(CAST(company_id AS STRING), ':', stage_error) END, ',' ORDER BY CASE WHEN stage_error <> '' THEN concat(CAST(company_id AS STRING), ':', stage_error) END), '') AS failures FROM {{results}} GROUP BY job_id""",
+)
+def _(v: Views) -> DataFrame:
+    return analytics.outcome_totals(v.results, "job_id").withColumn("failures", F.array_join("failures", ","))
+
+
+@query("a14_next_versions", "SELECT company_id, CAST(max(version) + 1 AS INTEGER) AS next_version FROM {profiles} GROUP BY company_id")
+def _(v: Views) -> DataFrame:
+    return v.profiles.groupBy("company_id").agg((F.max("version") + 1).cast("int").alias("next_version"))
+
+
+@query("o4_user_pages", "SELECT user_id, count(*) AS total_items, CAST(ceil(count(*) / 7.0) AS BIGINT) AS total_pages FROM {jobs} GROUP BY user_id")
+def _(v: Views) -> DataFrame:
+    return v.jobs.groupBy("user_id").agg(F.count("*").alias("total_items"), relational.total_pages(F.count("*"), 7).alias("total_pages"))
+
+
+@query("o10_deficit_slices", "SELECT job_id, company_id, part_id, line FROM (SELECT r.*, company_limit, row_number() OVER (PARTITION BY job_id ORDER BY part_id, company_id, line) AS n FROM {results} r JOIN {jobs} j USING (job_id)) WHERE n <= greatest(0, company_limit - 2)")
+def _(v: Views) -> DataFrame:
+    rows = v.results.join(v.jobs.select("job_id", "company_limit"), "job_id")
+    return relational.deficit_slice(rows, ["job_id"], [F.col("part_id"), F.col("company_id"), F.col("line")], F.col("company_limit"), F.lit(2)).select("job_id", "company_id", "part_id", "line")
+
+
+@query("u1_joined_turns", "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn, role)) AS body, count(*) AS turns FROM conversations GROUP BY conv_id")
+def _(v: Views) -> DataFrame:
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: x["text"])
+    return v.conversations.groupBy("conv_id").agg(F.md5(F.array_join(parts, "\n\n").cast("binary")).alias("body"), F.count("*").alias("turns"))
+
+
+@query("u4_united_lists", "SELECT p_partkey, CASE WHEN lower(p_brand) = lower(p_type) THEN p_brand ELSE concat(p_brand, '|', p_type) END AS united FROM {part}")
+def _(v: Views) -> DataFrame:
+    lists = F.concat(F.array("p_brand", F.lit(" ")), F.array(F.lower("p_brand"), F.col("p_type"), F.upper("p_brand")))
+    return v.part.select("p_partkey", F.array_join(text.distinct_strings(lists), "|").alias("united"))
+
+
+@query(
+    "f8_display_values",
+    "SELECT company_id, coalesce(name, domain) AS shown, coalesce(name, '—') AS value, CASE WHEN crawled_day IS NULL THEN '—' ELSE concat(CAST(floor(crawled_day / 50.0 * 100 + 0.5) AS BIGINT)::STRING, '%') END AS percent FROM {companies}",
+)
+def _(v: Views) -> DataFrame:
+    percent = text.percent_label(F.col("crawled_day") / F.lit(50.0))
+    return v.companies.select("company_id", text.display_name(F.lit(None).cast("string"), "name", "domain").alias("shown"), text.display_value("name").alias("value"), percent.alias("percent"))
+
+
+@query("f12_channel_labels", "SELECT campaign_id, CASE channel WHEN 'EMAIL' THEN 'Email' WHEN 'WHATSAPP' THEN 'WhatsApp' ELSE 'LinkedIn' END AS label, CASE channel WHEN 'WHATSAPP' THEN 'Read' ELSE 'Opened' END AS engagement FROM {campaigns}")
+def _(v: Views) -> DataFrame:
+    return v.campaigns.select("campaign_id", analytics.channel_label("channel").alias("label"), analytics.engagement_label("channel").alias("engagement"))
+
+
+@query(
+    "f15_prompt_content",
+    "SELECT doc_id, length(text) AS before, least(length(text), 500) AS after FROM documents WHERE NOT regexp_matches(lower(text), 'system|assistant|ignore|disregard|you are now|\"\"\"')",
+)
+def _(v: Views) -> DataFrame:
+    clean = v.documents.where(~F.lower("text").rlike('system|assistant|ignore|disregard|you are now|"""'))
+    return clean.select("doc_id", F.length("text").cast("long").alias("before"), F.length(text.prompt_content("text", 500)).cast("long").alias("after"))
+
+
+@query(
+    "f23_placeholder_phones",
+    "SELECT c_custkey, CASE c_custkey % 6 WHEN 5 THEN false ELSE true END AS placeholder FROM {customer}",
+)
+def _(v: Views) -> DataFrame:
+    k = F.col("c_custkey") % 6
+    digits = F.when(k == 0, "7777777777").when(k == 1, "3456789").when(k == 2, "1212121212").when(k == 3, "15550123").when(k == 4, "9876543210").otherwise("4915204017")
+    return v.customer.select("c_custkey", contacts.is_placeholder_digits(digits).alias("placeholder"))
+
+
+@query("f26_phone_digits", "SELECT c_custkey, concat('+358', lpad(CAST(c_custkey % 10000 AS STRING), 6, '4')) AS digits FROM {customer}")
+def _(v: Views) -> DataFrame:
+    raw = F.concat(F.lit(" +358 ("), F.substring(F.lpad((F.col("c_custkey") % 10000).cast("string"), 6, "4"), 1, 2), F.lit(") "), F.substring(F.lpad((F.col("c_custkey") % 10000).cast("string"), 6, "4"), 3, 4))
+    return v.customer.select("c_custkey", contacts.phone_digits(raw).alias("digits"))
+
+
+@query("f27_personal_links", "SELECT s_suppkey, s_suppkey % 3 = 0 AS personal FROM {supplier}")
+def _(v: Views) -> DataFrame:
+    k, n = F.col("s_suppkey") % 3, F.col("s_suppkey").cast("string")
+    link = F.when(k == 0, F.concat(F.lit("https://www.linkedin.com/in/jane"), n)).when(k == 1, F.concat(F.lit("https://linkedin.com/company/x"), n)).otherwise("not a url")
+    return v.supplier.select("s_suppkey", urls.is_personal_profile(link).alias("personal"))
+
+
+@query("f28_sanitized_contacts", "SELECT p_partkey, concat('info@acme', CAST(p_partkey % 7 AS STRING), '.fi') AS email, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'jane@acme.fi' END AS person_email FROM {part}")
+def _(v: Views) -> DataFrame:
+    rows = profile_rows(v).select("p_partkey", profiles.sanitized(F.col("p")).alias("p"))
+    return rows.select("p_partkey", "p.email", F.col("p.decisionMakerEmail").alias("person_email"))
+
+
+@query("f30_first_hints", "SELECT p_partkey % 20 AS company, min_by(CASE WHEN p_partkey % 3 = 0 THEN p_name END, CASE WHEN p_partkey % 3 = 0 THEN p_partkey END) AS email, min_by(CASE WHEN p_partkey % 5 = 1 THEN p_brand END, CASE WHEN p_partkey % 5 = 1 THEN p_partkey END) AS linkedin_url FROM {part} GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    hints = v.part.select((F.col("p_partkey") % 20).alias("company"), F.col("p_partkey").alias("place"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).alias("email"), F.when(F.col("p_partkey") % 5 == 1, F.col("p_brand")).alias("linkedin_url"))
+    return documents.first_hints(hints, "company", "place")
+
+
+@query("f32_personal_gaps", "SELECT p_partkey, p_partkey % 3 = 0 AS gap FROM {part}")
+def _(v: Views) -> DataFrame:
+    return profile_rows(v).select("p_partkey", profiles.has_personal_gap(F.col("p")).alias("gap"))
+
+
+@query("f34_eligible_leads", "SELECT s_suppkey, s_suppkey % 3 <> 0 AS eligible FROM {supplier}")
+def _(v: Views) -> DataFrame:
+    k = F.col("s_suppkey") % 3
+    json = F.when(k == 0, '{"companyName":"A","email":"x@example.com"}').when(k == 1, '{"companyName":"A","email":"info@acme.fi"}').otherwise('{"companyName":"A","decisionMaker":"Jane","decisionMakerLinkedInUrl":"https://linkedin.com/in/jane"}')
+    return v.supplier.select("s_suppkey", profiles.has_any_contact(profiles.whole(profiles.parsed(json))).alias("eligible"))
+
+
+@query("f36_stub_profiles", "SELECT s_suppkey, s_name AS company, concat(s_name, ' company') AS description, 'unknown' AS revenue, 0 AS products FROM {supplier}")
+def _(v: Views) -> DataFrame:
+    p = profiles.stub(F.col("s_name"), F.lit("logistics"), F.lit("Oulu"), F.lit("Finland"), F.lit("50-200"))
+    rows = v.supplier.select("s_suppkey", p.alias("p"))
+    return rows.select("s_suppkey", F.col("p.companyName").alias("company"), "p.description", "p.revenue", F.size("p.products").alias("products"))
+
+
+@query("f38_criteria", "SELECT o_orderkey, o_orderkey % 3 = 0 AS whole, o_orderkey % 3 < 2 AS loose FROM {orders}")
+def _(v: Views) -> DataFrame:
+    k = F.col("o_orderkey") % 3
+    json = F.when(k == 0, '{"industry":"a","location":null,"employeeRange":"1-5"}').when(k == 1, '{"industry":"a"}').otherwise("{}")
+    return v.orders.select("o_orderkey", ports.has_parsed_criteria(json).alias("whole"), ports.is_parsed_query(json).alias("loose"))
+
+
+@query("v1_profile_errors", "SELECT p_partkey, CASE WHEN p_partkey % 40 = 0 THEN 'description,estimatedCompanySize' ELSE 'estimatedCompanySize' END AS errors FROM {part} WHERE p_partkey % 2 = 0")
+def _(v: Views) -> DataFrame:
+    rows = v.part.where("p_partkey % 2 = 0").selectExpr("p_partkey", f"{PROFILE_JSON} AS json")
+    return rows.select("p_partkey", F.array_join(profiles.profile_errors(profiles.parsed(F.col("json"))), ",").alias("errors"))
+
+
+@query("v4_message_rules", "SELECT c.campaign_id, CASE WHEN channel = 'EMAIL' AND campaign_id % 2 = 0 THEN 'subject' WHEN channel <> 'EMAIL' AND campaign_id % 5 = 0 THEN 'bodyText' ELSE '' END AS errors FROM {campaigns} c")
+def _(v: Views) -> DataFrame:
+    subject, body = F.when(F.col("campaign_id") % 2 == 0, " ").otherwise("Hi"), F.when(F.col("campaign_id") % 5 == 0, "").otherwise("Hello")
+    return v.campaigns.select("campaign_id", F.array_join(profiles.message_errors(F.col("channel"), subject, body), ",").alias("errors"))
+
+
+@query("v5_permissions", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'ADMIN' WHEN 1 THEN 'MANAGER' ELSE 'SALES_REP' END AS role, c_custkey % 3 < 2 AS reads_analytics, c_custkey % 3 = 0 AS manages_users, true AS searches FROM {customer}")
+def _(v: Views) -> DataFrame:
+    k = F.col("c_custkey") % 3
+    rows = v.customer.select("c_custkey", F.when(k == 0, "ADMIN").when(k == 1, "MANAGER").otherwise("SALES_REP").alias("role"))
+    may = lambda what: relational.has_permission("role", what)
+    return rows.select("*", may("analytics:read").alias("reads_analytics"), may("user:manage").alias("manages_users"), may("search:create").alias("searches"))
+
+
+@query("m11_campaign_recipients", "SELECT 1 AS campaign_id, s_suppkey AS company_id, concat('jane', CAST(s_suppkey AS STRING), '@acme.fi') AS to_address FROM {supplier}")
+def _(v: Views) -> DataFrame:
+    address = F.concat(F.lit("jane"), F.col("s_suppkey").cast("string"), F.lit("@acme.fi"))
+    r = F.struct(address.alias("toAddress"), F.lit("Jane").alias("toName"), address.alias("toEmail"))
+    campaign = v.supplier.sparkSession.range(1).select(F.lit(1).alias("campaign_id"))
+    return entity.recipients_of(v.supplier.select(F.col("s_suppkey").alias("company_id"), r.alias("given")), F.col("given"), campaign).select("campaign_id", "company_id", "to_address")
+
+
+@query("s13_prompts", "SELECT s_suppkey, concat('Find ', s_name, ' in \"', s_nationkey::STRING, '\"') AS prompt FROM {supplier}")
+def _(v: Views) -> DataFrame:
+    return v.supplier.select("s_suppkey", ports.prompt('Find {{name}} in "{{place}}"', name="s_name", place=F.col("s_nationkey").cast("string")).alias("prompt"))
+
+
+@query("t5_stale", "SELECT job_id FROM {jobs} WHERE (status = 'PENDING' AND created_on < DATE '1997-01-01') OR (status IN ('DISCOVERING', 'CRAWLING', 'EXTRACTING', 'ENRICHING') AND created_on < DATE '1995-01-01')")
+def _(v: Views) -> DataFrame:
+    return relational.stale_jobs(v.jobs, "1997-01-01", "1995-01-01", "created_on", "created_on", ACTIVE_JOBS).select("job_id")
+
+
+@query(
+    "t6_next_runs",
+    "SELECT s_nationkey AS user_id, s_suppkey AS company_id, CASE WHEN s_suppkey % 4 = 0 THEN '2024-01-05' ELSE CAST(CAST(DATE '2024-01-31' + CAST(7 + s_suppkey % 84 AS INTEGER) AS DATE) AS STRING) END AS next_run FROM {supplier}",
+)
+def _(v: Views) -> DataFrame:
+    rows = v.supplier.select(F.col("s_nationkey").alias("user_id"), F.col("s_suppkey").alias("company_id"), (7 + F.col("s_suppkey") % 84).cast("int").alias("interval_days"), F.lit("2024-01-05").cast("date").alias("next_run"), (F.col("s_suppkey") % 4 > 0).alias("ok"))
+    return delivery.rescheduled(rows, F.col("ok"), "2024-01-31").select("user_id", "company_id", F.col("next_run").cast("string"))
+
+
+@query("t7_started_campaigns", "SELECT campaign_id, CASE WHEN status = 'DRAFT' AND channel <> 'LINKEDIN' AND c.created_on <= DATE '1996-06-30' THEN 'RUNNING' ELSE status END AS status FROM {campaigns} c")
+def _(v: Views) -> DataFrame:
+    return delivery.started(v.campaigns, "created_on", "1996-06-30", ["EMAIL", "WHATSAPP"], "DRAFT").select("campaign_id", "status")
+
+
+def recorded_ports() -> search.Ports:
+    """Answers that stand in for a web search and a page's extraction."""
+
+    def discover(row: dict) -> list[dict]:
+        seen, job = set(filter(None, row["excluded"].split("\n"))), int(row["job_id"])
+        names = [(i, f"https://job{job}-{i}.fi") for i in range(1 + job % 6)]
+        return [{"companyName": f"Company {i}", "website": site, "confidence": 1 - i / 10} for i, site in names if site not in seen]
+
+    def enrich(row: dict) -> dict | None:
+        n = int(row["rank"])
+        if n % 5 == 4:
+            raise ValueError("timeout")
+        contact = {} if n % 5 == 3 else {"email": f"info@{row['company_id']}", "phone": "+358401234567"}
+        return {"companyName": row["name"], "description": "x" * 30, "industry": "logistics", "city": "Oulu", "country": "Finland", "decisionMaker": "Jane Doe", "services": ["a"]} | contact
+
+    return search.Ports(discover, enrich)
+
+
+@query("t10_searches")
+def _(v: Views) -> DataFrame:
+    jobs = v.jobs.where("status = 'PENDING'").select("job_id", F.lit("companies").alias("query"), F.lit("{}").alias("criteria"), (1 + F.col("job_id") % 4).alias("company_limit"))
+    return search.run_searches(jobs, recorded_ports())[1]

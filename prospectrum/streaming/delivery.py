@@ -158,6 +158,17 @@ def due(rows: DataFrame, when: str, now: str, order: list[Column], most: int, te
     return (ready if test is None else ready.where(test)).orderBy(*order).limit(most)
 
 
+def rescheduled(schedules: DataFrame, succeeded: Column, now: str) -> DataFrame:
+    """The next run moves by the interval, on success only."""
+    return schedules.withColumn("next_run", F.when(succeeded, F.date_add(F.lit(now).cast("date"), F.col("interval_days"))).otherwise(F.col("next_run")))
+
+
+def started(campaigns: DataFrame, when: str, now: str, channels: list[str], waiting: str = "SCHEDULED") -> DataFrame:
+    """Due campaigns run, if their channel is configured."""
+    ready = (F.col("status") == waiting) & (F.col(when) <= F.lit(now)) & F.col("channel").isin(channels)
+    return campaigns.withColumn("status", F.when(ready, "RUNNING").otherwise(F.col("status")))
+
+
 def send_times(recipients: DataFrame, channel: str = "channel", by: str = "campaign_id", order: str = "line") -> DataFrame:
     """The delay in ms at which each pending message of a campaign goes."""
     rates = F.create_map(*[F.lit(x) for pair in SEND_RATE_PER_MINUTE.items() for x in pair])
