@@ -76,8 +76,12 @@ def _chunks(lines: Column) -> Column:
     )
 
 
-def _lines(text: str) -> Column:
-    return F.split(F.col(text), "\n")
+def _lines(text: Column) -> Column:
+    return F.split(text, "\n")
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def _of(lines: Column, chunk: Column) -> Column:
@@ -91,7 +95,7 @@ def _hashed(lines: Column) -> Column:
         return _let(
             _of(lines, c),
             lambda x: F.struct(
-                F.unhex(F.md5(F.array_join(x, "\n").cast("binary"))).alias("h"), c["first"].alias("first"), c["last"].alias("last"),
+                digest(F.array_join(x, "\n")).alias("h"), c["first"].alias("first"), c["last"].alias("last"),
                 F.size(F.filter(x, lambda y: y.rlike(WORD))).alias("filled"),
             ),
         )
@@ -103,7 +107,7 @@ def repeated_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """(__key, __doc, want): by document, its chunks whose digest repeats, each
     with whether it is the one that stays. __doc is the text's digest."""
     whole = docs.select(F.col(key).alias("__key"), _doc(text), F.col(text).alias("__text")).where("__key is not null and __text is not null")
-    hashed = whole.select("__key", "__doc", F.explode(_let(_lines("__text"), _hashed)).alias("c"))
+    hashed = whole.select("__key", "__doc", F.explode(_let(_lines(F.col("__text")), _hashed)).alias("c"))
     rows = written(hashed.select("c.h", "__key", "__doc", "c.first", "c.last"), "chunks")
     place = F.struct("__key", "__doc", "first")
     groups = rows.groupBy("h").agg(F.min(place).alias("keeper"), F.max(place).alias("other")).where("keeper <> other").select("h", "keeper")
@@ -120,10 +124,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool
     n_removed_lines and n_removed_chunks."""
     want = written(repeated_chunks(docs, key, text), "wanted-chunks")
     # the only move of the texts: to the lists of their own chunks, which grow with the input
-    met = docs.withColumns({"__key": F.col(key), "__doc": _doc(text)}).join(want.hint("merge"), ["__key", "__doc"], "left")
-    met = written(met.select("__key", "__doc", "want", *docs.columns), "texts-and-chunks")
+    whole = docs.select(F.col(key).alias("__key"), _doc(text), F.struct(*docs.columns).alias("row"))
+    met = written(whole.join(want.hint("merge"), ["__key", "__doc"], "left"), "texts-and-chunks")
+    old = F.col("row")[text]
 
-    bytes_of = _let(_lines(text), lambda x: F.transform("want", lambda c: F.struct(c["h"].alias("h"), c["first"].alias("first"), c["kept"].alias("kept"), F.array_join(_of(x, c), "\n").alias("bytes"))))
+    bytes_of = _let(_lines(old), lambda x: F.transform("want", lambda c: F.struct(c["h"].alias("h"), c["first"].alias("first"), c["kept"].alias("kept"), F.array_join(_of(x, c), "\n").alias("bytes"))))
     texts = met.where("want is not null").select("__key", "__doc", F.explode(bytes_of).alias("c")).select("__key", "__doc", "c.*")
     variants = texts.groupBy("h", "bytes").agg(F.max("kept").alias("kept"))
     unlike = written(variants.where("not kept").select("h", "bytes"), "unlike-chunks")  # same digest, other bytes
@@ -140,10 +145,10 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", report: bool
         return F.flatten(F.transform(stay, lambda c: _of(lines, c)))
 
     some = F.col("__gone").isNotNull() & (F.size("__gone") > 0)
-    cut = met.withColumn("__left", F.when(some, F.struct(_let(_lines(text), what_is_left).alias("lines"))))
-    new = F.when(some, F.array_join("__left.lines", "\n")).otherwise(F.col(text))
-    out = [new.alias(c) if c == text else F.col(c) for c in docs.columns]
+    cut = met.withColumn("__left", F.when(some, F.struct(_let(_lines(old), what_is_left).alias("lines"))))
+    new = F.when(some, F.array_join("__left.lines", "\n")).otherwise(old)
+    out = [new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns]
     if report:
-        n = F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(text)))
+        n = F.when(old.isNull(), 0).otherwise(F.size(_lines(old)))
         out += [n.cast("long").alias("n_lines"), F.when(some, n - F.size("__left.lines")).otherwise(0).cast("long").alias("n_removed_lines"), F.when(some, F.size("__gone")).otherwise(0).cast("long").alias("n_removed_chunks")]
     return cut.select(*out)

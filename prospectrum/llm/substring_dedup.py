@@ -20,6 +20,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import md5
 
@@ -68,7 +69,9 @@ def removals(docs: DataFrame, key: str = "doc_id", separator: str = "\n", min_wo
 
 def remove(docs: DataFrame, key: str = "doc_id", separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the repeated units (and the separators after them)."""
-    gone = removals(docs, key, separator, min_words).groupBy(key).agg(F.collect_set("unit").alias("__gone")).withColumnRenamed(key, "__key")
-    left = F.filter(F.split("text", separator), lambda _, i: ~F.array_contains("__gone", i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(left, separator))
-    return docs.join(gone, F.col(key) == F.col("__key"), "left").select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    gone = removals(docs, key, separator, min_words).groupBy(F.col(key).alias("of")).agg(F.collect_set("unit").alias("gone"))
+    whole = docs.select(F.col(key).alias("of"), F.struct(*docs.columns).alias("row")).join(gone, "of", "left")
+    old = F.col("row")["text"]
+    left = F.filter(F.split(old, re.escape(separator)), lambda _, i: ~F.array_contains("gone", i))
+    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(left, separator))
+    return whole.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
