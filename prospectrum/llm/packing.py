@@ -6,8 +6,10 @@
    them, so the driver gets a histogram with that many numbers at most. Per
    bin, the largest length left is set, and a bitset dynamic program over the
    lengths still available finds the fullest feasible combination; it is
-   removed as often as its lengths last. The result is a list of patterns,
-   each with a number of bins.
+   removed as often as its lengths last. A few tokens of slack may count as
+   full, which saves short lengths for later; of several slacks that with the
+   fewest bins is taken. The result is a list of patterns, each with a number
+   of bins.
 3. Every piece gets its rank among the pieces of its length, from row numbers
    inside hash blocks and running counts of the blocks. Rank and length give
    pattern, bin and offset by binary search.
@@ -38,6 +40,8 @@ from prospectrum.llm.common import written
 from prospectrum.llm.textblock import blocks
 
 CAPACITY, END_ID, BLOCK_PIECES = 1024, 2, 1 << 12
+#: Free tokens that count as none while a bin is filled; each is tried.
+SLACKS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -84,21 +88,24 @@ def pieces(docs: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, end_i
     return docs.select(key, "text").mapInArrow(cut, schema)
 
 
-def fullest(left: dict[int, int], capacity: int) -> dict[int, int]:
+def fullest(left: dict[int, int], capacity: int, slack: int = 0) -> dict[int, int]:
     """The lengths (and how many of each) that fill a bin best, the largest
-    length left among them. left: lengths and counts, largest length first."""
+    length left among them. left: lengths and counts, largest length first.
+    A bin with no more than ``slack`` free is full enough: shorter lengths
+    then aren't tried, so that they are left for later bins."""
     anchor = next(iter(left))
     room = capacity - anchor
+    enough = max(0, room - slack)
     bits, mask, items = 1, (1 << (room + 1)) - 1, []
     for length, count in left.items():
         most = min(count - (length == anchor), room // length)
         take = 1
-        while most > 0 and not bits >> room & 1:
+        while most > 0 and not bits >> enough:
             take = min(take, most)
             items.append((length, take, bits))
             bits |= (bits << (take * length)) & mask
             most, take = most - take, 2 * take
-        if bits >> room & 1:
+        if bits >> enough:
             break
     goal, used = bits.bit_length() - 1, {anchor: 1}
     for length, take, before in reversed(items):
@@ -108,19 +115,27 @@ def fullest(left: dict[int, int], capacity: int) -> dict[int, int]:
     return used
 
 
-def minimum_bin_slack(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """(lengths in a bin, number of such bins): a packing of the histogram."""
-    left = {length: histogram[length] for length in sorted(histogram, reverse=True)}
-    patterns = []
-    while left:
-        used = fullest(left, capacity)
-        times = min(left[length] // n for length, n in used.items())
-        patterns.append((used, times))
-        for length, n in used.items():
-            left[length] -= n * times
-            if not left[length]:
-                del left[length]
-    return patterns
+def minimum_bin_slack(histogram: dict[int, int], capacity: int = CAPACITY, slacks: tuple[int, ...] = SLACKS) -> list[tuple[dict[int, int], int]]:
+    """(lengths in a bin, number of such bins): the packing of the histogram
+    with the fewest bins among those by the slacks given."""
+    best = None
+    for slack in slacks:
+        left = {length: histogram[length] for length in sorted(histogram, reverse=True)}
+        patterns, bins = [], 0
+        while left:
+            used = fullest(left, capacity, slack)
+            times = min(left[length] // n for length, n in used.items())
+            patterns.append((used, times))
+            bins += times
+            for length, n in used.items():
+                left[length] -= n * times
+                if not left[length]:
+                    del left[length]
+        if best is None or bins < best[0]:
+            best = bins, patterns
+        if best[0] * capacity - sum(k * n for k, n in histogram.items()) < capacity:
+            break  # no packing has fewer
+    return best[1]
 
 
 def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:

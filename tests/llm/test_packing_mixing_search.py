@@ -73,14 +73,15 @@ def test_packing_of_repeated_rows_and_null_keys(spark):
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 30), max_size=12))
 @settings(max_examples=150, deadline=None)
 def test_bin_slack_packs_all_and_fills_the_fullest_bin(histogram):
-    patterns = packing.minimum_bin_slack(histogram, 40)
-    used = defaultdict(int)
-    for bin_, times in patterns:
-        assert sum(n * k for n, k in bin_.items()) <= 40 and times > 0
-        for length, k in bin_.items():
-            used[length] += k * times
-    assert dict(used) == histogram
-    if histogram:  # the first bin is the fullest that holds the largest length
+    for slacks in (packing.SLACKS, (0,)):
+        patterns = packing.minimum_bin_slack(histogram, 40, slacks)
+        used = defaultdict(int)
+        for bin_, times in patterns:
+            assert sum(n * k for n, k in bin_.items()) <= 40 and times > 0
+            for length, k in bin_.items():
+                used[length] += k * times
+        assert dict(used) == histogram
+    if histogram:  # without slack, the first bin is the fullest that holds the largest length
         top, sums = max(histogram), {0}
         for length, count in histogram.items():
             sums = {s + length * k for s in sums for k in range(count - (length == top) + 1) if s + length * k <= 40 - top}
