@@ -152,6 +152,39 @@ def limited(requests: DataFrame, most: int, window_ms: int, key: str = "key", at
     return dealt.mapInArrow(scan, f"{key} {kind(key)}, {order} {kind(order)}, {at} {kind(at)}, allowed boolean, remaining int")
 
 
+class RateWindow(StatefulProcessor):
+    """T4 on a stream: when a key's window opened and how much of it is used."""
+
+    def __init__(self, most: int, window_ms: int):
+        self.most, self.window_ms = most, window_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.window = handle.getValueState("window", "opened long, used int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        opened, used = self.window.get() if self.window.exists() else (None, 0)
+        batch = pd.concat(list(rows)).sort_values(["at_ms", "request_id"])  # one micro-batch of one key
+        allowed, remaining = [], []
+        for at in batch.at_ms.tolist():
+            if opened is None or at - opened >= self.window_ms:
+                opened, used = at, 0
+            allowed.append(used < self.most)
+            used += allowed[-1]
+            remaining.append(self.most - used)
+        self.window.update((opened, used))
+        yield pd.DataFrame({"key": key[0], "request_id": batch.request_id, "at_ms": batch.at_ms, "allowed": allowed, "remaining": remaining})
+
+    def close(self) -> None:
+        pass
+
+
+def limit_stream(requests: DataFrame, most: int, window_ms: int) -> DataFrame:
+    """T4 on a stream of (key string, request_id, at_ms); needs the RocksDB state store."""
+    return requests.groupBy("key").transformWithStateInPandas(
+        RateWindow(most, window_ms), "key string, request_id long, at_ms long, allowed boolean, remaining int", outputMode="Append", timeMode="None"
+    )
+
+
 def due(rows: DataFrame, when: str, now: str, order: list[Column], most: int, test: Column | None = None) -> DataFrame:
     """What is due by now, in order, a batch at most."""
     ready = rows.where(F.col(when) <= F.lit(now))

@@ -80,6 +80,21 @@ def test_windows_against_a_model(spark):
     assert {r.request_id: r.allowed for r in delivery.limited(df, 3, 300).collect()} == want
 
 
+def test_window_stream_equals_the_batch_form(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(str(rng.randrange(6)), i, 10 * i) for i in range(300)]
+    kinds = "key string, request_id long, at_ms long"
+    for part in range(3):
+        spark.createDataFrame(rows[part * 100 : (part + 1) * 100], kinds).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = delivery.limit_stream(tables.event_files(spark, str(tmp_path / "in"), kinds, per_batch=1), 3, 250)
+    run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert run.exception() is None
+    want = delivery.limited(spark.createDataFrame(rows, kinds), 3, 250)
+    pick = lambda df: sorted((r.request_id, r.allowed, r.remaining) for r in df.collect())
+    assert pick(spark.read.parquet(str(tmp_path / "out"))) == pick(want)
+
+
 def test_callbacks_of_three_providers(spark):
     bodies = [json.dumps({"type": "email.opened", "data": {"email_id": "e1", "created_at": "2024-01-02T03:04:05Z"}}), json.dumps({"type": "email.other", "data": {"email_id": "e1"}}), json.dumps({"type": "email.opened", "data": {}}), "no json"]
     email = delivery.known_events(delivery.decode_email(spark.createDataFrame([(b,) for b in bodies], "body string"))).collect()
