@@ -74,3 +74,23 @@ d AS (SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id,
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM d)
 SELECT query_id, rank, neighbor_id, distance FROM r WHERE rank <= 10
 """
+
+#: Statistics of words and lines, and all rules at once.
+QUALITY_RULES = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT k, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM d),
+p AS (SELECT *, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM m WINDOW o AS (PARTITION BY k ORDER BY i)),
+q AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, a, b, c) AS n FROM p WHERE c IS NOT NULL) WHERE n > 1),
+r AS (SELECT k, count(DISTINCT j) AS n_repeat FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM q) GROUP BY k),
+s AS (SELECT k, count(*) FILTER (WHERE a = b) AS n_same, sum(length(a)) AS chars FROM p GROUP BY k),
+l AS (SELECT k, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM (SELECT k, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY k),
+x AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+      CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, coalesce(n_same, 0) AS n_same, coalesce(n_lines, 0) AS n_lines,
+      length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(t, '[^a-z]', '', 'g')) AS lower, length(regexp_replace(t, '[^!]', '', 'g')) AS bangs
+      FROM d LEFT JOIN r USING (k) LEFT JOIN s USING (k) LEFT JOIN l USING (k)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR upper > lower OR 10 * bangs > 3 * n_words OR 10 * word_chars < 25 * n_words OR word_chars > 12 * n_words
+    OR 5 * n_same > n_words OR 2 * n_dup_lines > n_lines) AS kept
+FROM b
+"""

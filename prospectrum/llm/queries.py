@@ -81,4 +81,5 @@ ORACLES: dict[str, str] = {
     "op2_line_dedup": oracles.LINE_DEDUP,
     "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_topk_search": oracles.TOP_K,
+    "op9_quality_rules": oracles.QUALITY_RULES,
 }
