@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from prospectrum.llm.textblock import TextBlock, blocks
 
-SAMPLE_DOCS, TABLE_BITS, MIN_SHARE = 1000, 18, 0.01
+SAMPLE_DOCS, TABLE_BITS, MIN_SHARE, MASK_BITS = 1000, 18, 0.01, 64
 UNKNOWN = "und"
 #: Multipliers of the filters' hash functions.
 HASHES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))
@@ -67,40 +67,45 @@ def _spans(b: TextBlock) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class LanguageFilters:
-    """The filters of up to 64 languages, the most frequent language first."""
+    """The filters of all languages, the most frequent language first.
+
+    A table's mask holds up to 64 of them; more languages take more tables.
+    """
 
     languages: tuple[str, ...]
-    table: np.ndarray
+    tables: tuple[np.ndarray, ...]
     bits: int
 
     @classmethod
     def build(cls, languages: list[str], of: np.ndarray, gram: np.ndarray, bits: int = TABLE_BITS) -> LanguageFilters:
-        if len(languages) > 64:
-            raise ValueError("a mask holds 64 languages at most")
-        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= np.iinfo(k).bits)
-        table = np.zeros(1 << bits, kind)
-        for language in range(len(languages)):
-            mine = gram[of == language]
-            for h in HASHES:
-                table[(mine * h) >> np.uint32(32 - bits)] |= kind(1 << language)
-        return cls(tuple(languages), table, bits)
-
-    def masks(self, data: np.ndarray) -> np.ndarray:
-        codes = grams(data)
-        shift = np.uint32(32 - self.bits)
-        return self.table[(codes * HASHES[0]) >> shift] & self.table[(codes * HASHES[1]) >> shift]
+        tables = []
+        for first in range(0, len(languages), MASK_BITS):
+            n = min(MASK_BITS, len(languages) - first)
+            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if n <= np.iinfo(k).bits)
+            table = np.zeros(1 << bits, kind)
+            for i in range(n):
+                mine = gram[of == first + i]
+                for h in HASHES:
+                    table[(mine * h) >> np.uint32(32 - bits)] |= kind(1 << i)
+            tables.append(table)
+        return cls(tuple(languages), tuple(tables), bits)
+
+    def masks(self, data: np.ndarray) -> list[np.ndarray]:
+        """By table, the languages that hold the n-gram at each position."""
+        codes, shift = grams(data), np.uint32(32 - self.bits)
+        one, two = ((codes * h) >> shift for h in HASHES)
+        return [table[one] & table[two] for table in self.tables]
 
     def shares(self, b: TextBlock) -> np.ndarray:
         """Share of each text's n-grams in each language, less false positives."""
-        masks, (first, end) = self.masks(b.data), _spans(b)
-        first, end = np.minimum(first, len(masks)), np.minimum(end, len(masks))
-        n, out = np.maximum(end - first, 1), np.zeros((b.n_docs, len(self.languages)))
-        total = np.zeros(len(masks) + 1, np.int64)
-        for i in range(len(self.languages)):
-            hit = (masks >> self.table.dtype.type(i)) & self.table.dtype.type(1)
-            np.cumsum(hit, out=total[1:])
-            false = np.mean((self.table >> self.table.dtype.type(i)) & self.table.dtype.type(1)) ** len(HASHES)
-            out[:, i] = ((total[end] - total[first]) / n - false) / max(1 - false, 1e-9)
+        (first, end), out = _spans(b), np.zeros((b.n_docs, len(self.languages)))
+        for t, (table, masks) in enumerate(zip(self.tables, self.masks(b.data), strict=True)):
+            kind, s, e = table.dtype.type, np.minimum(first, len(masks)), np.minimum(end, len(masks))
+            n, total = np.maximum(e - s, 1), np.zeros(len(masks) + 1, np.int64)
+            for i in range(min(MASK_BITS, len(self.languages) - t * MASK_BITS)):
+                np.cumsum((masks >> kind(i)) & kind(1), out=total[1:])
+                false = np.mean((table >> kind(i)) & kind(1)) ** len(HASHES)
+                out[:, t * MASK_BITS + i] = ((total[e] - total[s]) / n - false) / max(1 - false, 1e-9)
         return np.maximum(out, 0)
 
     def predict(self, b: TextBlock, present: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -139,7 +144,7 @@ def fit(docs: DataFrame, training: Column, key: str = "doc_id", label: str = "la
     """Filters of the n-grams that at least ``min_share`` of a language's
     sampled texts hold. training: which rows may be learned from."""
     rows = docs.where(training & F.col("text").isNotNull())
-    chosen = sampled(rows, key, label, sample_docs)  # at most 64 languages of sample_docs keys
+    chosen = sampled(rows, key, label, sample_docs)  # sample_docs keys of each language
     texts = rows.select(key, label, "text").join(F.broadcast(chosen.select(key).distinct()), key)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

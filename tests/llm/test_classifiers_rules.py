@@ -170,7 +170,17 @@ def test_filters_return_all_languages_of_an_ngram():
     codes = {k: language_id.grams(np.frombuffer(t.encode(), np.uint8)) for k, t in texts.items()}
     of = np.concatenate([np.full(len(c), i) for i, c in enumerate(codes.values())])
     filters = language_id.LanguageFilters.build(list(codes), of, np.concatenate(list(codes.values())))
-    assert (filters.masks(np.frombuffer(b"common", np.uint8)) == 3).all()
-    assert (filters.masks(np.frombuffer(b"apple", np.uint8)) & 1 == 1).all()
+    assert (filters.masks(np.frombuffer(b"common", np.uint8))[0] == 3).all()
+    assert (filters.masks(np.frombuffer(b"apple", np.uint8))[0] & 1 == 1).all()
     names, score = filters.predict(block(["an apple", "a berry", "12 34", ""]), np.array([True] * 4))
     assert names == ["aa", "bb", "und", "und"] and score[2] == score[3] == 0
+
+
+def test_more_languages_than_a_mask_holds():
+    rng = random.Random(3)
+    names = [f"l{i}" for i in range(150)]
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in names]
+    codes = [language_id.grams(np.frombuffer(t.encode(), np.uint8)) for t in texts]
+    filters = language_id.LanguageFilters.build(names, np.repeat(np.arange(150), [len(c) for c in codes]), np.concatenate(codes))
+    assert len(filters.tables) == 3
+    assert filters.predict(block(texts), np.array([True] * 150))[0] == names
