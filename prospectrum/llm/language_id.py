@@ -135,7 +135,7 @@ def sampled(rows: DataFrame, key: str, label: str, each: int) -> DataFrame:
     """
     known = rows.select(key, label).where(F.col(label).isNotNull() & F.col(key).isNotNull()).withColumn("__h", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40)))
     counts = known.groupBy(label).agg(F.count("*").alias("__n"))
-    near = known.join(counts, label).where(F.col("__h") * F.col("__n") <= float(4 * each + 100) * (1 << 40))
+    near = known.join(counts, label).where(F.col("__h") * F.col("__n") <= float(4 * each + 100) * (1 << 40)).select(key, label, "__h").distinct()
     order = Window.partitionBy(label).orderBy("__h", key)
     return near.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= each).select(key, label)
 

@@ -184,3 +184,17 @@ def test_more_languages_than_a_mask_holds():
     filters = language_id.LanguageFilters.build(names, np.repeat(np.arange(150), [len(c) for c in codes]), np.concatenate(codes))
     assert len(filters.tables) == 3
     assert filters.predict(block(texts), np.array([True] * 150))[0] == names
+
+
+def test_samples_stay_bounded_whatever_repeats(spark):
+    """A key with most of the rows, and one text with most of the words."""
+    docs, labels, _ = _corpus(spark)
+    hot = docs.where("doc_id = 1001").withColumn("n_of_many", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n_of_many")
+    long = docs.where("doc_id = 1003").withColumn("text", F.repeat(F.lit("stone river "), 4000))
+    many = docs.where("doc_id <> 1003").unionByName(hot).unionByName(long)
+    model = toxicity.fit(many, labels, F.lit(True), sample_words=60_000)
+    assert model.table is not None
+    assert quality_classifier._first(many, "doc_id", 50).count() <= 50
+    assert language_id.sampled(many, "doc_id", "lang", 20).groupBy("lang").count().where("count > 20").isEmpty()
+    found = {r.doc_id: r.score for r in toxicity.score(many, model).collect()}
+    assert auc([found[d] for d in found if d and d >= 1002], [1 - d % 2 for d in found if d and d >= 1002]) > 0.95
