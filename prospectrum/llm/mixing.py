@@ -124,4 +124,5 @@ def take(docs: DataFrame, key: str = "doc_id", budget: float = 0.9, entropy: flo
     """The documents that the mixture takes when none may repeat, with all
     their columns. Rows with a null key are left out, as nothing finds them."""
     chosen = schedule(docs, key, budget, entropy, max_repeats=1.0, **params)
-    return docs.join(written(chosen.select(key), "taken"), key, "left_semi").select(docs.columns)
+    taken = written(chosen.select(key), "taken")  # grows with the input: never broadcast
+    return docs.join(taken.hint("merge"), key, "left_semi").select(docs.columns)
