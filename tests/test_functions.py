@@ -19,32 +19,33 @@ def values(spark, expression, *columns):
     return [r.x for r in rows.select("i", expression.alias("x")).orderBy("i").collect()]
 
 
+#: Expressions need a session, so each case is made when it is run.
 CASES = [
-    (urls.normalized_domain("a"), {"https://www.Acme.fi/about": "acme.fi", "not-a-domain": None, "http://www.example.com/path": "example.com", None: None, "acme.fi:8080/x": "acme.fi"}),
-    (urls.normalized_website("a"), {"http://www.example.com/path": "http://example.com/path", "https://acme.fi/": "https://acme.fi", "ftp://acme.fi": None, "acme.fi?x=1#y": "https://acme.fi", "http://acme.fi:80/a/": "http://acme.fi/a"}),
-    (urls.is_blocked_domain("a"), {"linkedin.com": True, "fi.linkedin.com": True, "acme.fi": False, "notlinkedin.com": False}),
-    (urls.is_safe_host("a"), {"evil.com": True, "localhost": False, "169.254.169.254": False, "10.0.0.1": False, "172.31.0.1": False, "172.32.0.1": True, "db.internal": False}),
-    (text.organization_slug("a"), {"Acme Payments Inc.": "acme-payments-inc", "***": "organization", "x" * 150: "x" * 100}),
-    (text.display_value("a"), {None: "—", "unknown": "—", " Unknown ": "—", " a ": "a", " ": "—"}),
-    (text.status_label("a"), {"FOO_BAR": "Foo Bar", "PENDING": "Pending"}),
-    (contacts.valid_email("a"), {" Jane.Doe@Acme.FI ": "jane.doe@acme.fi", "not-an-email": None, "@missing.com": None, "user@": None, "user@example.com": None, "user@test.com": None, "user@sample.com": None, None: None, "": None, "a@b@c.fi": None}),
-    (contacts.personal_email("a", F.lit("boss@acme.fi")), {"info@acme.fi": None, "sales@acme.fi": None, "noreply@acme.fi": None, "jane@acme.fi": "jane@acme.fi", "boss@acme.fi": None}),
-    (contacts.valid_phone("a"), {"+358401234567": "+358 40 123 4567", "+358912345678": "+358 91 234 5678", "(555) 123-4567": "(555) 123-4567", "12345": None, "0000000": None, "1111111111": None, "call us today": None, "+1234": None, "+1234567890123456": None, None: None}),
-    (contacts.valid_phone("a"), dict.fromkeys(["1234567890", "123 456 7890", "0123456789", "9876543210", "1212121212", "555-0100", "+15550100"])),
-    (contacts.phone_digits("a"), {"+358 (9) 123-4567": "+35891234567", "09 1": "091"}),
-    (urls.is_personal_profile("a"), {"https://linkedin.com/in/jane": True, "https://linkedin.com/company/x": False, None: False}),
-    (text.without_injections("a"), {"plain": "plain"}),
-    (text.percent_label(F.col("a").cast("double")), {"0.123": "12%", None: "—", "1": "100%"}),
-    (text.body_html("a"), {"a <b>\n\n c & d ": "<p>a &lt;b&gt;</p><p>c &amp; d</p>"}),
-    (ports.is_parsed_query("a"), {'{"industry":null}': True, "{}": False, None: False}),
-    (ports.has_parsed_criteria("a"), {'{"industry":1,"location":null,"employeeRange":"1"}': True, '{"industry":1}': False, None: False}),
-    (profiles.shares_industry_group("a", F.lit("Payments")), {"fintech": True, "manufacturing": False}),
+    lambda: (urls.normalized_domain("a"), {"https://www.Acme.fi/about": "acme.fi", "not-a-domain": None, "http://www.example.com/path": "example.com", None: None, "acme.fi:8080/x": "acme.fi"}),
+    lambda: (urls.normalized_website("a"), {"http://www.example.com/path": "http://example.com/path", "https://acme.fi/": "https://acme.fi", "ftp://acme.fi": None, "acme.fi?x=1#y": "https://acme.fi", "http://acme.fi:80/a/": "http://acme.fi/a"}),
+    lambda: (urls.is_blocked_domain("a"), {"linkedin.com": True, "fi.linkedin.com": True, "acme.fi": False, "notlinkedin.com": False}),
+    lambda: (urls.is_safe_host("a"), {"evil.com": True, "localhost": False, "169.254.169.254": False, "10.0.0.1": False, "172.31.0.1": False, "172.32.0.1": True, "db.internal": False}),
+    lambda: (text.organization_slug("a"), {"Acme Payments Inc.": "acme-payments-inc", "***": "organization", "x" * 150: "x" * 100}),
+    lambda: (text.display_value("a"), {None: "—", "unknown": "—", " Unknown ": "—", " a ": "a", " ": "—"}),
+    lambda: (text.status_label("a"), {"FOO_BAR": "Foo Bar", "PENDING": "Pending"}),
+    lambda: (contacts.valid_email("a"), {" Jane.Doe@Acme.FI ": "jane.doe@acme.fi", "not-an-email": None, "@missing.com": None, "user@": None, "user@example.com": None, "user@test.com": None, "user@sample.com": None, None: None, "": None, "a@b@c.fi": None}),
+    lambda: (contacts.personal_email("a", F.lit("boss@acme.fi")), {"info@acme.fi": None, "sales@acme.fi": None, "noreply@acme.fi": None, "jane@acme.fi": "jane@acme.fi", "boss@acme.fi": None}),
+    lambda: (contacts.valid_phone("a"), {"+358401234567": "+358 40 123 4567", "+358912345678": "+358 91 234 5678", "(555) 123-4567": "(555) 123-4567", "12345": None, "0000000": None, "1111111111": None, "call us today": None, "+1234": None, "+1234567890123456": None, None: None}),
+    lambda: (contacts.valid_phone("a"), dict.fromkeys(["1234567890", "123 456 7890", "0123456789", "9876543210", "1212121212", "555-0100", "+15550100"])),
+    lambda: (contacts.phone_digits("a"), {"+358 (9) 123-4567": "+35891234567", "09 1": "091"}),
+    lambda: (urls.is_personal_profile("a"), {"https://linkedin.com/in/jane": True, "https://linkedin.com/company/x": False, None: False}),
+    lambda: (text.without_injections("a"), {"plain": "plain"}),
+    lambda: (text.percent_label(F.col("a").cast("double")), {"0.123": "12%", None: "—", "1": "100%"}),
+    lambda: (text.body_html("a"), {"a <b>\n\n c & d ": "<p>a &lt;b&gt;</p><p>c &amp; d</p>"}),
+    lambda: (ports.is_parsed_query("a"), {'{"industry":null}': True, "{}": False, None: False}),
+    lambda: (ports.has_parsed_criteria("a"), {'{"industry":1,"location":null,"employeeRange":"1"}': True, '{"industry":1}': False, None: False}),
+    lambda: (profiles.shares_industry_group("a", F.lit("Payments")), {"fintech": True, "manufacturing": False}),
 ]
 
 
 @pytest.mark.parametrize("case", range(len(CASES)))
 def test_literal_cases(spark, case):
-    expression, pairs = CASES[case]
+    expression, pairs = CASES[case]()
     assert dict(zip(pairs, values(spark, expression, list(pairs)), strict=True)) == pairs
 
 
@@ -106,7 +107,7 @@ RICH = dict(companyName="Acme", description="A long enough description", industr
 def test_completeness_of_rich_and_sparse_profiles(spark):
     rich = profile(spark, **RICH).select(profiles.completeness(F.col("p")), profiles.gap_count(F.col("p")), F.size(profiles.profile_errors(F.col("p")))).first()
     sparse = profile(spark, companyName="Acme").select(profiles.completeness(F.col("p")), profiles.gap_count(F.col("p"))).first()
-    assert rich[0] == 1.0 and rich[1] == 0 and rich[2] == 0 and sparse[0] < 0.3 and sparse[1] == 7
+    assert rich[0] == 1.09 and rich[1] == 0 and rich[2] == 0 and sparse[0] < 0.3 and sparse[1] == 7
 
 
 def test_contacts_of_the_company_are_no_personal_ones(spark):
