@@ -137,10 +137,11 @@ def _measured(texts: DataFrame) -> np.ndarray:
 
 
 def _first(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """n keys by the order of a hash. The count of rows tells below which hash
+    """n keys by the order of a hash. The count of keys tells below which hash
     they lie (four times as many are let through), so few rows are sorted."""
     keys = rows.where(F.col(key).isNotNull()).select(key, F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40)).alias("__h"))
-    near = keys.where(F.col("__h") * float(keys.count()) <= float(4 * n + 100) * (1 << 40)).distinct()
+    n_keys = keys.agg(F.approx_count_distinct(key)).first()[0]  # of keys, not rows, whatever repeats
+    near = keys.where(F.col("__h") * float(n_keys) <= float(4 * n + 100) * (1 << 40)).distinct()
     return near.orderBy("__h", key).limit(n).select(key)
 
 
@@ -156,80 +157,6 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, key: str = "doc_id
     return train(*map(_measured, chosen), 0.5 if prior is None else prior)
 
 
-def score(self, b: TextBlock) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(statistics(b)), -30, 30)))
-
-
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def risk_gradient(z_positive: np.ndarray, z_unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
-    """Gradients of the non-negative risk under the logistic loss, by logit."""
-    p, u = _sigmoid(z_positive), _sigmoid(z_unlabelled)
-    n_p, n_u = max(len(p), 1), max(len(u), 1)
-    negative = np.mean(np.logaddexp(0, z_unlabelled)) - prior * np.mean(np.logaddexp(0, z_positive))
-    if negative >= 0:
-        return prior * (p - 1) / n_p - prior * p / n_p, u / n_u
-    return prior * p / n_p, -u / n_u  # climb until the estimate is a risk again
-
-
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = 11) -> QualityModel:
-    prior = float(np.clip(prior, 0.01, 0.99))
-    if not len(positive) or not len(unlabelled):
-        return QualityModel(prior, np.zeros(N_FEATURES), np.ones(N_FEATURES), ())
-    rng = np.random.default_rng(seed)
-    centre, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    xs = [np.clip((x - centre) / scale, -8, 8) for x in (positive, unlabelled)]
-    layers = [rng.normal(0, N_FEATURES**-0.5, (N_FEATURES, hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1)]
-    first, second, t = [np.zeros_like(w) for w in layers], [np.zeros_like(w) for w in layers], 0
-    steps = max(8, len(unlabelled) // 256)
-    for epoch in range(epochs):
-        order = [np.array_split(rng.permutation(len(x)), steps) for x in xs]
-        rate = 5e-3 * (1 - epoch / epochs) + 2e-4
-        for parts in zip(*order, strict=True):
-            parts = [p if len(p) else rng.integers(0, len(x), 1) for p, x in zip(parts, xs, strict=True)]
-            x = np.vstack([xs[i][p] for i, p in enumerate(parts)])
-            h = np.tanh(x @ layers[0] + layers[1])
-            z = h @ layers[2] + layers[3][0]
-            g = np.concatenate(risk_gradient(z[: len(parts[0])], z[len(parts[0]) :], prior))
-            back = np.outer(g, layers[2]) * (1 - h * h)
-            t += 1
-            for i, d in enumerate((x.T @ back, back.sum(0), h.T @ g, np.array([g.sum()]))):
-                d = d + 1e-4 * layers[i]
-                first[i] = 0.9 * first[i] + 0.1 * d
-                second[i] = 0.999 * second[i] + 0.001 * d * d
-                layers[i] = layers[i] - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-    return QualityModel(prior, centre, scale, tuple(layers))
-
-
-def _measured(texts: DataFrame) -> np.ndarray:
-    """Statistics of a bounded number of texts, as an array."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, b in blocks(batch.column(0)):
-                yield pa.RecordBatch.from_pydict({"x": pa.array([row.tobytes() for row in statistics(b)], pa.binary())})
-
-    rows = texts.select("text").mapInArrow(of, "x binary").toPandas().x
-    return np.frombuffer(b"".join(sorted(map(bytes, rows))), np.float32).reshape(-1, N_FEATURES)
-
-
-def _first(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """n rows by the order of a hash of the key."""
-    return rows.where(F.col(key).isNotNull()).orderBy(F.xxhash64(F.col(key).cast("string")), key).limit(n)
-
-
-def fit(docs: DataFrame, labels: DataFrame, training: Column, key: str = "doc_id", label: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> QualityModel:
-    """training: which rows, of labels and of web texts, may be learned from."""
-    known = labels.where(training & F.col(label).isNotNull())
-    prior = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    trusted = _first(known.where(F.col(label) == 1).select(key).distinct(), key, positives)
-    web = _first(docs.where(training).select(key), key, unlabelled).distinct()
-    texts = docs.where(training).select(key, "text")
-    return train(*(_measured(texts.join(F.broadcast(chosen), key)) for chosen in (trusted, web)), 0.5 if prior is None else prior)
-
-
 def score(docs: DataFrame, model: QualityModel, key: str = "doc_id") -> DataFrame:
     """(key, score): the higher, the likelier is label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

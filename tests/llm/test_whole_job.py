@@ -15,6 +15,22 @@ from tokenizers import Tokenizer
 from prospectrum.llm import near_copies, packing, quality_classifier
 
 
+@pytest.mark.parametrize(("unlabelled", "size"), [(2000, 401), (50, 50)])
+def test_a_repeated_key_is_one_text_of_the_quality_sample(spark, monkeypatch, unlabelled, size):
+    """One doc_id has a third of the rows; each other key has one."""
+    docs = spark.createDataFrame([(i, f"text {i} of many", None, None, None) for i in range(400)] + [(1000, f"copy {i}", None, None, None) for i in range(200)], DOCUMENTS)
+    labels = spark.createDataFrame([(i, 1) for i in [*range(30), *[1000] * 50]], "doc_id long, quality int")
+    sizes = []
+    monkeypatch.setattr(quality_classifier, "train", lambda p, u, prior: sizes.append((p.shape, u.shape)))
+    quality_classifier.fit(docs, labels, F.lit(True), positives=20, unlabelled=unlabelled)
+    assert sizes == [((20, quality_classifier.N_FEATURES), (size, quality_classifier.N_FEATURES))]
+
+
+def test_the_quality_sample_is_full_where_all_keys_repeat(spark):
+    rows = spark.range(300).crossJoin(spark.range(20).toDF("copy"))
+    assert quality_classifier._first(rows, "id", 200).distinct().count() == 200
+
+
 def planted_copies(n: int) -> list[tuple]:
     """Texts, each with a copy of which a few words are others, and the far copies of one text."""
     rng = random.Random(5)
