@@ -15,7 +15,8 @@
    pattern, bin and offset by binary search.
 
 Ids come from a byte-pair vocabulary file (rank format); texts are encoded
-whole and special strings are ordinary text.
+whole. The added tokens of the vocabulary (``SPECIAL``) count as one id
+wherever a text has them, as in ``tokenizers``.
 
 Defined results: a null text counts as empty, and an empty text is its end id
 alone; rows that repeat a key are packed one by one; a null key keeps its
@@ -40,6 +41,8 @@ from prospectrum.llm.common import written
 from prospectrum.llm.textblock import blocks
 
 CAPACITY, END_ID, BLOCK_PIECES = 1024, 2, 1 << 12
+#: The added tokens of byte_bpe_50k.json, which the rank format leaves out.
+SPECIAL = {"<|endoftext|>": 50256}
 #: Free tokens that count as none while a bin is filled; each is tried.
 SLACKS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
 
@@ -57,7 +60,7 @@ def encoding(path: str) -> tiktoken.Encoding:
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
@@ -72,7 +75,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, end_i
                 data, at = b.data.tobytes(), b.offsets.tolist()
                 of, piece, start, length, crc = [], [], [], [], []
                 for i in range(b.n_docs):
-                    ids = encode(data[at[i] : at[i + 1]].decode("utf-8"), disallowed_special=())
+                    ids = encode(data[at[i] : at[i + 1]].decode("utf-8"), allowed_special="all")
                     ids = np.append(ids, end_id).astype("<u4")
                     first = len(ids) % capacity or capacity
                     bounds = [0, *range(first, len(ids) + 1, capacity)]

@@ -31,6 +31,15 @@ def test_the_quality_sample_is_full_where_all_keys_repeat(spark):
     assert quality_classifier._first(rows, "id", 200).distinct().count() == 200
 
 
+def test_packing_has_the_added_token_of_the_vocabulary(spark):
+    texts = ["<|endoftext|>", "see <|endoftext|> here", "<|endoftext|>" * 3, "a<|endoftext|>b\n<|endoftext|>\n", "<|endoftext| >", "<|<|endoftext|>|>"]
+    texts += ["words <|endoftext|> " * 900]
+    packed = packing.pack(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCUMENTS)).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    check_packing(packed, dict(enumerate(texts)), tokenizer, 1024)
+    assert packing.encoding(packing.vocabulary_path()).encode("see <|endoftext|> here", allowed_special="all") == [3826, 220, 50256, 994]
+
+
 def planted_copies(n: int) -> list[tuple]:
     """Texts, each with a copy of which a few words are others, and the far copies of one text."""
     rng = random.Random(5)
