@@ -52,17 +52,27 @@ p AS (SELECT *, epoch * tokens + coalesce(sum(n) OVER (PARTITION BY source, epoc
 SELECT doc_id, source, weight, n AS n_tokens, epoch, CAST(start AS BIGINT) AS start FROM p WHERE start + n <= quota
 """
 
-#: Lines of ten words or more that an earlier document or line has.
+#: Passages of 25 words or more, of whole lines and clauses, that an earlier place has.
 SUBSTRING_DEDUP = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit
-  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-o AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
-      list_aggregate(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'), 'string_agg', ' ') AS body, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
-f AS (SELECT *, first_value(doc_id) OVER w AS kept_doc_id, first_value(unit) OVER w AS kept_unit FROM o WHERE n >= 10 WINDOW w AS (PARTITION BY body ORDER BY doc_id, unit))
-SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(start AS BIGINT) AS start, CAST(start + length(line) AS BIGINT) AS "end", CAST(n AS INTEGER) AS n_words,
-  kept_doc_id, CAST(kept_unit AS INTEGER) AS kept_unit
-FROM f WHERE kept_doc_id <> doc_id OR kept_unit <> unit
+WITH x AS (SELECT doc_id, regexp_extract_all(text, '[^.,;:!?。，、；：！？\n]+[.,;:!?。，、；：！？\n]*|[.,;:!?。，、；：！？\n]+') AS l FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+u AS (SELECT doc_id, unnest(l) AS own, generate_subscripts(l, 1) AS i FROM x),
+o AS (SELECT doc_id, i, coalesce(sum(length(own)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, length(own) AS size,
+      regexp_extract_all(lower(own), '[^\x20\x09-\x0D]+') AS w FROM u),
+f AS (SELECT doc_id, start, start + size AS finish, array_to_string(w, ' ') AS body, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS unit, len(w) AS n,
+      sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS so_far FROM o WHERE len(w) > 0),
+s AS (SELECT a.doc_id, a.unit, a.start, min(b.unit) AS last FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.unit BETWEEN a.unit AND a.unit + 24 AND b.so_far - a.so_far + a.n >= 25 GROUP BY ALL),
+e AS (SELECT doc_id, unit, start, unnest(generate_series(unit, last)) AS part FROM s),
+p AS (SELECT e.doc_id, e.unit, e.start, max(f.finish) AS finish, string_agg(f.body, ' ' ORDER BY part) AS body FROM e JOIN f ON f.doc_id = e.doc_id AND f.unit = e.part GROUP BY ALL),
+g AS (SELECT *, first_value(doc_id) OVER k AS kept, first_value(unit) OVER k AS kept_unit, first_value(start) OVER k AS kept_start FROM p WINDOW k AS (PARTITION BY body ORDER BY doc_id, unit)),
+r AS (SELECT *, start >= coalesce(max(finish) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new FROM g WHERE kept <> doc_id OR kept_unit <> unit),
+t AS (SELECT *, count(*) FILTER (WHERE new) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM r),
+z AS (SELECT doc_id, min(start) AS start, max(finish) AS finish, arg_min(kept, start) AS kept, arg_min(kept_start, start) AS kept_start FROM t GROUP BY doc_id, span),
+q AS (SELECT z.*, text, substr(text, 1 + CAST(coalesce(lag(finish) OVER v, 0) AS BIGINT), CAST(z.start - coalesce(lag(finish) OVER v, 0) AS BIGINT)) AS before,
+      len(regexp_extract_all(substr(text, 1 + CAST(z.start AS BIGINT), CAST(finish - z.start AS BIGINT)), '[^\x20\x09-\x0D]+')) AS n FROM z JOIN documents USING (doc_id) WINDOW v AS (PARTITION BY doc_id ORDER BY z.start)),
+m AS (SELECT doc_id, string_agg(before, '' ORDER BY start) || substr(any_value(text), 1 + CAST(max(finish) AS BIGINT)) AS text, count(*) AS spans, sum(n) AS n,
+      string_agg(concat(CAST(start AS BIGINT), '-', CAST(finish AS BIGINT), ':', kept, '+', CAST(kept_start AS BIGINT)), ' ' ORDER BY start) AS removed FROM q GROUP BY doc_id)
+SELECT d.doc_id, coalesce(m.text, d.text) AS text, CAST(coalesce(m.spans, 0) AS BIGINT) AS n_removed_spans, CAST(coalesce(m.n, 0) AS BIGINT) AS n_removed_words, coalesce(m.removed, '') AS removed_spans
+FROM documents d LEFT JOIN m USING (doc_id)
 """
 
 #: Brute force over sign bits: every query against all other vectors.

@@ -43,7 +43,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.removals(table(spark, sf_dir, "documents"))
+    """Every document's text without repeated passages, with the spans of the
+    original text that went: start-end:key that keeps it+offset there."""
+    found = substring_dedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    part = lambda s, f: s[f].cast("string")
+    span = lambda s: F.concat(part(s, "start"), F.lit("-"), part(s, "end"), F.lit(":"), part(s, "kept_key"), F.lit("+"), part(s, "kept_start"))
+    return found.withColumn("removed_spans", F.coalesce(F.array_join(F.transform("removed_spans", span), " "), F.lit("")))
 
 
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,30 @@
-"""Removal of repeated lines or paragraphs, with original offsets kept.
-
-1. A text is cut into units at a separator. A unit is normalised (lower case,
-   runs of white space to one space, none at the ends) and digested by MD5;
-   units of fewer than ``min_words`` words are left alone.
-2. Digests are grouped over all documents. The earliest occurrence, by key,
-   then place, stays; all others are removals, as spans of the original text
-   in characters, each with the occurrence that stays.
-
-Texts are read where they lie; only digests and offsets are shuffled. Minima
-are combined before the shuffle, and the join back to the occurrences has a
-plain shuffle on both sides, which adaptive execution splits at hot digests.
-
-Defined results: null and empty texts have no units; a unit that repeats in
-one document goes there too; rows that repeat a key rank by where they stand,
-and equal rows (key and place) count as one occurrence, which stays or goes
-as one; rows with a null key are left alone; an empty table gives an empty
-result; other columns are not read.
+"""Removal of repeated passages by digests of lines and clauses, with original
+offsets kept.
+
+1. A text is cut into units: lines, and inside a line clauses, which end after
+   a run of the marks ``MARKS``. A unit is normalised: lower case, runs of
+   white space to one space, none at the ends. Units without a word join no
+   passage.
+2. From every unit on, the fewest units in a row that hold ``min_words`` words
+   are a passage; its normalised words are digested by MD5. So a line that is
+   long enough is a passage of its own, and short lines make one together,
+   while a short line that stands alone is left alone.
+3. Digests are grouped over all documents. The earliest occurrence, by key,
+   then place, stays; the units of all others go. Every removed unit thus has
+   an equal one at an earlier place that stays.
+4. What goes from a text is returned as spans of the original text, in
+   characters, each with the key and offset of the occurrence that stays.
+
+A first shuffle has 64 bits of each digest and a count, combined before it;
+only digests that come twice are grouped with their places. The join back to
+the occurrences has a plain shuffle on both sides, which adaptive execution
+splits at hot digests. Texts move once, to their own lists of spans.
+
+Defined results: null and empty texts have no units and stay as they are; a
+passage that repeats in one document goes there too; rows that repeat a key
+rank by a hash of their text, and equal rows (key and text) count as one
+occurrence, which stays or goes as one; rows with a null key are left alone;
+an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -30,48 +39,125 @@ from pyspark.sql import functions as F
 
 from prospectrum.llm.common import written
 
-MIN_WORDS = 10
-
-
-def units(docs: DataFrame, key: str = "doc_id", separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, unit, start, end, n_words, digest) of the units that count."""
-    schema = docs.select(key).schema.add("unit", "integer").add("start", "long").add("end", "long").add("n_words", "integer").add("digest", "binary")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+MIN_WORDS = 25
+#: A line's end and the marks that end a clause inside a line.
+MARKS = ".,;:!?。，、；：！？\n"
+_UNIT = re.compile(f"[^{MARKS}]+[{MARKS}]*|[{MARKS}]+")
+_ROWS = 256
+
+
+def cut(text: str) -> list[tuple[int, int, bytes, int]]:
+    """(start, end, normalised words, number of words) of each unit with a word."""
+    out = []
+    for m in _UNIT.finditer(text):
+        words = m.group().lower().encode().split()  # bytes.split() takes 0x20, 0x09-0x0D
+        if words:
+            out.append((*m.span(), b" ".join(words), len(words)))
+    return out
+
+
+def passages_of(text: str, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """(unit, start, end, digest) of the passage from each unit on."""
+    units, end, n = cut(text), 0, 0
+    for i, (start, _, _, own) in enumerate(units):
+        while n < min_words:
+            if end == len(units):
+                return
+            n += units[end][3]
+            end += 1
+        yield i, start, units[end - 1][1], md5(b" ".join([u[2] for u in units[i:end]]), usedforsecurity=False).digest()
+        n -= own
+
+
+def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, h, unit, start, end, digest) of all passages; h is the text's hash."""
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text")).where("key is not null and text is not null")
+    schema = rows.select("key", "h").schema.add("unit", "integer").add("start", "long").add("end", "long").add("digest", "binary")
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), _ROWS):
+                part = batch.slice(at, _ROWS)
+                of, found = [], []
+                for i, one in enumerate(part.column(2)):
+                    here = list(passages_of(one.as_py(), min_words))
+                    found += here
+                    of += [i] * len(here)
+                if found:
+                    place = pa.array(of, pa.int64())
+                    columns = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(place), part.column(1).take(place), *columns], names=schema.names)
+
+    return rows.mapInArrow(made, schema)
+
+
+def _spans(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
+    """(key, h, spans): by text, sorted (start, end, kept_key, kept_start).
+    Passages that overlap are one span, with the place of its first one."""
+    found = written(passages(docs, key, text, min_words), "passages").withColumn("d", F.xxhash64("digest"))
+    twice = written(found.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d"), "repeated-digests")
+    met = written(found.join(twice, "d").drop("d"), "repeated-passages")
+    place = F.struct("key", "h", "unit", "start")
+    groups = met.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    repeats = met.join(written(groups.select("digest", "first"), "kept-passages"), "digest").where(place != F.col("first"))
+    lists = repeats.groupBy("key", "h").agg(F.collect_set(F.struct("start", "end", F.col("first.key").alias("kept_key"), F.col("first.start").alias("kept_start"))).alias("spans"))
+    schema = lists.schema
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spans in batch.column(2).to_pylist():
+                whole: list[dict] = []
+                for x in sorted(spans, key=lambda s: s["start"]):
+                    if whole and x["start"] < whole[-1]["end"]:
+                        whole[-1]["end"] = max(whole[-1]["end"], x["end"])
+                    else:
+                        whole.append(x)
+                out.append(whole)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, batch.schema.field(2).type)], names=schema.names)
+
+    return written(lists.mapInArrow(merged, schema), "spans")
+
+
+def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, text_hash, start, end, kept_key, kept_start) of every span that
+    goes; text_hash (xxhash64) tells rows apart that share a key."""
+    each = _spans(docs, key, text, min_words).select("key", "h", F.explode("spans").alias("s"))
+    return each.select(F.col("key").alias(key), F.col("h").alias("text_hash"), "s.start", "s.end", F.col("s.kept_key").alias(f"kept_{key}"), "s.kept_start")
+
+
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
+    """docs without the repeated passages, one row for each. report adds
+    n_removed_spans, n_removed_words and removed_spans, an array of
+    (start, end, kept_key, kept_start)."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own, at = names[docs.columns.index(key)], docs.columns.index(text)
+    spans = _spans(docs, key, text, min_words)
+    right = spans.select(F.col("key").alias("of"), F.col("h").alias("of_h"), "spans").hint("merge")
+    base = docs.toDF(*names)
+    rows = base.join(right, (base[own] == right["of"]) & (F.xxhash64(base[names[at]]) == right["of_h"]), "left").select(*names, "spans")
+    schema = rows.select(*names).schema.add("n_spans", "long").add("n_words", "long").add(rows.schema["spans"])
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                of, rows = [], []
-                for i, text in enumerate(part.column(1)):
-                    start = 0
-                    for n, unit in enumerate((text.as_py() or "").split(separator)):
-                        words = unit.lower().encode().split()
-                        if len(words) >= min_words:
-                            of.append(i)
-                            rows.append((n, start, start + len(unit), len(words), md5(b" ".join(words), usedforsecurity=False).digest()))
-                        start += len(unit) + len(separator)
-                if rows:
-                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                    columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int64())), *columns], names=schema.names)
-
-    return docs.where(F.col(key).isNotNull()).select(key, "text").mapInArrow(cut, schema)
-
-
-def removals(docs: DataFrame, key: str = "doc_id", separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
-    """(key, unit, start, end, n_words, kept_key, kept_unit) of all repeats."""
-    found = written(units(docs, key, separator, min_words), "units")
-    place = F.struct(key, "unit")
-    groups = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    repeats = found.join(written(groups.select("digest", "first"), "repeated-units"), "digest").where(place != F.col("first"))
-    return repeats.select(key, "unit", "start", "end", "n_words", F.col("first")[key].alias(f"kept_{key}"), F.col("first")["unit"].alias("kept_unit"))
-
-
-def remove(docs: DataFrame, key: str = "doc_id", separator: str = "\n", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs without the repeated units (and the separators after them)."""
-    gone = removals(docs, key, separator, min_words).groupBy(F.col(key).alias("of")).agg(F.collect_set("unit").alias("gone"))
-    whole = docs.select(F.col(key).alias("of"), F.struct(*docs.columns).alias("row")).join(gone, "of", "left")
-    old = F.col("row")["text"]
-    left = F.filter(F.split(old, re.escape(separator)), lambda _, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(left, separator))
-    return whole.select(*[(text if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
+            texts, lists = batch.column(at), batch.column(len(names))
+            new, n_spans, n_words = [], [], []
+            for i in range(len(batch)):
+                old, gone, n = texts[i].as_py(), lists[i].as_py() or [], 0
+                if gone:
+                    kept, end = [], 0
+                    for s in gone:
+                        kept.append(old[end : s["start"]])
+                        end = s["end"]
+                        n += len(old[s["start"] : end].encode().split())
+                    old = "".join(kept) + old[end:]
+                new.append(old)
+                n_spans.append(len(gone))
+                n_words.append(n)
+            columns = [pa.array(new, texts.type) if j == at else batch.column(j) for j in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_spans, pa.int64()), pa.array(n_words, pa.int64()), lists], names=schema.names)
+
+    out = rows.mapInArrow(left, schema)
+    more = ["n_removed_spans", "n_removed_words", "removed_spans"]
+    return out.toDF(*docs.columns, *more) if report else out.select(*names).toDF(*docs.columns)

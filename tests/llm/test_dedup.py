@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import random
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
-from cases import CLASHING, DOCUMENTS, classes, edge_rows, near_classes, prose, simhash, table_of
+import xxhash
+from cases import CLASHING, DOCUMENTS, classes, edge_rows, near_classes, prose, simhash, table_of, words
 from conftest import assert_same
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from prospectrum.llm import components, line_dedup, oracles, simhash as op4, substring_dedup
+from prospectrum.llm import components, line_dedup, oracles, queries as llm_queries, simhash as op4, substring_dedup
 
 
 @given(st.text(max_size=200))
@@ -125,27 +130,109 @@ def test_line_dedup_compares_bytes(spark, monkeypatch):
     assert left[1] == "a b\nc d" and left[2] == "e f\ng h" and left[3] == ""
 
 
-def test_substring_dedup_on_awkward_rows(spark, edge_dir):
+def test_substring_dedup_on_awkward_rows(spark, edge_dir, monkeypatch):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet")
-    assert assert_same(substring_dedup.removals(docs), oracles.SUBSTRING_DEDUP, edge_dir) > 0
+    monkeypatch.setattr(llm_queries, "table", lambda *_: docs)
+    assert assert_same(llm_queries.op7_substring_dedup(spark, edge_dir), oracles.SUBSTRING_DEDUP, edge_dir) > 0
+
+
+def plain_substring_dedup(rows: list[tuple], min_words: int) -> dict[tuple, str]:
+    """By (key, text) what is left, passage by passage."""
+    distinct = sorted({(k, substring_hash(t), t) for k, t in rows if k is not None and t is not None})
+    first, cuts = {}, {}
+    for k, h, t in distinct:
+        units = [m for m in re.finditer(f"[^{substring_dedup.MARKS}]+[{substring_dedup.MARKS}]*|[{substring_dedup.MARKS}]+", t) if words(m.group())]
+        cuts[k, h] = found = []
+        for i in range(len(units)):
+            j, n = i, 0
+            while n < min_words and j < len(units):
+                n += len(words(units[j].group()))
+                j += 1
+            if n >= min_words:
+                body = tuple(w for u in units[i:j] for w in words(u.group().lower()))
+                found.append((body, i, units[i:j]))
+                first.setdefault(body, (k, h, i))
+    out = {}
+    for k, h, t in distinct:
+        gone = set()
+        for body, i, units in cuts[k, h]:
+            if first[body] != (k, h, i):
+                gone.update(range(units[0].start(), units[-1].end()))
+        out[k, t] = "".join(c for i, c in enumerate(t) if i not in gone)
+    return out
+
+
+def substring_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode(), 42) - (1 << 64 if xxhash.xxh64_intdigest(text.encode(), 42) >> 63 else 0)
+
+
+@pytest.mark.parametrize("min_words", [1, 6, 25])
+def test_substring_remove_matches_a_plain_version(spark, min_words):
+    """All awkward rows, repeated keys with other texts among them."""
+    rows = edge_rows()
+    left = substring_dedup.remove(table_of(spark, rows), min_words=min_words)
+    assert left.columns == table_of(spark, rows).columns
+    want = plain_substring_dedup([r[:2] for r in rows], min_words)
+    got = sorted((r.doc_id, r.text) for r in left.collect() if r.doc_id is not None and r.text is not None)
+    assert got == sorted((r[0], want[r[0], r[1]]) for r in rows if r[0] is not None and r[1] is not None)
+    nulls = Counter((r[0], r[1]) for r in rows if r[0] is None or r[1] is None)
+    assert Counter((r.doc_id, r.text) for r in left.collect() if r.doc_id is None or r.text is None) == nulls
+    assert left.where("__key <> 'own __key' or h <> 'own h'").isEmpty()
 
 
-def test_substring_spans_are_the_original_text(spark):
-    rows = edge_rows()
-    texts = {r[0]: r[1] for r in rows}
-    for r in substring_dedup.removals(table_of(spark, rows)).collect():
-        gone, kept = texts[r.doc_id][r.start : r.end], texts[r.kept_doc_id].split("\n")[r.kept_unit]
-        assert gone.lower().split() == kept.lower().split()
-        assert (r.kept_doc_id, r.kept_unit) < (r.doc_id, r.unit)
+def test_two_texts_under_one_key_lose_only_their_own_passages(spark):
+    rng = random.Random(2)
+    a, b, c = (prose(rng, 60).replace("\n", " ") + "." for _ in range(3))
+    rows = [(1, a, None, None, None), (2, f"{b}\n{a}", None, None, None), (2, f"{c}\n{b} more", None, None, None)]
+    left = sorted(r.text for r in substring_dedup.remove(table_of(spark, rows)).collect())
+    assert a in left and not any(a in t for t in left if t != a)
+    assert sum(b in t for t in left) == 1 and sum(c in t for t in left) == 1
 
 
-def test_substring_remove_leaves_each_unit_once(spark):
-    rows = [r for r in edge_rows() if r[0] is not None and r[0] != 10]
-    docs = table_of(spark, rows)
-    left = substring_dedup.remove(docs)
-    assert left.columns == docs.columns and left.count() == docs.count()
-    assert substring_dedup.removals(left).isEmpty()
-    assert left.where("__key <> 'own __key'").isEmpty()
+def test_substring_spans_are_the_original_text(spark):
+    rows = edge_rows()
+    texts = {(r[0], substring_hash(r[1])): r[1] for r in rows if r[1] is not None}
+    found = substring_dedup.removals(table_of(spark, rows)).collect()
+    for r in found:
+        gone = texts[r.doc_id, r.text_hash][r.start : r.end].lower().split()[:25]
+        kept = [t[r.kept_start :].lower().split()[:25] for (k, _), t in texts.items() if k == r.kept_doc_id]
+        assert gone in kept and (r.kept_doc_id, r.kept_start) < (r.doc_id, r.start)
+    assert found
+
+
+def test_planted_passages_go_and_clean_texts_stay(spark):
+    """Passages of 51 to 120 words inside lines of other texts, between clauses
+    or in the middle of them, some wrapped at seven words a line. What is left
+    of one in the middle of clauses is part of the clauses at its ends."""
+    rng = random.Random(4)
+    names = [f"w{i}" for i in range(3000)]
+    text = lambda n: " ".join(rng.choice(names) + (rng.choice(".,") if rng.random() < 0.12 else "") for _ in range(n))
+    wrapped = lambda t: "\n".join(" ".join(t.split()[i : i + 7]) for i in range(0, len(t.split()), 7))
+    planted = [text(rng.randint(51, 120)) for _ in range(30)]
+    rows, of = [], {}
+    for i in range(400):
+        before, after = text(rng.randint(30, 200)), text(rng.randint(30, 200))
+        if i % 4 == 0:
+            passage = planted[i // 4 % 30]
+            of[i] = passage
+            passage = passage if i % 8 else passage.upper()
+            rows.append((i, f"{before} {passage} {after}" if i % 3 else f"{before}. {passage}. {after}", None, None, None))
+        elif i % 4 == 1 and i < 120:
+            rows.append((i, f"{before}\n{wrapped(planted[0])}\n{after}", None, None, None))
+        else:
+            rows.append((i, f"{before} {after}", None, None, None))
+    left = {r.doc_id: r.text for r in substring_dedup.remove(table_of(spark, rows, False)).collect()}
+    caught, total = Counter(), Counter()
+    for i, passage in of.items():
+        if i >= 120:  # the first 30 are the earliest of each
+            there = " ".join(left[i].lower().split())
+            here = passage.lower().split()
+            caught[i % 3 > 0] += sum(" ".join(here[j : j + 4]) not in there for j in range(len(here) - 3))
+            total[i % 3 > 0] += len(here) - 3
+    assert caught[False] / total[False] >= 0.97 and caught[True] / total[True] >= 0.75
+    clean = [r for r in rows if r[0] not in of and not (r[0] % 4 == 1 and r[0] < 120)]
+    assert all(left[r[0]] == r[1] for r in clean)
+    assert all(left[i] == rows[i][1] for i in of if i < 120)
 
 
 @pytest.mark.parametrize("operator", [op4.near_duplicates, op4.keep_one, line_dedup.dedup, substring_dedup.removals, substring_dedup.remove])
