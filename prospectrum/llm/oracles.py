@@ -1,23 +1,25 @@
 """DuckDB SQL with the results of the queries that SQL can express."""
 
-#: Chunks of lines, their grouping over all documents and what is left.
+#: Chunks and pairs of lines, their grouping over all documents and what is left.
 LINE_DEDUP = r"""
 WITH RECURSIVE l AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i
   FROM documents WHERE text IS NOT NULL),
-h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
+h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM l),
 r AS (SELECT *, (h + 31 * coalesce(lag(h, 1) OVER d, 0) + 961 * coalesce(lag(h, 2) OVER d, 0)) % 2147483647 AS r,
       lead(i) OVER d IS NULL AS last FROM h WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 b AS (SELECT *, last OR coalesce(r < lag(r) OVER d AND r < lead(r) OVER d, false) AS cut FROM r WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, coalesce(sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM b),
-g AS (SELECT doc_id, chunk, min(i) AS first, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body,
-      sum(CASE WHEN regexp_matches(line, '[^\x20\x09-\x0D]') THEN 1 ELSE 0 END) AS filled FROM c GROUP BY doc_id, chunk),
-k AS (SELECT *, CASE WHEN n >= 2 AND filled >= 2 THEN row_number() OVER (PARTITION BY body, n >= 2 AND filled >= 2 ORDER BY doc_id, first) > 1 ELSE false END AS gone FROM g),
-s AS (SELECT doc_id, string_agg(body, chr(10) ORDER BY first) FILTER (WHERE NOT gone) AS body,
-      sum(CASE WHEN gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS chunks, sum(n) AS lines FROM k GROUP BY doc_id)
+g AS (SELECT doc_id, min(i) AS first, max(i) AS finish, string_agg(line, chr(10) ORDER BY i) AS body FROM c GROUP BY doc_id, chunk HAVING count(*) >= 2 AND count(*) FILTER (WHERE words > 0) >= 2),
+w AS (SELECT doc_id, i AS first, lead(i) OVER d AS finish, words + lead(words) OVER d AS n FROM h WHERE words > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT w.doc_id, first, finish, string_agg(line, chr(10) ORDER BY i) AS body FROM w JOIN h ON h.doc_id = w.doc_id AND h.i BETWEEN first AND finish WHERE n >= 6 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY kind, body ORDER BY doc_id, first) > 1 AS gone FROM (SELECT 'chunk' AS kind, * FROM g UNION ALL SELECT 'pair', * FROM p)),
+x AS (SELECT DISTINCT doc_id, unnest(generate_series(first, finish)) AS i FROM k WHERE gone),
+s AS (SELECT h.doc_id, string_agg(line, chr(10) ORDER BY h.i) FILTER (WHERE x.i IS NULL) AS body, count(x.i) AS removed, count(*) AS lines FROM h LEFT JOIN x ON x.doc_id = h.doc_id AND x.i = h.i GROUP BY h.doc_id),
+n AS (SELECT doc_id, count(*) AS chunks FROM k WHERE gone AND kind = 'chunk' GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(s.body, '') END AS text,
-  CAST(coalesce(s.lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(s.removed, 0) AS BIGINT) AS n_removed_lines, CAST(coalesce(s.chunks, 0) AS BIGINT) AS n_removed_chunks
-FROM documents d LEFT JOIN s USING (doc_id)
+  CAST(coalesce(s.lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(s.removed, 0) AS BIGINT) AS n_removed_lines, CAST(coalesce(n.chunks, 0) AS BIGINT) AS n_removed_chunks
+FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 #: Bisected exponents, quotas and the prefix of each source's permutations.
