@@ -18,7 +18,8 @@ copies cost no more than that; equal queries are answered once.
 Defined results: neighbours rank by distance, then id; a query is no
 neighbour of itself; with fewer than k others all are returned; rows with a
 null id or embedding neither ask nor answer; a null or NaN component counts
-as not positive; an empty table gives an empty result; other columns are not
+as not positive; a vector of more components than a code has bits is an
+error, as a code of its beginning would lose neighbours; an empty table gives an empty result; other columns are not
 read.
 """
 
@@ -36,14 +37,17 @@ from pyspark.sql.window import Window
 from prospectrum.llm.common import written
 
 SEGMENTS, WIDTH, CELL_ROWS = 4, 16, 8192
+CODE_BITS = SEGMENTS * WIDTH
 #: Candidates verified at once.
 _BLOCK = 1 << 20
 
 
 def sign_codes(rows: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, code): bit i is set if component i is above zero, for the first 64."""
-    bits = f"aggregate(transform(slice({vector}, 1, 64), (x, i) -> if(x > 0 and not isnan(x), shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)"
-    return rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.expr(bits).alias("code"))
+    """(id, code): bit i is set if component i is above zero."""
+    bits = F.expr(f"aggregate(transform({vector}, (x, i) -> if(x > 0 and not isnan(x), shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)")
+    wide = F.raise_error(F.lit(f"a vector of {vector} has more than {CODE_BITS} components"))
+    code = F.when(F.size(vector) > CODE_BITS, wide.cast("long")).otherwise(bits)
+    return rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), code.alias("code"))
 
 
 def _masks(width: int) -> list[np.ndarray]:
