@@ -11,7 +11,7 @@
    fewest bins is taken. The result is a list of patterns, each with a number
    of bins.
 3. Every piece gets its rank among the pieces of its length, from row numbers
-   inside hash blocks and running counts of the blocks. Rank and length give
+   inside blocks of pieces and running counts of the blocks. Rank and length give
    pattern, bin and offset by binary search.
 
 Ids come from a byte-pair vocabulary file (rank format); texts are encoded
@@ -33,6 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,13 +64,14 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
-def pieces(docs: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
-    """(key, piece, start, length, ids_crc32) of every document."""
+def pieces(docs: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+    """(key, piece, start, length, ids_crc32, __block) of every document; a block
+    holds some ``block_pieces`` pieces that one task made, whatever their keys."""
     path = vocabulary or vocabulary_path()
-    schema = docs.select(key).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = docs.select(key).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long").add("__block", "long")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_to_numpy
+        encode, task, made = encoding(path).encode_to_numpy, TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for row, end, b in blocks(batch.column(1)):
                 data, at = b.data.tobytes(), b.offsets.tolist()
@@ -85,7 +87,9 @@ def pieces(docs: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, end_i
                         start.append(s)
                         length.append(e - s)
                         crc.append(zlib.crc32(ids[s:e].tobytes()))
-                columns = [batch.column(0).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+                block = task + (made + np.arange(len(of))) // block_pieces
+                made += len(of)
+                columns = [batch.column(0).take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc, block))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(key, "text").mapInArrow(cut, schema)
@@ -158,16 +162,14 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 
 def pack(docs: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """Each piece with its sequence_id and its offset there."""
-    cut = written(pieces(docs, key, capacity, end_id, vocabulary), "pieces")
-    n_blocks = max(1, -(-cut.count() // block_pieces))
-    dealt = cut.withColumn("__block", F.pmod(F.xxhash64(key, "piece"), F.lit(n_blocks)))
-    counts = written(dealt.groupBy("length", "__block").agg(F.count("*").alias("n")), "length-counts")
+    cut = written(pieces(docs, key, capacity, end_id, vocabulary, block_pieces), "pieces")
+    counts = written(cut.groupBy("length", "__block").agg(F.count("*").alias("n")), "length-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     place = slots(minimum_bin_slack(histogram, capacity))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = counts.select("length", "__block", before.alias("__base"))
     inside = F.row_number().over(Window.partitionBy("length", "__block").orderBy(key, "piece", "start", "ids_crc32"))
-    ranked = dealt.withColumn("__in", inside).join(bases, ["length", "__block"])
+    ranked = cut.withColumn("__in", inside).join(bases, ["length", "__block"])
     ranked = ranked.select(key, "piece", "start", "length", "ids_crc32", (F.col("__base") + F.col("__in") - 1).alias("__rank"))
     schema = cut.select(key, "piece", "start", "length", "ids_crc32").schema.add("sequence_id", "long").add("offset", "long")
 
