@@ -17,7 +17,9 @@ works on one array with a number for each source. All is DataFrame work.
 
 Defined results: null or empty texts have no tokens; a null source is a source
 of its own; a source without tokens has weight 0 and nothing of it is taken;
-rows that repeat a key count one by one; an empty table, or one without
+rows that repeat a key count one by one (``schedule``; equal ones are counted
+before they are ordered, so that a key with most of the rows is no hot spot)
+or, if they have the same text, together (``take``); an empty table, or one without
 tokens, gives an empty result; other columns are not read.
 """
 
@@ -94,21 +96,34 @@ def _before(order: list, by: list[str], what: str) -> Column:
 def schedule(docs: DataFrame, key: str = "doc_id", budget: float = 0.5, entropy: float = 0.95, max_repeats: float = 4.0, block_docs: int = BLOCK_DOCS, tokens: Column | None = None) -> DataFrame:
     """(key, source, weight, n_tokens, epoch, start): each taking of a document;
     start is its place in the source's stream of tokens."""
-    counted = docs.select(F.col(key).alias("id"), F.col("source"), (words() if tokens is None else tokens).alias("n"))
-    counted = written(counted, "token-counts")
-    totals = counted.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs"))
+    rows = docs.select(F.col(key).alias("id"), F.col("source"), (words() if tokens is None else tokens).alias("n"))
+    taken = _scheduled(rows, budget, entropy, max_repeats, block_docs)
+    # copies follow each other, dealt out by thousands before each gets its row
+    hundreds = taken.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / 1000))))
+    copies = F.sequence(F.col("part") * 1000, F.least(F.col("copies"), F.col("part") * 1000 + 1000) - 1)
+    each = hundreds.withColumn("copy", F.explode(copies)).withColumn("start", F.col("start") + F.col("copy") * F.col("n"))
+    each = each.where(F.col("start") + F.col("n") <= F.col("quota"))
+    return each.select(F.col("id").alias(key), "source", "weight", F.col("n").alias("n_tokens"), F.col("epoch").cast("long").alias("epoch"), F.col("start").cast("long").alias("start"))
+
+
+def _scheduled(rows: DataFrame, budget: float, entropy: float, max_repeats: float, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """(id, source, n, copies, weight, quota, epoch, start) of equal rows (id,
+    source, n) whose first copy ends within the quota."""
+    counted = written(rows.groupBy("id", "source", "n").agg(F.count("*").alias("copies")), "token-counts")
+    totals = counted.groupBy("source").agg(F.sum(F.col("n") * F.col("copies")).alias("tokens"), F.sum("copies").alias("docs"))
     quotas = written(source_quotas(totals, budget, entropy, max_repeats).where("quota > 0"), "quotas")
     quotas = quotas.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("docs") / block_docs)).cast("long"))
     few = quotas.count() <= BROADCAST_SOURCES
     named = counted.join(F.broadcast(quotas) if few else quotas, counted["source"].eqNullSafe(quotas["source"])).drop(quotas["source"])
     text = F.coalesce(F.col("id").cast("string"), F.lit(""))
     place = F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), F.col("blocks"))
-    dealt = named.select("id", "source", "n", "weight", "quota", place.alias("block"), F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"), F.col("tokens").alias("all"))
+    dealt = named.select("id", "source", "n", "copies", "weight", "quota", place.alias("block"), F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"), F.col("tokens").alias("all"))
     dealt = dealt.withColumn("o", F.md5(F.concat_ws("|", "epoch", text).cast("binary")))
     by = ["source", "epoch", "block"]
-    inside = dealt.withColumn("before", _before(["o", "id", "n"], by, "n"))
+    whole = F.col("n") * F.col("copies")
+    inside = dealt.withColumn("all_n", whole).withColumn("before", _before(["o", "id", "n"], by, "all_n"))
 
-    blocks = dealt.groupBy(*by).agg(F.sum("n").alias("n"))
+    blocks = dealt.groupBy(*by).agg(F.sum(whole).alias("n"))
     blocks = blocks.withColumn("o", F.md5(F.concat_ws("|", "epoch", F.coalesce("source", F.lit("")), "block").cast("binary"))).withColumn("p", F.substring("o", 1, 2))
     blocks = written(blocks, "blocks")
     groups = blocks.groupBy("source", "epoch", "p").agg(F.sum("n").alias("n")).withColumn("base", _before(["p"], ["source", "epoch"], "n")).drop("n")
@@ -117,12 +132,16 @@ def schedule(docs: DataFrame, key: str = "doc_id", budget: float = 0.5, entropy:
     placed = placed.join(groups, same(placed, groups, ["source", "epoch", "p"])).select(placed["source"], placed["epoch"], "block", (F.col("base") + F.col("off")).alias("base"))
     start = F.col("all") * inside["epoch"] + F.col("base") + F.col("before")
     taken = inside.join(placed, same(inside, placed, by)).withColumn("start", start).where(F.col("start") + F.col("n") <= F.col("quota"))
-    return taken.select(F.col("id").alias(key), inside["source"], "weight", F.col("n").alias("n_tokens"), inside["epoch"].cast("long").alias("epoch"), F.col("start").cast("long").alias("start"))
+    return taken.select("id", inside["source"], "n", "copies", "weight", "quota", inside["epoch"], "start")
 
 
-def take(docs: DataFrame, key: str = "doc_id", budget: float = 0.9, entropy: float = 0.95, **params) -> DataFrame:
+def take(docs: DataFrame, key: str = "doc_id", budget: float = 0.9, entropy: float = 0.95, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """The documents that the mixture takes when none may repeat, with all
-    their columns. Rows with a null key are left out, as nothing finds them."""
-    chosen = schedule(docs, key, budget, entropy, max_repeats=1.0, **params)
-    taken = written(chosen.select(key), "taken")  # grows with the input: never broadcast
-    return docs.join(taken.hint("merge"), key, "left_semi").select(docs.columns)
+    their columns. Equal rows (key, source and text) are taken together, or
+    none of them; rows with a null key are told apart by their text."""
+    name = lambda of: F.concat_ws("|", of[key].cast("string"), F.xxhash64(of["text"]).cast("string"))
+    units = docs.select(name(docs).alias("id"), docs["source"], words().alias("n")).groupBy("id", "source").agg(F.sum("n").alias("n"))
+    chosen = _scheduled(units, budget, entropy, 1.0, block_docs).where(F.col("start") + F.col("n") <= F.col("quota"))
+    taken = written(chosen.select(F.col("id").alias("__id"), F.col("source").alias("__source")), "taken")  # grows with the input: never broadcast
+    same = (name(docs) == taken["__id"]) & docs["source"].eqNullSafe(taken["__source"])
+    return docs.join(taken.hint("merge"), same, "left_semi").select(docs.columns)
