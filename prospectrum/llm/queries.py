@@ -1,4 +1,7 @@
-"""The registered queries: each operator over its whole intended table."""
+"""The registered queries: each operator over its whole intended table.
+
+A row with a null doc_id is not held out, and nothing is learned from it.
+"""
 
 from __future__ import annotations
 
@@ -23,7 +26,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_classifier.fit(docs, labels, crc_mod("doc_id", 3) != 1)
-    held_out, predicted = crc_mod("doc_id", 3) == 1, (F.col("score") >= 0.5).cast("int")
+    held_out, predicted = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)), (F.col("score") >= 0.5).cast("int")
     return quality_classifier.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
@@ -39,7 +42,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = language_id.fit(docs, crc_mod("doc_id", 5) != 0)
-    return language_id.identify(docs, filters).select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return language_id.identify(docs, filters).select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +67,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, crc_mod("doc_id", 3) != 1)
-    held_out, predicted = crc_mod("doc_id", 3) == 1, (F.col("score") >= 0.7).cast("int")
+    held_out, predicted = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)), (F.col("score") >= 0.7).cast("int")
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 

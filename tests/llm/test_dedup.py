@@ -79,6 +79,8 @@ def test_one_document_of_each_class_stays(spark):
     want = near_classes([r[:2] for r in rows])
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(r[0] for r in rows if r[0] is not None and want[r[0]] == r[0])
     assert kept.where("doc_id is null").count() == 2
+    again = [(3, "one two three four five", None, None, None), (7, "one two three four five", None, None, None), (7, "others are these few words here", None, None, None)]
+    assert sorted((r.doc_id, r.text) for r in op4.keep_one(table_of(spark, again)).collect()) == [(3, again[0][1]), (7, again[2][1])]
     assert kept.where("want <> 'own want'").count() == 0
 
 

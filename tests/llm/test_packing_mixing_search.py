@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -130,10 +130,30 @@ def test_weights_meet_the_targets(spark, mixed_dir, entropy, repeats, block_docs
 
 
 def test_take_repeats_nothing_and_keeps_columns(spark):
-    docs = table_of(spark, [r for r in edge_rows() if r[0] is not None and r[0] != 10])
+    docs = table_of(spark, edge_rows())
     taken = mixing.take(docs)
     assert taken.columns == docs.columns
-    assert taken.count() == taken.select("doc_id").distinct().count() > 0
+    have, got = (Counter((r.doc_id, r.source, r.text) for r in x.collect()) for x in (docs, taken))
+    assert got and all(n == have[x] for x, n in got.items())
+
+
+def test_take_holds_its_budget_where_keys_repeat(spark):
+    """Most rows share a key and a source, some of them in other sources."""
+    rows = [(1, f"one two three {i % 40}", None, "a", 0) for i in range(300)] + [(1, f"w{i} x y z", None, "b", 0) for i in range(100)]
+    rows += [(i, "alone in here now", None, "abc"[i % 3], 0) for i in range(2, 200)] + [(None, f"no key {i} here", None, "c", 0) for i in range(50)]
+    docs = table_of(spark, rows)
+    for budget in (0.3, 0.9):
+        have, got = (Counter((r.doc_id, r.source, r.text) for r in x.collect()) for x in (docs, mixing.take(docs, budget=budget, block_docs=16)))
+        assert all(n == have[x] for x, n in got.items())
+        assert 0.6 * budget * len(rows) < got.total() <= budget * len(rows)
+
+
+def test_schedule_counts_repeated_rows_one_by_one(spark):
+    rows = [(7, "a b c", None, "s", 0)] * 2500 + [(i, "a b c", None, "s", 0) for i in range(8, 30)] + [(7, "a b", None, "t", 0)] * 3
+    got = mixing.schedule(table_of(spark, rows), budget=0.5, entropy=0.0).collect()
+    starts = sorted(r.start for r in got if r.source == "s")
+    assert starts == list(range(0, 3 * len(starts), 3)) and len(starts) == 3 * 2522 // 6
+    assert max(Counter((r.doc_id, r.source) for r in got).values()) <= 2500
 
 
 def brute(codes: dict[int, int], queries: list[int], k: int) -> set[tuple]:
@@ -156,12 +176,15 @@ def test_search_matches_brute_force(spark, n, k, cell_rows):
 
 
 def test_sign_codes_of_awkward_vectors(spark):
-    rows = [(1, [1.0, -1.0, 0.0, float("nan")] + [0.0] * 60), (2, None), (None, [1.0] * 64), (3, [1.0] * 80), (4, [None, 2.0]), (5, [])]
+    rows = [(1, [1.0, -1.0, 0.0, float("nan")] + [0.0] * 60), (2, None), (None, [1.0] * 64), (3, [1.0] * 64), (4, [None, 2.0]), (5, [])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in CLASHING if c != "id"})
     codes = {r.id: r.code % 2**64 for r in topk_search.sign_codes(table).collect()}
     assert codes == {1: 1, 3: 2**64 - 1, 4: 2, 5: 0}
     found = topk_search.top_k(topk_search.sign_codes(table), topk_search.sign_codes(table), 2)
     assert found.count() == 8
+    wide = spark.createDataFrame([(1, [1.0] * 65)], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="more than 64 components"):
+        topk_search.sign_codes(wide).collect()
 
 
 def test_empty_tables(spark):
