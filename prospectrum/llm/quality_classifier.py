@@ -5,8 +5,13 @@ regard to labels. A small network over text statistics minimises the
 non-negative unbiased risk: with class prior q, positive risk P, the
 unlabelled's negative risk U and the positives' negative risk N, it is
 q P + max(0, U - q N); where the bracket is negative, its gradient is climbed
-instead. The prior is the share of label 1 among all labels that may be
-learned from (0.5 where there are none).
+instead.
+
+The prior is estimated from positives and unlabelled texts alone, no other
+label is looked at: a first network, trained on half of both, scores the other
+halves. Above any threshold, the share of the unlabelled over the share of the
+positives is no less than the prior, but for chance; the least such ratio, with
+a margin for chance, is the estimate, held within ``PRIOR_BOUNDS``.
 
 Fitting takes bounded samples (``positives`` and ``unlabelled`` texts, by the
 order of a hash); only their statistics, some 80 numbers a text, reach the
@@ -14,7 +19,7 @@ driver. Scoring takes every whole text.
 
 Defined results: null and empty texts are scored like any other, from
 statistics that are zero; repeated rows get equal scores; without a positive
-every score is the prior; an empty table gives an empty result; only the key
+every score is 0.5; an empty table gives an empty result; only the key
 and the text are read for a score.
 """
 
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 from prospectrum.llm.textblock import TextBlock, blocks
 
 POSITIVES, UNLABELLED, HIDDEN, EPOCHS = 6000, 12000, 24, 60
+PRIOR_BOUNDS = (0.05, 0.95)
 
 #: Byte classes: space, newline, lower, upper, digit, full stop or comma, other ASCII, beyond ASCII.
 _CLASS = np.full(256, 6, np.uint8)
@@ -95,10 +101,32 @@ def risk_gradient(z_positive: np.ndarray, z_unlabelled: np.ndarray, prior: float
     return prior * p / n_p, -u / n_u  # climb until the estimate is a risk again
 
 
-def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = 11) -> QualityModel:
-    prior = float(np.clip(prior, 0.01, 0.99))
+def least_ratio(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 1.0) -> float:
+    """The estimate of the class prior from scores of held positives and
+    unlabelled texts: the least ratio of their shares above a threshold, where
+    the margin of chance (DKW bound at 10 %) is least against the share."""
+    n, m = len(positive), len(unlabelled)
+    cuts = np.sort(positive)[::-1]  # above the k-th, k positives
+    p = np.arange(1, n + 1) / n
+    u = (m - np.searchsorted(np.sort(unlabelled), cuts, "left")) / m
+    chance = margin * (np.sqrt(np.log(20) / (2 * n)) + np.sqrt(np.log(20) / (2 * m)))
+    best = int(np.argmin((u + chance) / p))
+    return float(u[best] / p[best])
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 11) -> float:
+    """The share of positives among the unlabelled; 0.5 from fewer than 8 of either."""
+    if min(len(positive), len(unlabelled)) < 8:
+        return 0.5
+    first = train(positive[::2], unlabelled[::2], 0.5, epochs=EPOCHS // 4, seed=seed)
+    return float(np.clip(least_ratio(first.logits(positive[1::2]), first.logits(unlabelled[1::2])), *PRIOR_BOUNDS))
+
+
+def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = 11) -> QualityModel:
+    """prior: the class prior; estimated where it is not given."""
     if not len(positive) or not len(unlabelled):
-        return QualityModel(prior, np.zeros(N_FEATURES), np.ones(N_FEATURES), ())
+        return QualityModel(0.5, np.zeros(N_FEATURES), np.ones(N_FEATURES), ())
+    prior = float(np.clip(estimated_prior(positive, unlabelled, seed) if prior is None else prior, 0.01, 0.99))
     rng = np.random.default_rng(seed)
     centre, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
     xs = [np.clip((x - centre) / scale, -8, 8) for x in (positive, unlabelled)]
@@ -148,13 +176,11 @@ def _first(rows: DataFrame, key: str, n: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, training: Column, key: str = "doc_id", label: str = "quality", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> QualityModel:
     """training: which rows, of labels and of web texts, may be learned from.
     Of rows that repeat a key the least text counts."""
-    known = labels.where(training & F.col(label).isNotNull())
-    prior = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    trusted = _first(known.where(F.col(label) == 1), key, positives)
+    trusted = _first(labels.where(training & (F.col(label) == 1)), key, positives)
     web = _first(docs.where(training), key, unlabelled)
     texts = docs.where(training).select(key, "text")
     chosen = [texts.join(F.broadcast(keys), key).groupBy(key).agg(F.min("text").alias("text")) for keys in (trusted, web)]
-    return train(*map(_measured, chosen), 0.5 if prior is None else prior)
+    return train(*map(_measured, chosen))
 
 
 def score(docs: DataFrame, model: QualityModel, key: str = "doc_id") -> DataFrame:

@@ -21,7 +21,7 @@ def test_a_repeated_key_is_one_text_of_the_quality_sample(spark, monkeypatch, un
     docs = spark.createDataFrame([(i, f"text {i} of many", None, None, None) for i in range(400)] + [(1000, f"copy {i}", None, None, None) for i in range(200)], DOCUMENTS)
     labels = spark.createDataFrame([(i, 1) for i in [*range(30), *[1000] * 50]], "doc_id long, quality int")
     sizes = []
-    monkeypatch.setattr(quality_classifier, "train", lambda p, u, prior: sizes.append((p.shape, u.shape)))
+    monkeypatch.setattr(quality_classifier, "train", lambda p, u: sizes.append((p.shape, u.shape)))
     quality_classifier.fit(docs, labels, F.lit(True), positives=20, unlabelled=unlabelled)
     assert sizes == [((20, quality_classifier.N_FEATURES), (size, quality_classifier.N_FEATURES))]
 
