@@ -165,6 +165,121 @@ def test_gradients_match_differences():
         assert abs((risk(zp, zu + step) - risk(zp, zu - step)) / 2e-6 - gu[i]) < 1e-6
 
 
+@pytest.mark.parametrize("prior", [0.15, 0.5, 0.85])
+def test_the_prior_is_found_without_negatives(prior):
+    rng = np.random.default_rng(int(prior * 100))
+    texts = lambda n, at: rng.normal(at, 1, (n, quality_classifier.N_FEATURES)).astype(np.float32)
+    n = int(4000 * prior)
+    unlabelled = rng.permutation(np.vstack([texts(n, 0.4), texts(4000 - n, -0.4)]))
+    assert abs(quality_classifier.estimated_prior(texts(2000, 0.4), unlabelled) - prior) < 0.07
+    assert quality_classifier.estimated_prior(texts(3, 0.4), unlabelled) == 0.5
+
+
+def test_least_ratio_of_known_scores():
+    """Positives above 0 only, a fifth of the unlabelled among them."""
+    positive, unlabelled = np.linspace(0.5, 1, 5000), np.concatenate([np.linspace(0.5, 1, 1000), np.linspace(-1, 0, 4000)])
+    assert abs(quality_classifier.least_ratio(positive, unlabelled) - 0.2) < 0.01
+
+
+def _filters_by_hand(table: np.ndarray, ids: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Greatest filter values by text, word after word."""
+    out, first = [], 0
+    for n in n_words:
+        parts = [sum(table[i] for i in row) for row in ids[first : first + n]]
+        first += n
+        best, column = [], 0
+        for width in toxicity.WIDTHS:
+            values = [sum(parts[at + j][column + j * toxicity.FILTERS : column + (j + 1) * toxicity.FILTERS] for j in range(width) if at + j < n) for at in range(n)]
+            best.append(np.maximum(np.max(values, 0), 0) if n else np.zeros(toxicity.FILTERS))
+            column += width * toxicity.FILTERS
+        out.append(np.concatenate(best))
+    return np.array(out)
+
+
+def _tiny_network(seed):
+    rng = np.random.default_rng(seed)
+    n_words = np.array([5, 0, 1, 2, 9])
+    ids = rng.integers(0, 12, (n_words.sum(), 3))
+    layers = [rng.normal(size=s) for s in ((12, 4), (4, len(toxicity._OFFSETS) * toxicity.FILTERS), 3 * toxicity.FILTERS, 3 * toxicity.FILTERS)]
+    return layers, 0.3, ids, n_words, np.array([1, 0, 1, 0, 0]), rng.random(5)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_filters_and_pooling_match_a_plain_version(seed):
+    (words, kernel, *_), _, ids, n_words, _, _ = _tiny_network(seed)
+    table = words @ kernel
+    got = toxicity._pool(toxicity._filtered(table[ids].sum(1), n_words), n_words)
+    assert np.allclose(got, _filters_by_hand(table, ids, n_words), atol=1e-5)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_gradients_of_the_network_match_differences(seed, monkeypatch):
+    monkeypatch.setattr(toxicity, "_pool", lambda v, n: np.array([np.maximum(v[e - k : e].max(0), 0) if k else np.zeros(v.shape[1]) for k, e in zip(n, np.cumsum(n), strict=True)]))  # not rounded to 32 bits
+    layers, base, ids, n_words, y, weight = _tiny_network(seed)
+
+    def loss(words, kernel, bias, out, base):
+        z = toxicity._pool(toxicity._filtered(words[ids].sum(1) @ kernel, n_words) + bias, n_words) @ out + base
+        return np.sum(weight * np.logaddexp(0, np.where(y == 1, -z, z)))
+
+    g_out, g_kernel, g_bias, g_base, found, g_words = toxicity.gradients((*layers, base), ids, n_words, y, weight)
+    whole = np.zeros_like(layers[0])
+    whole[found] = g_words
+    assert abs((loss(*layers, base + 1e-6) - loss(*layers, base - 1e-6)) / 2e-6 - g_base) < 1e-5
+    for k, got in enumerate((whole, g_kernel, g_bias, g_out)):
+        for at in np.random.default_rng(seed).choice(layers[k].size, min(20, layers[k].size), replace=False):
+            change = np.zeros(layers[k].size)
+            change[at] = 1e-6
+            up, down = ([x + s * change.reshape(x.shape) if i == k else x for i, x in enumerate(layers)] for s in (1, -1))
+            assert abs((loss(*up, base) - loss(*down, base)) / 2e-6 - got.ravel()[at]) < 1e-5
+
+
+def test_thresholds_come_from_texts_not_seen(monkeypatch):
+    """Each half is scored by a network of the other half; all make the last one."""
+    seen = []
+    real = toxicity._train
+    monkeypatch.setattr(toxicity, "_train", lambda texts, *a: seen.append({int(t[0][0, 0]) for t in texts}) or real(texts, *a))
+    texts = [(np.full((4, 3), i, np.int32), 4) for i in range(200)]
+    labels, halves = np.arange(200) % 2, np.arange(200) // 2 % 2
+    model = toxicity.train(texts, labels, np.array(["xx"] * 200, object), None, halves)
+    assert seen == [set(range(200)), {i for i in range(200) if halves[i]}, {i for i in range(200) if not halves[i]}]
+    # the halves share no word, so nothing is known of unseen texts and no score is near a decision
+    scores = [1 / (1 + np.exp(-model.logits(x, np.array([n]))[0] - model.shifts["xx"])) for x, n in texts]
+    assert 0.2 < min(scores) and max(scores) < 0.8
+
+
+def test_calibration_is_the_logistic_fit():
+    rng = np.random.default_rng(3)
+    z, names = rng.normal(0, 3, 6000), rng.choice(np.array(["aa", "bb", "cc"], object), 6000, p=[0.6, 0.398, 0.002])
+    odds = 0.5 * z + np.where(names == "aa", 1.0, -2.0)
+    y = (rng.random(6000) < 1 / (1 + np.exp(-odds))).astype(int)
+    slope, offsets = toxicity.calibration(z, y, names)
+    assert abs(slope - 0.5) < 0.05 and abs(offsets["aa"] - 1) < 0.2 and abs(offsets["bb"] + 2) < 0.2
+    assert min(offsets["aa"], offsets["bb"]) - 1 < offsets["cc"] < max(offsets["aa"], offsets["bb"])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_language_shares_match_counting_one_by_one(seed):
+    """Each n-gram's languages by its positions in the filters, counted text by text."""
+    rng = random.Random(seed)
+    names = [f"l{i}" for i in range(70)]
+    texts = ["".join(rng.choices("abcdefgh é", k=80)) for _ in names]
+    codes = [language_id.grams(np.frombuffer(t.encode(), np.uint8)) for t in texts]
+    filters = language_id.LanguageFilters.build(names, np.repeat(np.arange(70), [len(c) for c in codes]), np.concatenate(codes), bits=12)
+    asked = [texts[3][:40], "abc", "", texts[66] + " " + texts[5][:20], "éé abc dea cab"]
+    got = filters.shares(block(asked))
+    for row, text in zip(got, asked, strict=True):
+        own = language_id.grams(np.frombuffer(text.encode(), np.uint8)).tolist()
+        for i in range(70):
+            held_by, full = 0, set()
+            for c in codes[i].tolist():
+                full |= {(c * int(h) % 2**32) >> 20 for h in language_id.HASHES}
+            for gram in own:
+                held_by += all((gram * int(h) % 2**32) >> 20 in full for h in language_id.HASHES)
+            false = (len(full) / 4096) ** 2
+            want = max(0, (held_by / max(len(own), 1) - false) / (1 - false))
+            assert abs(row[i] - want) < 1e-9
+
+
 def test_filters_return_all_languages_of_an_ngram():
     texts = {"aa": "common text apple", "bb": "common text berry"}
     codes = {k: language_id.grams(np.frombuffer(t.encode(), np.uint8)) for k, t in texts.items()}
