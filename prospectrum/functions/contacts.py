@@ -6,17 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prospectrum.constants import DIAL_CODES, GENERIC_LOCAL_PARTS, PLACEHOLDER_EMAIL_DOMAINS, PLACEHOLDER_PHONES
-from prospectrum.functions.text import SPACE, col, js_trim
+from prospectrum.functions.text import SPACE, col, js_trim, let
 
 #: A conservative grammar: dotted atoms, a domain of labels, a letter ending.
 EMAIL = "^(?!\\.)(?!.*\\.\\.)[a-z0-9_'+\\-.]*[a-z0-9_+\\-]@([a-z0-9][a-z0-9\\-]*\\.)+[a-z]{2,}$"
 
 
-def _let(value: Column, then) -> Column:
-    """then(value), with value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def valid_email(x: Column | str) -> Column:
     """the address in lower case, or null."""
 
@@ -25,7 +20,7 @@ def valid_email(x: Column | str) -> Column:
         address = F.concat(local, F.lit("@"), domain)
         return F.when((F.size(parts) == 2) & address.rlike(EMAIL) & ~domain.isin(PLACEHOLDER_EMAIL_DOMAINS), address)
 
-    return _let(F.split(js_trim(x), "@", -1), checked)
+    return let(F.split(js_trim(x), "@", -1), checked)
 
 
 def is_generic_local_part(x: Column | str) -> Column:
@@ -35,7 +30,7 @@ def is_generic_local_part(x: Column | str) -> Column:
 def personal_email(x: Column | str, company: Column | str) -> Column:
     """valid, no generic inbox, not the company's own address."""
     own = valid_email(company)
-    return _let(valid_email(x), lambda e: F.when(~is_generic_local_part(e) & ~F.coalesce(e == own, F.lit(False)), e))
+    return let(valid_email(x), lambda e: F.when(~is_generic_local_part(e) & ~F.coalesce(e == own, F.lit(False)), e))
 
 
 def phone_digits(x: Column | str) -> Column:
@@ -78,10 +73,10 @@ def displayed_phone(x: Column | str) -> Column:
         return (
             F.when(t.rlike(f"{SPACE}|[().\\-]"), F.regexp_replace(t, f"{SPACE}+", " "))
             .when(F.length(d) < 7, t)
-            .otherwise(_let(dial_code(d), coded))
+            .otherwise(let(dial_code(d), coded))
         )
 
-    return _let(js_trim(x), shown)
+    return let(js_trim(x), shown)
 
 
 def valid_phone(x: Column | str) -> Column:
@@ -94,7 +89,7 @@ def valid_phone(x: Column | str) -> Column:
         ok &= F.when(plus, dial_code(d).isNotNull()).otherwise(F.length(d) <= 11)
         return F.when(F.when(ok, ~is_placeholder_digits(d)).otherwise(False), displayed_phone(t))
 
-    return _let(js_trim(x), checked)
+    return let(js_trim(x), checked)
 
 
 def e164_phone(x: Column | str) -> Column:
@@ -103,4 +98,4 @@ def e164_phone(x: Column | str) -> Column:
     def plus(d: Column) -> Column:
         return F.when(d.startswith("+"), d).when(d != "", F.concat(F.lit("+"), d))
 
-    return _let(phone_digits(valid_phone(x)), plus)
+    return let(phone_digits(valid_phone(x)), plus)

@@ -104,7 +104,7 @@ def json_ld(html: str) -> list[str]:
         elif isinstance(value, dict):
             kind = value.get("@type")
             if any(isinstance(k, str) and k in C.JSON_LD_TYPES for k in (kind if isinstance(kind, list) else [kind])):
-                name = value.get("name", value.get("url", "")) or ""
+                name = next((value[k] for k in ("name", "url") if value.get(k) is not None), "")
                 found.setdefault(f"{kind}:{name}", json.dumps(value, ensure_ascii=False, separators=(",", ":")))
             if value.get("@graph"):
                 collect(value["@graph"])

@@ -1,18 +1,21 @@
 """Company profiles: merge, gaps, completeness, eligibility, recipients.
 
 A profile is a struct column of ``PROFILE`` fields; readers accept structs
-that lack fields (``whole`` fills them in).
+that lack fields (``whole`` fills them in). A function that looks at many of
+its fields binds the profile first, so that plans hold what made it once.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from prospectrum.constants import COMPLETENESS, INDUSTRY_GROUPS
 from prospectrum.functions import contacts
-from prospectrum.functions.text import EMPTY_LABEL, distinct_strings, display_value, is_unknown, js_trim
+from prospectrum.functions.text import EMPTY_LABEL, distinct_strings, display_value, is_unknown, js_trim, let
 from prospectrum.functions.urls import is_company_page, is_personal_profile
 
 TEXTS = ["companyName", "description", "industry", "estimatedCompanySize", "city", "country", "decisionMaker", "revenue"]
@@ -23,11 +26,22 @@ PROFILE = T.StructType([T.StructField(f, T.ArrayType(T.StringType()) if f in LIS
 EMPLOYEE_RANGE = "^(?:\\d+-\\d+|\\d+\\+|unknown)$"
 
 
+def bound(function):
+    """The function with its first argument, a profile, computed once."""
+
+    @wraps(function)
+    def once(p: Column, *more: Column) -> Column:
+        return let(p, lambda v: function(v, *more))
+
+    return once
+
+
 def parsed(json: Column) -> Column:
     """A profile from JSON text; missing fields are null."""
     return F.from_json(json, PROFILE, {"mode": "PERMISSIVE"})
 
 
+@bound
 def whole(p: Column) -> Column:
     """Missing texts become 'unknown', missing lists empty."""
     fill = lambda f: F.coalesce(p[f], F.lit("unknown")) if f in TEXTS else F.coalesce(p[f], F.array().cast("array<string>")) if f in LISTS else p[f]
@@ -42,7 +56,10 @@ def stub(name: Column, industry: Column, city: Column, country: Column, size: Co
 
 def merged(preferred: Column, fallback: Column) -> Column:
     """known texts of the preferred profile win, arrays unite."""
+    return let(preferred, lambda a: let(fallback, lambda b: _merged(a, b)))
+
 
+def _merged(preferred: Column, fallback: Column) -> Column:
     def text(f: str) -> Column:
         return F.when(~is_unknown(preferred[f]), js_trim(preferred[f])).when(~is_unknown(fallback[f]), js_trim(fallback[f])).otherwise("unknown")
 
@@ -55,6 +72,7 @@ def merged(preferred: Column, fallback: Column) -> Column:
     return F.struct(*[pick(f).alias(f) for f in FIELDS])
 
 
+@bound
 def gap_count(p: Column) -> Column:
     """F32: how many of seven facts are missing."""
     unknown = [is_unknown(p[f]) for f in ("city", "country", "decisionMaker", "estimatedCompanySize", "revenue")]
@@ -62,12 +80,14 @@ def gap_count(p: Column) -> Column:
     return sum((x.cast("int") for x in [*unknown, *missing]), F.lit(0))
 
 
+@bound
 def has_personal_gap(p: Column) -> Column:
     """F32: no decision maker, or none of their contacts."""
     some = [js_trim(F.coalesce(p[f], F.lit(""))) != "" for f in ("decisionMakerEmail", "decisionMakerPhone", "decisionMakerLinkedInUrl")]
     return is_unknown(p["decisionMaker"]) | ~(some[0] | some[1] | some[2])
 
 
+@bound
 def completeness(p: Column) -> Column:
     """weights of the facts present, added in order, to three places."""
     filled = lambda f: F.coalesce(p[f], F.lit("")) != ""
@@ -81,6 +101,7 @@ def completeness(p: Column) -> Column:
     return F.floor(total * 1000 + 0.5) / 1000
 
 
+@bound
 def sanitized(p: Column) -> Column:
     """formats checked, then what a person's contacts must not be."""
     phone, own_phone = contacts.valid_phone(p["phone"]), contacts.valid_phone(p["decisionMakerPhone"])
@@ -97,12 +118,14 @@ def sanitized(p: Column) -> Column:
     return F.struct(*[new.get(f, p[f]).alias(f) for f in FIELDS])
 
 
+@bound
 def with_hints(p: Column, email: Column, link: Column) -> Column:
     """hints fill what is null."""
     new = {"decisionMakerEmail": F.coalesce(p["decisionMakerEmail"], email), "decisionMakerLinkedInUrl": F.coalesce(p["decisionMakerLinkedInUrl"], link)}
     return F.struct(*[new.get(f, p[f]).alias(f) for f in FIELDS])
 
 
+@bound
 def has_any_contact(p: Column) -> Column:
     """a usable contact of the company or of its decision maker."""
     shown = lambda f: display_value(p[f]) != EMPTY_LABEL
@@ -112,6 +135,7 @@ def has_any_contact(p: Column) -> Column:
     return F.coalesce(p.isNotNull() & (company | (shown("decisionMaker") & person)), F.lit(False))
 
 
+@bound
 def recipient(p: Column, channel: Column) -> Column:
     """(toAddress, toName, toEmail) for the channel, or null."""
     name = F.when(~is_unknown(p["decisionMaker"]), js_trim(p["decisionMaker"]))
@@ -133,6 +157,7 @@ def shares_industry_group(a: Column, b: Column) -> Column:
     return F.arrays_overlap(industry_groups(a), industry_groups(b))
 
 
+@bound
 def profile_errors(p: Column) -> Column:
     """V1: the fields that break the profile's rules, as an array."""
     most = {"companyName": 500, "description": 2000, "industry": 200, "estimatedCompanySize": 50, "decisionMaker": 500, "revenue": 200}

@@ -15,6 +15,12 @@ def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once however often then uses it.
+    (Written out, an expression is repeated in the plan at every use.)"""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def js_trim(x: Column | str) -> Column:
     return F.regexp_replace(col(x), f"^{SPACE}+|{SPACE}+$", "")
 

@@ -1,20 +1,23 @@
-"""Web addresses as Column expressions."""
+"""Web addresses as Column expressions.
+
+Each step is bound with ``let``, so a plan holds it once.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prospectrum.constants import BLOCKED_DOMAINS, BLOCKED_HOSTS
-from prospectrum.functions.text import col
+from prospectrum.functions.text import col, let
 
-PRIVATE_IPV4 = "^(10|127|0)(\\.\\d{1,3}){3}$|^(169\\.254|192\\.168|172\\.(1[6-9]|2\\d|3[01]))(\\.\\d{1,3}){2}$"
+_OCTETS = "^[0-9]{1,3}([.][0-9]{1,3}){3}$"
 
 
 def with_scheme(x: Column | str) -> Column:
-    return F.when(F.contains(col(x), F.lit("://")), col(x)).otherwise(F.concat(F.lit("https://"), col(x)))
+    return let(col(x), lambda v: F.when(F.contains(v, F.lit("://")), v).otherwise(F.concat(F.lit("https://"), v)))
 
 
 def bare_host(x: Column) -> Column:
@@ -23,35 +26,52 @@ def bare_host(x: Column) -> Column:
 
 def normalized_domain(x: Column | str) -> Column:
     """the host in lower case without www., if it has a dot."""
-    host = bare_host(with_scheme(x))
-    return F.when(F.contains(host, F.lit(".")), host)
+    return let(bare_host(with_scheme(x)), lambda host: F.when(F.contains(host, F.lit(".")), host))
 
 
 def normalized_website(x: Column | str) -> Column:
     """http(s) only, no query, no fragment, no slash at the end."""
-    url = with_scheme(x)
-    scheme = F.lower(F.try_parse_url(url, F.lit("PROTOCOL")))
-    port = F.regexp_extract(F.try_parse_url(url, F.lit("AUTHORITY")), ":(\\d+)$", 1)
-    usual = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-    built = F.concat(scheme, F.lit("://"), bare_host(url), F.when(usual, "").otherwise(F.concat(F.lit(":"), port)), path)
-    return F.when(scheme.isin("http", "https"), F.regexp_replace(built, "/$", ""))
+
+    def parts(url: Column) -> Column:
+        part = lambda name: F.try_parse_url(url, F.lit(name))
+        port = F.regexp_extract(part("AUTHORITY"), ":(\\d+)$", 1)
+        return F.struct(F.lower(part("PROTOCOL")).alias("scheme"), bare_host(url).alias("host"), port.alias("port"), F.coalesce(part("PATH"), F.lit("")).alias("path"))
+
+    def built(p: Column) -> Column:
+        usual = (p["port"] == "") | ((p["scheme"] == "http") & (p["port"] == "80")) | ((p["scheme"] == "https") & (p["port"] == "443"))
+        whole = F.concat(p["scheme"], F.lit("://"), p["host"], F.when(usual, "").otherwise(F.concat(F.lit(":"), p["port"])), p["path"])
+        return F.when(p["scheme"].isin("http", "https"), F.regexp_replace(whole, "/$", ""))
+
+    return let(let(with_scheme(x), parts), built)
 
 
 def is_blocked_domain(domain: Column | str, blocked: list[str] = BLOCKED_DOMAINS) -> Column:
     """a blocked domain or one below it."""
-    low = F.lower(col(domain))
-    return low.isin(blocked) | reduce(lambda a, b: a | b, [low.endswith(f".{d}") for d in blocked])
+    return F.lower(col(domain)).rlike(f"(^|[.])({'|'.join(map(re.escape, blocked))})$")
+
+
+def is_private_ipv4(host: Column) -> Column:
+    """four numbers of up to three digits, in a network for this host (0,
+    127), link-local (169.254) or private use (10, 172.16 to 172.31, 192.168)."""
+
+    def inside(octets: Column) -> Column:
+        a, b = F.get(octets, F.lit(0)).cast("int"), F.get(octets, F.lit(1)).cast("int")
+        return a.isin(0, 10, 127) | ((a == 169) & (b == 254)) | ((a == 192) & (b == 168)) | ((a == 172) & b.between(16, 31))
+
+    return F.when(host.rlike(_OCTETS), let(F.split(host, "[.]"), inside)).when(host.isNotNull(), False)
 
 
 def is_safe_host(host: Column | str, allowed: Column | str | None = None) -> Column:
     """no private or local host; equal to or below the allowed domain."""
-    bare = F.regexp_replace(F.lower(col(host)), "^www\\.", "")
-    safe = ~(bare.isin(BLOCKED_HOSTS) | bare.rlike(PRIVATE_IPV4) | bare.endswith(".local") | bare.endswith(".internal"))
-    if allowed is None:
-        return safe
-    domain = F.regexp_replace(F.lower(col(allowed)), "^www\\.", "")
-    return safe & ((bare == domain) | F.endswith(bare, F.concat(F.lit("."), domain)))
+
+    def safe(bare: Column) -> Column:
+        good = ~(bare.isin(BLOCKED_HOSTS) | is_private_ipv4(bare) | bare.endswith(".local") | bare.endswith(".internal"))
+        if allowed is None:
+            return good
+        below = lambda domain: (bare == domain) | F.endswith(bare, F.concat(F.lit("."), domain))
+        return good & let(F.regexp_replace(F.lower(col(allowed)), "^www\\.", ""), below)
+
+    return let(F.regexp_replace(F.lower(col(host)), "^www\\.", ""), safe)
 
 
 def is_safe_url(url: Column | str, allowed: Column | str | None = None) -> Column:
@@ -71,8 +91,8 @@ def crawl_targets(website: Column | str, domain: Column | str, paths: list[str])
     return F.when(is_safe_url(base, domain), each)
 
 
-def robots_allows(rules: Column | str, path: Column | str, agent: str = "salesintelligencebot") -> Column:
-    """Disallow prefixes of groups for * or the agent. A null file forbids."""
+def robots_allows(rules: Column | str, path: Column | str, agent: str) -> Column:
+    """Disallow prefixes of groups for * or the agent (in lower case). A null file forbids."""
     lines = F.transform(F.split(col(rules), "\n"), lambda x: F.trim(F.regexp_replace(x, "\\r", "")))
     value = lambda x: F.trim(F.coalesce(F.get(F.split(x, ":"), F.lit(1)), F.lit("")))
     start = F.struct(F.lit(False).alias("applies"), F.lit(True).alias("allowed"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prospectrum.constants import PERMISSIONS
+from prospectrum.sources.tables import written
 
 
 def where_all(rows: DataFrame, *predicates: Column | None) -> DataFrame:
@@ -41,6 +42,21 @@ def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
     return top_per_key(rows, [key], [F.col(version).desc()], 1)
 
 
+def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """O1, O2: every row with its place in a total order.
+
+    Rows are dealt out by ranges of the order; a place is a row's number in its
+    partition, after the sizes of the partitions before. No task gets all rows.
+    """
+    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id()), "ranges")
+    part, last = F.shiftrightunsigned("__place", 33), F.max("__place")
+    sizes = dealt.groupBy(part.alias("__part")).agg((last - F.min("__place") + 1).alias("__n"))  # a row for each partition
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.select("__part", before.alias("__before"))
+    place = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1
+    return dealt.withColumn("__part", part).join(F.broadcast(base), "__part").withColumn("place", place).drop("__part", "__before", "__place")
+
+
 def top_per_key(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each key; pruned before the shuffle as well."""
     return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= n).drop("__n")

@@ -61,8 +61,8 @@ def test_locations(spark):
 
 def test_robots_rules(spark):
     rules = ["User-agent: *\nDisallow: /careers", "User-agent: other\r\nDisallow: /", "Disallow: /", "User-agent: *\nDisallow:", None]
-    assert values(spark, urls.robots_allows("a", F.lit("/about")), rules) == [True, True, True, True, False]
-    assert values(spark, urls.robots_allows("a", F.lit("/careers/x")), rules) == [False, True, True, True, False]
+    assert values(spark, urls.robots_allows("a", F.lit("/about"), "leadreader"), rules) == [True, True, True, True, False]
+    assert values(spark, urls.robots_allows("a", F.lit("/careers/x"), "leadreader"), rules) == [False, True, True, True, False]
 
 
 def test_crawl_targets_stay_on_the_site(spark):
