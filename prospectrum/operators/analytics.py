@@ -72,6 +72,24 @@ def campaign_recipients(campaigns: DataFrame, recipients: DataFrame) -> DataFram
     return campaigns.join(recipients.select("campaign_id", F.col("status").alias("recipient_status")), "campaign_id", "left")
 
 
+def campaign_details(asked: DataFrame, campaigns: DataFrame, recipients: DataFrame) -> DataFrame:
+    """The funnel of single campaigns, each behind its guard. asked: request
+    (any key), campaign_id, role, user_id, organization_id. outcome is ok, not
+    found, or forbidden: a sales representative sees their own campaigns,
+    others their organization's. Only ok has numbers."""
+    own = campaigns.select("campaign_id", "name", "channel", F.col("user_id").alias("__user"), F.col("organization_id").alias("__organization"))
+    met = asked.join(own, "campaign_id", "left")
+    may = F.when(F.col("role") == "SALES_REP", F.col("__user") == F.col("user_id")).otherwise(F.col("__organization") == F.col("organization_id"))
+    outcome = F.when(F.col("name").isNull(), "not found").when(may, "ok").otherwise("forbidden")
+    judged = met.withColumn("outcome", outcome)
+    granted = judged.where("outcome = 'ok'").select("campaign_id").distinct()
+    counts = funnel(recipients.join(granted, "campaign_id", "left_semi"), "campaign_id")
+    numbers = ["total", *MEASURES, *RATES]
+    shown = lambda c: F.when(F.col("outcome") == "ok", F.coalesce(F.col(c), F.lit(0))).alias(c)
+    named = [F.when(F.col("outcome") == "ok", F.col(c)).alias(c) for c in ("name", "channel")]
+    return judged.join(counts, "campaign_id", "left").select("request", "campaign_id", "outcome", *named, *map(shown, numbers))
+
+
 def funnel_by_channel(campaigns: DataFrame, recipients: DataFrame) -> DataFrame:
     """A row for each channel, zero-filled, with its label and campaigns."""
     spark = campaigns.sparkSession

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prospectrum.constants import CRAWL_PATHS, EMAIL_PATTERN
-from prospectrum.functions import contacts, markup
+from prospectrum.functions import contacts, markup, rules
 from prospectrum.functions.text import is_unknown, js_trim, without_runs
 from prospectrum.operators.relational import budgeted_prefix
 
@@ -98,6 +98,15 @@ def clean_pages(pages: DataFrame, key: str = "page_id", most: int = PAGE_CHARS)
     )
 
 
+def rejected_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """The pages that break the input rules, each with code and message."""
+    path = F.col("page_path") if "page_path" in pages.columns else F.coalesce(F.nullif(F.try_parse_url("url", F.lit("PATH")), F.lit("")), F.lit("/"))
+    title = F.col("title") if "title" in pages.columns else F.lit(None).cast("string")
+    bad = pages.select(key, rules.cleaning_errors(F.col("html"), F.col("url"), path, title).alias("bad")).where(F.size("bad") > 0)
+    message = F.array_join(F.transform("bad", lambda x: F.concat(F.lit("invalid "), x)), "; ")
+    return bad.select(key, F.lit("INVALID_INPUT").alias("code"), message.alias("message"))
+
+
 def company_documents(pages: DataFrame, company: str, position: str, most: int = TOTAL_CHARS) -> DataFrame:
     """Each company's pages as one document. Over budget, pages
     go by path priority, and the first that doesn't fit ends the document."""

@@ -116,6 +116,14 @@ def delete_campaigns(campaigns: DataFrame, gone: DataFrame) -> DataFrame:
     return campaigns.join(gone.join(campaigns.where("status <> 'RUNNING'").select("campaign_id"), "campaign_id", "left_semi"), "campaign_id", "left_anti")
 
 
+def delete_owned(rows: DataFrame, asked: DataFrame, key: str = "id", user: str = "user_id") -> tuple[DataFrame, DataFrame]:
+    """M9: (rows that stay, asked with the number that went). A row goes only
+    for its own user; a wrong one deletes nothing."""
+    once = asked.select(key, user).distinct()
+    counts = rows.join(once, [key, user]).groupBy(key, user).agg(F.count("*").alias("deleted"))
+    return rows.join(once, [key, user], "left_anti"), asked.join(counts, [key, user], "left").fillna(0, ["deleted"])
+
+
 def prunable(companies: DataFrame, newest: DataFrame, has_contact: Column) -> DataFrame:
     """Companies whose latest profile has no contact, or that have none."""
     return companies.join(newest.where(has_contact).select("company_id"), "company_id", "left_anti")

@@ -107,6 +107,22 @@ def history(profiles: DataFrame) -> DataFrame:
     return profiles.groupBy("company_id").agg(versions.alias("versions"))
 
 
+def company_detail(companies: DataFrame, profiles: DataFrame, searched: DataFrame, order: list[Column], n: int = 10) -> DataFrame:
+    """What a user sees of the companies that their searches found: the
+    company, its latest profile, all versions, and their n newest searches.
+
+    searched: the user's results with what a search shows; a company that has
+    none there can't be seen. profiles: company_id, version and more.
+    """
+    shown = [c for c in searched.columns if c != "company_id"]
+    mine = searched.withColumn("__n", F.row_number().over(Window.partitionBy("company_id").orderBy(*order))).where(F.col("__n") <= n)
+    recent = mine.groupBy("company_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("__n", F.struct(*shown).alias("x")))), lambda s: s["x"]).alias("recent_searches"))
+    one = F.struct("version", *[c for c in profiles.columns if c not in ("company_id", "version")])
+    versions = profiles.join(recent.select("company_id"), "company_id", "left_semi").groupBy("company_id").agg(F.sort_array(F.collect_list(one), asc=False).alias("profile_history"))
+    seen = companies.join(recent, "company_id").join(versions, "company_id", "left")
+    return seen.withColumn("profile", F.get("profile_history", F.lit(0)))
+
+
 def budgeted_prefix(pages: DataFrame, key: str, order: list[Column], size: str, budget: int, gap: int = 2) -> DataFrame:
     """Pages in order while the text joined so far, the page and a gap fit.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prospectrum.constants import ACTIVE_JOBS, BLOCKED_DOMAINS, CRAWL_PATHS, INJECTION_PATTERNS, SIGNAL_WEIGHT
-from prospectrum.functions import contacts, profiles, text, urls
+from prospectrum.functions import contacts, profiles, rules, text, urls
 from prospectrum.operators import analytics, documents, entity, relational
 from prospectrum.plans import search
 from prospectrum.sources import ports
@@ -149,13 +149,25 @@ def _(v: Views) -> DataFrame:
     return relational.company_page(v.companies, v.profiles, [F.col("updated_day").desc_nulls_first(), F.col("company_id")], 3, 10).select("company_id", "domain", "version")
 
 
+DETAIL = "SELECT p.*, md5(concat(industry, CAST(version AS STRING))) AS content_hash FROM {profiles} p"
+SEARCHED = "SELECT r.company_id, r.job_id, concat('search ', CAST(r.job_id AS STRING)) AS query, r.stage, r.rank, r.discovered_on, r.part_id, r.line FROM {results} r JOIN {jobs} j ON j.job_id = r.job_id WHERE j.user_id BETWEEN 1 AND 40"
+
+
 @query(
-    "j3_company_history",
-    "SELECT company_id, string_agg(concat(CAST(version AS STRING), ':', industry), '|' ORDER BY version DESC) AS versions, count(*) AS n FROM {profiles} GROUP BY company_id",
+    "j3_company_detail",
+    f"""WITH s AS ({SEARCHED}), t AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY discovered_on DESC, job_id, part_id, line) AS n FROM s),
+        r AS (SELECT company_id, string_agg(concat(query, '/', stage, '/', coalesce(CAST(rank AS STRING), '-'), '/', CAST(discovered_on AS STRING)), '|' ORDER BY n) AS searches FROM t WHERE n <= 10 GROUP BY company_id),
+        h AS (SELECT company_id, string_agg(concat(CAST(version AS STRING), ':', content_hash, ':', CAST(CAST(round(completeness * 100) AS INTEGER) AS STRING)), '|' ORDER BY version DESC) AS versions, arg_max(industry, version) AS industry, count(*) AS n FROM ({DETAIL}) GROUP BY company_id)
+        SELECT c.company_id, c.domain, h.industry, h.versions, coalesce(h.n, 0) AS n_versions, r.searches FROM {{companies}} c JOIN r USING (company_id) LEFT JOIN h USING (company_id)""",
 )
 def _(v: Views) -> DataFrame:
-    each = F.transform("versions", lambda x: F.concat(x["version"].cast("string"), F.lit(":"), x["industry"]))
-    return relational.history(v.profiles).select("company_id", F.array_join(each, "|").alias("versions"), F.size("versions").cast("long").alias("n"))
+    spark = v.jobs.sparkSession
+    searched = spark.sql(SEARCHED, results=v.results, jobs=v.jobs)
+    seen = relational.company_detail(v.companies, spark.sql(DETAIL, profiles=v.profiles), searched, [F.col("discovered_on").desc(), F.col("job_id"), F.col("part_id"), F.col("line")])
+    text_of = lambda x: x.cast("string")
+    versions = F.transform("profile_history", lambda x: F.concat(text_of(x["version"]), F.lit(":"), x["content_hash"], F.lit(":"), text_of(F.round(x["completeness"] * 100).cast("int"))))
+    searches = F.transform("recent_searches", lambda x: F.concat_ws("/", x["query"], x["stage"], F.coalesce(text_of(x["rank"]), F.lit("-")), text_of(x["discovered_on"])))
+    return seen.select("company_id", "domain", "profile.industry", F.array_join(versions, "|").alias("versions"), F.coalesce(F.size("profile_history"), F.lit(0)).cast("long").alias("n_versions"), F.array_join(searches, "|").alias("searches"))
 
 
 @query("j4_accessible_companies", "SELECT DISTINCT company_id FROM {results} WHERE job_id IN (SELECT job_id FROM {jobs} WHERE user_id BETWEEN 1 AND 20)")
@@ -202,6 +214,21 @@ def _(v: Views) -> DataFrame:
     return v.signals.orderBy(F.col("detected_at").desc(), "signal_id").limit(20).select("signal_id", "company_id", "type")
 
 
+@query(
+    "w2_newest_of_one",
+    """SELECT * FROM (SELECT 'signal' AS kind, signal_id AS id, type AS shown FROM {signals} WHERE company_id = 7 ORDER BY detected_at DESC, signal_id LIMIT 5)
+       UNION ALL SELECT * FROM (SELECT 'message', turn, role FROM conversations WHERE conv_id = 1 ORDER BY turn DESC LIMIT 20)
+       UNION ALL SELECT * FROM (SELECT 'search', j.job_id, r.stage FROM {results} r JOIN {jobs} j ON j.job_id = r.job_id WHERE r.company_id = 7 ORDER BY r.discovered_on DESC, j.job_id, r.part_id, r.line LIMIT 10)""",
+)
+def _(v: Views) -> DataFrame:
+    newest = lambda rows, n, kind, id_, shown, *order: rows.orderBy(*order).limit(n).select(F.lit(kind).alias("kind"), F.col(id_).alias("id"), F.col(shown).alias("shown"))
+    signals = newest(v.signals.where("company_id = 7"), 5, "signal", "signal_id", "type", F.col("detected_at").desc(), "signal_id")
+    messages = newest(v.conversations.where("conv_id = 1"), 20, "message", "turn", "role", F.col("turn").desc())
+    mine = v.results.where("company_id = 7").join(v.jobs.select("job_id"), "job_id")
+    searches = newest(mine, 10, "search", "job_id", "stage", F.col("discovered_on").desc(), "job_id", "part_id", "line")
+    return signals.unionByName(messages).unionByName(searches)
+
+
 @query(
     "w5_rank_assignment",
     """SELECT job_id, company_id, part_id, line, coalesce(rank, row_number() OVER (PARTITION BY job_id ORDER BY part_id, company_id, line)) AS new_rank FROM {results}""",
@@ -264,9 +291,17 @@ def _(v: Views) -> DataFrame:
     return v.recipients.groupBy("campaign_id", "status").agg(F.count("*").alias("n"))
 
 
-@query("a3_active_jobs", "SELECT user_id, count(*) AS active FROM {jobs} WHERE status IN ('PENDING', 'CRAWLING', 'ENRICHING') GROUP BY user_id")
+@query(
+    "a3_counts",
+    """SELECT u.user_id, coalesce(active, 0) AS active, coalesce(leads, 0) AS leads, (SELECT count(*) FROM {companies} WHERE contains(domain, '1')) AS matching FROM (SELECT DISTINCT user_id FROM {jobs}) u
+       LEFT JOIN (SELECT user_id, count(*) AS active FROM {jobs} WHERE status IN ('PENDING', 'CRAWLING', 'ENRICHING') GROUP BY user_id) a USING (user_id)
+       LEFT JOIN (SELECT user_id, count(*) AS leads FROM {results} r JOIN {jobs} j ON j.job_id = r.job_id GROUP BY user_id) l USING (user_id)""",
+)
 def _(v: Views) -> DataFrame:
-    return v.jobs.where(F.col("status").isin("PENDING", "CRAWLING", "ENRICHING")).groupBy("user_id").agg(F.count("*").alias("active"))
+    active = v.jobs.groupBy("user_id").agg(F.count_if(F.col("status").isin("PENDING", *ACTIVE_JOBS)).alias("active"))
+    leads = v.results.join(v.jobs.select("job_id", "user_id"), "job_id").groupBy("user_id").agg(F.count("*").alias("leads"))
+    matching = relational.name_or_domain_like(v.companies.withColumn("name", F.lit(None).cast("string")), "1").agg(F.count("*").alias("matching"))
+    return active.join(leads, "user_id", "left").fillna(0, ["leads"]).crossJoin(F.broadcast(matching))
 
 
 @query(
@@ -297,6 +332,23 @@ def _(v: Views) -> DataFrame:
     return analytics.funnel(rows, "organization_id", status="recipient_status")
 
 
+ASKED = """SELECT c_custkey AS request, CAST(CASE WHEN c_custkey % 5 = 0 THEN -1 ELSE 1 + c_custkey % 500 END AS BIGINT) AS campaign_id, CASE WHEN c_custkey % 2 = 0 THEN 'SALES_REP' ELSE 'MANAGER' END AS role,
+  CASE WHEN c_custkey % 3 = 0 THEN 1 + c_custkey % 50 ELSE 7 END AS user_id, c_nationkey AS organization_id FROM {customer}"""
+
+
+@query(
+    "a7_campaign_details",
+    f"""WITH a AS ({ASKED}), g AS (SELECT a.request, a.campaign_id, c.name, c.channel, CASE WHEN c.campaign_id IS NULL THEN 'not found' WHEN a.role = 'SALES_REP' AND c.user_id = a.user_id OR a.role <> 'SALES_REP' AND c.organization_id = a.organization_id THEN 'ok' ELSE 'forbidden' END AS outcome
+          FROM a LEFT JOIN {{campaigns}} c ON c.campaign_id = a.campaign_id),
+        f AS (SELECT campaign_id, count(status) AS total, {FUNNEL.replace("recipient_status", "status")} FROM {{recipients}} GROUP BY campaign_id), r AS (SELECT *, {RATES} FROM f)
+        SELECT request, g.campaign_id, outcome, CASE WHEN outcome = 'ok' THEN name END AS name, CASE WHEN outcome = 'ok' THEN channel END AS channel, {", ".join(f"CASE WHEN outcome = 'ok' THEN coalesce(r.{x}, 0) END AS {x}" for x in [*NUMBERS, *analytics.RATES])}
+        FROM g LEFT JOIN r ON r.campaign_id = g.campaign_id""",
+)
+def _(v: Views) -> DataFrame:
+    asked = v.customer.sparkSession.sql(ASKED, customer=v.customer)
+    return analytics.campaign_details(asked, v.campaigns, v.recipients)
+
+
 @query(
     "a8_search_summary",
     f"""SELECT job_id, count(*) AS discovered, {_count("stage", "CRAWLED", "EXTRACTING", "EXTRACT_FAILED", "EXTRACTED", "ENRICHING", "ENRICH_FAILED", "ENRICHED")} AS crawled,
@@ -549,6 +601,20 @@ def _(v: Views) -> DataFrame:
     return entity.delete_campaigns(v.campaigns, v.campaigns.where("campaign_id % 5 = 0").select("campaign_id")).select("campaign_id")
 
 
+@query(
+    "m9_delete_owned",
+    """WITH a AS (SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey + 1 END AS user_id FROM {orders} WHERE o_orderkey % 7 = 0 UNION ALL SELECT -1, 5)
+       SELECT a.job_id, a.user_id, CASE WHEN j.job_id IS NULL THEN 0 ELSE 1 END AS deleted, (SELECT count(*) FROM {jobs} k WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.job_id = k.job_id AND a.user_id = k.user_id)) AS rows_left
+       FROM a LEFT JOIN {jobs} j ON j.job_id = a.job_id AND j.user_id = a.user_id""",
+)
+def _(v: Views) -> DataFrame:
+    wrong = F.col("o_custkey") + (F.col("o_orderkey") % 2 != 0).cast("long")
+    asked = v.orders.where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("job_id"), wrong.alias("user_id"))
+    asked = asked.unionByName(v.orders.sparkSession.range(1).select(F.lit(-1).cast("long").alias("job_id"), F.lit(5).cast("long").alias("user_id")))
+    left, counts = entity.delete_owned(v.jobs, asked, "job_id")
+    return counts.crossJoin(F.broadcast(left.agg(F.count("*").alias("rows_left"))))
+
+
 @query("m10_prune_contactless", f"SELECT company_id, domain FROM {{companies}} WHERE company_id NOT IN (SELECT company_id FROM ({LATEST}) WHERE email IS NOT NULL OR phone IS NOT NULL)")
 def _(v: Views) -> DataFrame:
     newest = relational.latest(v.profiles, "company_id", "version")
@@ -737,11 +803,72 @@ def _(v: Views) -> DataFrame:
     return v.documents.select("doc_id", text.content_hash("text").alias("hash"))
 
 
-@query("v2_query_rules", "SELECT o_orderkey, o_orderkey % 4 < 2 AS valid FROM {orders}")
+@query(
+    "v1_normalized_profiles",
+    """SELECT p_partkey, trim(p_name) AS name, lower(p_type) AS industry, CASE WHEN p_partkey % 2 = 0 THEN 'unknown' ELSE 'oulu' END AS city, 'unknown' AS country, CASE WHEN p_partkey % 3 = 0 THEN 'unknown' ELSE 'Jane Doe' END AS person,
+         p_brand AS products, concat('info@acme', CAST(p_partkey % 7 AS STRING), '.fi') AS email, concat(CAST(p_size AS STRING), '-', CAST(p_size + 9 AS STRING)) AS size, CASE WHEN p_partkey % 40 = 0 THEN 'description' ELSE '' END AS errors FROM {part}""",
+)
+def _(v: Views) -> DataFrame:
+    known = {
+        "companyName": F.concat(F.lit("  "), "p_name", F.lit("\t")), "description": F.repeat(F.lit("x"), F.col("p_partkey") % 40), "industry": F.concat(F.lit(" "), F.upper("p_type")),
+        "products": F.array(F.concat(F.lit(" "), "p_brand"), F.upper("p_brand"), F.lower("p_brand"), F.lit(" ")), "city": F.when(F.col("p_partkey") % 2 == 1, " OULU "),
+        "decisionMaker": F.when(F.col("p_partkey") % 3 != 0, " Jane Doe "), "email": F.concat(F.lit(" INFO@acme"), (F.col("p_partkey") % 7).cast("string"), F.lit(".FI")),
+        "estimatedCompanySize": F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit("-"), (F.col("p_size") + 9).cast("string")),
+    }
+    p = F.struct(*[known.get(f, F.lit(None).cast(profiles.PROFILE[f].dataType)).alias(f) for f in profiles.FIELDS])
+    n = v.part.select("p_partkey", rules.normalized_profile(p).alias("p"))
+    shown = [F.col(f"p.{f}").alias(c) for f, c in (("companyName", "name"), ("industry", "industry"), ("city", "city"), ("country", "country"), ("decisionMaker", "person"), ("email", "email"), ("estimatedCompanySize", "size"))]
+    return n.select("p_partkey", *shown, F.array_join("p.products", "|").alias("products"), F.array_join(profiles.profile_errors(F.col("p")), ",").alias("errors"))
+
+
+@query(
+    "v2_query_rules",
+    """SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 7 = 0 THEN 'industry' END, CASE WHEN length(o_orderpriority) * (o_orderkey % 40) NOT BETWEEN 1 AND 200 THEN 'location' END,
+         CASE WHEN NOT regexp_matches(lower(trim(concat(' ', o_custkey::STRING, CASE o_orderkey % 4 WHEN 0 THEN '-200' WHEN 1 THEN '+ ' WHEN 2 THEN ' people' ELSE '--' END))), '^([0-9]+-[0-9]+|[0-9]+[+]|unknown)$') THEN 'employeeRange' END) AS errors FROM {orders}""",
+)
 def _(v: Views) -> DataFrame:
     k = F.col("o_orderkey") % 4
-    size = F.when(k == 0, "50-200").when(k == 1, " 500+ ").when(k == 2, "lots of people").otherwise("")
-    return v.orders.select("o_orderkey", (F.size(profiles.query_errors(F.lit("saas"), F.lit("Finland"), size)) == 0).alias("valid"))
+    size = F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.when(k == 0, "-200").when(k == 1, "+ ").when(k == 2, " people").otherwise("--"))
+    industry = F.when(F.col("o_orderkey") % 7 == 0, "").otherwise(F.col("o_orderpriority"))
+    errors = profiles.query_errors(industry, F.repeat("o_orderpriority", (F.col("o_orderkey") % 40).cast("int")), size)
+    return v.orders.select("o_orderkey", F.array_join(errors, ",").alias("errors"))
+
+
+@query(
+    "v2_discovery_rules",
+    """SELECT page_id, concat_ws(',', CASE WHEN page_id % 6 = 0 THEN 'query' END, CASE WHEN page_id % 5 = 0 THEN 'industry' END, CASE WHEN page_id % 150 NOT BETWEEN 1 AND 100 THEN 'limit' END, CASE WHEN page_id % 4 = 0 THEN 'excludedWebsites' END) AS asked,
+         concat_ws(',', CASE WHEN page_id % 7 = 0 THEN 'companyName' END, CASE WHEN page_id % 3 = 0 THEN 'website' END) AS found FROM pages""",
+)
+def _(v: Views) -> DataFrame:
+    k = F.col("page_id")
+    asked = rules.discovery_errors(F.when(k % 6 == 0, "  ").otherwise(F.col("url")), F.repeat(F.lit("i"), F.when(k % 5 == 0, 201).otherwise(200)), F.lit(None).cast("string"), k % 150, F.array("url", F.when(k % 4 == 0, "no address").otherwise(F.col("url"))))
+    found = rules.discovered_errors(F.when(k % 7 == 0, "").otherwise("Acme"), F.when(k % 3 == 0, "acme").otherwise(F.col("url")))
+    return v.pages.select("page_id", F.array_join(asked, ",").alias("asked"), F.array_join(found, ",").alias("found"))
+
+
+@query(
+    "v2_crawl_rules",
+    """SELECT page_id, concat_ws(',', CASE WHEN page_id % 5 = 0 THEN 'domain' END, CASE WHEN page_id % 4 = 0 OR length(html) > 500000 THEN 'pages' END, CASE WHEN page_id % 3 = 0 THEN 'status' END, CASE WHEN page_id % 11 < 2 THEN 'pagesSucceeded' END) AS errors FROM pages""",
+)
+def _(v: Views) -> DataFrame:
+    k = F.col("page_id")
+    page = F.struct(F.when(k % 4 == 0, "/blog").otherwise("/about").alias("path"), "url", F.lit("text").alias("contentText"), "html")
+    result = F.struct(
+        F.when(k % 5 > 0, "acme.fi").alias("domain"), F.col("url").alias("baseUrl"), F.array(page).alias("pages"), F.when(k % 3 == 0, "done").otherwise("partial").alias("status"),
+        (k % 11 - 2).alias("pagesSucceeded"), F.lit(1).alias("pagesAttempted"),
+    )
+    return v.pages.select("page_id", F.array_join(rules.crawl_errors(result), ",").alias("errors"))
+
+
+@query(
+    "v2_intent_rules",
+    """SELECT company_id, concat_ws(',', CASE WHEN count(*) > 10 THEN 'signals' END, CASE WHEN count(*) FILTER (WHERE signal_id % 9 = 0 OR confidence * (1 + signal_id % 2) > 1 OR signal_id % 13 = 0) > 0 THEN 'signal' END) AS errors FROM {signals} GROUP BY company_id""",
+)
+def _(v: Views) -> DataFrame:
+    k = F.col("signal_id")
+    one = F.struct(F.when(k % 9 == 0, "RUMOUR").otherwise(F.col("type")).alias("type"), F.lit("News").alias("title"), F.lit("They grow").alias("summary"), F.when(k % 13 == 0, "nowhere").when(k % 2 == 0, "https://acme.fi/news").alias("sourceUrl"), (F.col("confidence") * (1 + k % 2)).alias("confidence"))
+    lists = v.signals.groupBy("company_id").agg(F.collect_list(one).alias("signals"))
+    return lists.select("company_id", F.array_join(rules.intent_errors(F.col("signals")), ",").alias("errors"))
 
 
 @query("v3_campaign_rules", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'subject' ELSE 'bodyText,bodyHtml' END AS errors FROM {orders}")
@@ -765,6 +892,17 @@ def _(v: Views) -> DataFrame:
     return documents.clean_pages(v.pages).select("page_id", F.col("input_bytes").cast("long").alias("input_bytes"), F.coalesce("language", F.lit("")).alias("language"))
 
 
+@query(
+    "h13_rejected_pages",
+    """SELECT page_id, 'INVALID_INPUT' AS code, concat_ws('; ', CASE WHEN coalesce(html, '') = '' OR page_id % 5 = 0 THEN 'invalid html' END, CASE WHEN page_id % 7 = 0 THEN 'invalid url' END) AS message FROM pages
+       WHERE coalesce(html, '') = '' OR page_id % 5 = 0 OR page_id % 7 = 0""",
+)
+def _(v: Views) -> DataFrame:
+    k = F.col("page_id")
+    given = v.pages.select("page_id", F.when(k % 7 == 0, "not an address").otherwise(F.col("url")).alias("url"), F.when(k % 5 > 0, F.col("html")).alias("html"))
+    return documents.rejected_pages(given)
+
+
 @query("h14_company_documents")
 def _(v: Views) -> DataFrame:
     pages = documents.clean_pages(v.pages).withColumn("host", urls.normalized_domain("url"))
@@ -805,7 +943,15 @@ def _(v: Views) -> DataFrame:
     return delivery.fold_status(v.delivery, known).select("event_id", "applied")
 
 
-@query("t4_rate_limit")
+@query(
+    "t4_rate_limit",
+    """WITH RECURSIVE q AS (SELECT user_id AS key, event_id AS request_id, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
+       w AS (SELECT key, request_id, at_ms, n, at_ms AS opened, 1 AS used, true AS allowed FROM q WHERE n = 1 UNION ALL
+         SELECT q.key, q.request_id, q.at_ms, q.n, CASE WHEN q.at_ms - opened >= 21600000 THEN q.at_ms ELSE opened END, CASE WHEN q.at_ms - opened >= 21600000 THEN 1 WHEN used < 2 THEN used + 1 ELSE used END,
+           q.at_ms - opened >= 21600000 OR used < 2 FROM w JOIN q ON q.key = w.key AND q.n = w.n + 1)
+       SELECT key, request_id, at_ms, allowed, CAST(2 - used AS INTEGER) AS remaining, opened + 21600000 AS reset_at_ms,
+         CAST(CASE WHEN allowed THEN 0 ELSE greatest(1, ceil((opened + 21600000 - at_ms) / 1000.0)) END AS BIGINT) AS retry_after_seconds FROM w""",
+)
 def _(v: Views) -> DataFrame:
     requests = v.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
     return delivery.limited(requests, 2, 6 * 3_600_000)
@@ -974,6 +1120,20 @@ def _(v: Views) -> DataFrame:
     return v.campaigns.select("campaign_id", F.array_join(profiles.message_errors(F.col("channel"), subject, body), ",").alias("errors"))
 
 
+@query(
+    "v5_requests",
+    """SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 6 = 0 THEN 'query' END, CASE WHEN o_orderkey % 4 > 0 AND o_custkey % 130 NOT BETWEEN 1 AND 100 THEN 'companyLimit' END) AS errors,
+         CASE WHEN o_orderkey % 3 = 0 THEN 'company_asc' ELSE 'rank_asc' END AS sort, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE CAST(o_custkey AS INTEGER) END AS page,
+         concat_ws(',', CASE WHEN o_orderkey % 7 = 0 THEN 'stage' END, CASE WHEN o_orderkey % 5 > 0 AND o_custkey < 1 THEN 'page' END, CASE WHEN o_custkey % 110 NOT BETWEEN 1 AND 100 THEN 'pageSize' END) AS view_errors FROM {orders}""",
+)
+def _(v: Views) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    errors = rules.search_request_errors(F.when(k % 6 == 0, " ").otherwise("saas in Oulu"), F.when(k % 4 > 0, c % 130))
+    state = rules.results_view(F.when(k % 7 == 0, "LOST").otherwise("ENRICHED"), F.lit(" acme "), F.when(k % 3 > 0, "rank_asc"), F.when(k % 5 > 0, c.cast("string")), (c % 110).cast("string"))
+    rows = v.orders.select("o_orderkey", errors.alias("e"), state.alias("s"))
+    return rows.select("o_orderkey", F.array_join("e", ",").alias("errors"), "s.sort", "s.page", F.array_join("s.errors", ",").alias("view_errors"))
+
+
 @query("v5_permissions", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'ADMIN' WHEN 1 THEN 'MANAGER' ELSE 'SALES_REP' END AS role, c_custkey % 3 < 2 AS reads_analytics, c_custkey % 3 = 0 AS manages_users, true AS searches FROM {customer}")
 def _(v: Views) -> DataFrame:
     k = F.col("c_custkey") % 3

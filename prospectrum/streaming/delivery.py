@@ -12,6 +12,7 @@ import hmac
 from base64 import b64decode, b64encode
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,27 +130,34 @@ def fold_stream(events: DataFrame) -> DataFrame:
 
 
 def limited(requests: DataFrame, most: int, window_ms: int, key: str = "key", at: str = "at_ms", order: str = "request_id") -> DataFrame:
-    """T4: (key, order, at, allowed, remaining). A window opens with a key's
-    first request and reopens with the first one after it ends.
+    """T4: (key, order, at, allowed, remaining, reset_at_ms,
+    retry_after_seconds). A window opens with a key's first request and reopens
+    with the first one after it ends.
 
-    Rows stream past in key and arrival order; two numbers are held for a key.
+    Rows stream past in key and arrival order; two numbers are held for a key,
+    and the end of each window is found by binary search in a batch's times.
     """
     kind = lambda c: requests.schema[c].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, opened, used = object(), 0, 0
         for batch in batches:
-            allowed, remaining = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if k != now or t - opened >= window_ms:
-                    now, opened, used = k, t, 0
-                allowed.append(used < most)
-                used += allowed[-1]
-                remaining.append(most - used)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_()), pa.array(remaining, pa.int32())], names=[key, order, at, "allowed", "remaining"])
+            keys, times = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+            place, starts = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+            for i, end in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                while i < end:
+                    if keys[i] != now or times[i] - opened >= window_ms:
+                        now, opened, used = keys[i], int(times[i]), 0
+                    until = i + int(np.searchsorted(times[i:end], opened + window_ms))
+                    place[i:until], starts[i:until] = used + np.arange(until - i), opened
+                    used, i = used + until - i, until
+            allowed, reset = place < most, starts + window_ms
+            wait = np.where(allowed, 0, np.maximum(1, -(-(reset - times) // 1000)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed), pa.array(np.maximum(most - place - 1, 0).astype(np.int32)), pa.array(reset), pa.array(wait)], names=[key, order, at, "allowed", "remaining", "reset_at_ms", "retry_after_seconds"])
 
     dealt = requests.select(key, order, at).repartition(key).sortWithinPartitions(key, at, order)
-    return dealt.mapInArrow(scan, f"{key} {kind(key)}, {order} {kind(order)}, {at} {kind(at)}, allowed boolean, remaining int")
+    return dealt.mapInArrow(scan, f"{key} {kind(key)}, {order} {kind(order)}, {at} {kind(at)}, allowed boolean, remaining int, reset_at_ms long, retry_after_seconds long")
 
 
 class RateWindow(StatefulProcessor):
@@ -164,15 +172,17 @@ class RateWindow(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         opened, used = self.window.get() if self.window.exists() else (None, 0)
         batch = pd.concat(list(rows)).sort_values(["at_ms", "request_id"])  # one micro-batch of one key
-        allowed, remaining = [], []
+        allowed, remaining, reset = [], [], []
         for at in batch.at_ms.tolist():
             if opened is None or at - opened >= self.window_ms:
                 opened, used = at, 0
             allowed.append(used < self.most)
             used += allowed[-1]
             remaining.append(self.most - used)
+            reset.append(opened + self.window_ms)
         self.window.update((opened, used))
-        yield pd.DataFrame({"key": key[0], "request_id": batch.request_id, "at_ms": batch.at_ms, "allowed": allowed, "remaining": remaining})
+        wait = np.where(allowed, 0, np.maximum(1, -(-(np.array(reset) - batch.at_ms) // 1000)))
+        yield pd.DataFrame({"key": key[0], "request_id": batch.request_id, "at_ms": batch.at_ms, "allowed": allowed, "remaining": remaining, "reset_at_ms": reset, "retry_after_seconds": wait})
 
     def close(self) -> None:
         pass
@@ -181,7 +191,7 @@ class RateWindow(StatefulProcessor):
 def limit_stream(requests: DataFrame, most: int, window_ms: int) -> DataFrame:
     """T4 on a stream of (key string, request_id, at_ms); needs the RocksDB state store."""
     return requests.groupBy("key").transformWithStateInPandas(
-        RateWindow(most, window_ms), "key string, request_id long, at_ms long, allowed boolean, remaining int", outputMode="Append", timeMode="None"
+        RateWindow(most, window_ms), "key string, request_id long, at_ms long, allowed boolean, remaining int, reset_at_ms long, retry_after_seconds long", outputMode="Append", timeMode="None"
     )
 
 
@@ -209,9 +219,21 @@ def send_times(recipients: DataFrame, channel: str = "channel", by: str = "campa
     return recipients.where("status = 'PENDING'").withColumn("delay_ms", (place * F.ceil(F.lit(60000) / rates[F.col(channel)])).cast("long"))
 
 
+def by_channel(senders: dict[str, Callable[[dict], str]], channel: str = "channel") -> Callable[[dict], str]:
+    """One sender out of one for each channel; any other channel is an error."""
+
+    def send(row: dict) -> str:
+        if row[channel] not in senders:
+            raise ValueError(f"unsupported outreach channel: {row[channel]}")
+        return senders[row[channel]](row)
+
+    return send
+
+
 def deliver(stream: DataFrame, send: Callable[[dict], str], checkpoint: str):
-    """Hands each row of a micro-batch to ``send`` on the executors and
-    appends what it returns; ``send`` must be safe to repeat for one message."""
+    """Hands each row of a micro-batch to ``send`` (see ``by_channel``) on
+    the executors and appends what it returns; ``send`` must be safe to repeat
+    for one message."""
 
     def batch(rows: DataFrame, _: int) -> None:
         def sent(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
