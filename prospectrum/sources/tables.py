@@ -23,12 +23,14 @@ def jdbc_table(spark: SparkSession, url: str, name: str, key: str, low: int, hig
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary folder of this machine is made and set.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, it is
+    a folder of the warehouse; of a local session, as in tests, a temporary
+    folder of this machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="prospectrum-")
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        folder = tempfile.mkdtemp(prefix="prospectrum-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -47,19 +49,28 @@ def commit(spark: SparkSession, folder: str, **tables: DataFrame) -> None:
 
     Each is written beside the old ones; a row in the folder's log, one small
     append after all of them, makes them the current ones. A run that fails
-    before it leaves the old state in force.
+    before it leaves the old state in force. Rows of the log are numbered, so
+    no clock decides which is the last; the clock only tells apart two writers
+    that took the same number.
     """
-    version = uuid.uuid4().hex
+    version, last = uuid.uuid4().hex, 0
+    if _exists(spark, f"{folder}/log"):
+        last = spark.read.parquet(f"{folder}/log").agg(F.max("number")).first()[0] or 0
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{name}/{version}")
     names = spark.createDataFrame([(n, version) for n in tables], "name string, version string")
-    names.coalesce(1).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{folder}/log")
+    names.coalesce(1).withColumns({"number": F.lit(last + 1).cast("long"), "at": F.current_timestamp()}).write.mode("append").parquet(f"{folder}/log")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
 def current(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table as last committed."""
     log = spark.read.parquet(f"{folder}/log").where(F.col("name") == name)
-    version = log.agg(F.max_by("version", "at")).first()[0]
+    version = log.agg(F.max_by("version", F.struct("number", "at", "version"))).first()[0]
     return spark.read.parquet(f"{folder}/{name}/{version}")
 
 
