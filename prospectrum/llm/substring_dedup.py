@@ -33,6 +33,7 @@ import re
 from collections.abc import Iterator
 from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,16 +107,19 @@ def _spans(docs: DataFrame, key: str, text: str, min_words: int) -> DataFrame:
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for spans in batch.column(2).to_pylist():
-                whole: list[dict] = []
-                for x in sorted(spans, key=lambda s: s["start"]):
-                    if whole and x["start"] < whole[-1]["end"]:
-                        whole[-1]["end"] = max(whole[-1]["end"], x["end"])
-                    else:
-                        whole.append(x)
-                out.append(whole)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, batch.schema.field(2).type)], names=schema.names)
+            if not len(batch):
+                continue
+            lists = batch.column(2)
+            start, end, kept_key, kept_start = lists.flatten().flatten()
+            row, s, e = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), start.to_numpy(), end.to_numpy()
+            order = np.lexsort((s, row))
+            row, s, e = row[order], s[order], e[order]
+            # a later passage of a text never ends earlier
+            new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (s[1:] >= e[:-1])))
+            last, first = np.append(new[1:], len(row)) - 1, pa.array(order[new])
+            spans = pa.StructArray.from_arrays([pa.array(s[new]), pa.array(e[last]), kept_key.take(first), kept_start.take(first)], names=["start", "end", "kept_key", "kept_start"])
+            bounds = pa.array(np.searchsorted(row[new], np.arange(len(lists) + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(bounds, spans)], names=schema.names)
 
     return written(lists.mapInArrow(merged, schema), "spans")
 
