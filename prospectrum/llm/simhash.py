@@ -62,9 +62,9 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(key, h, fp): h is the text's hash, fp the fingerprint as a signed long."""
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64("text").alias("h"), "text")
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     schema = rows.select("key", "h").schema.add("fp", "long")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,26 +257,26 @@ def links(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, buck
     return found.unionByName(written(rest, "large-links").select("a", "b"))
 
 
-def _classes(docs: DataFrame, key: str = "doc_id", radius: int = RADIUS, segments: int = SEGMENTS, shingle_words: int = SHINGLE_WORDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, segments: int = SEGMENTS, shingle_words: int = SHINGLE_WORDS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(key, h, fp, component_id) of every row."""
-    prints = written(fingerprints(docs, key, shingle_words), "fingerprints")
+    prints = written(fingerprints(docs, key, text, shingle_words), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("key").alias("first")), "nodes")
     roots = components(links(nodes.select("fp"), radius, segments, bucket_rows))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = written(rooted.join(least, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("key", "h", "fp", "component_id")
+    named = written(rooted.join(least, "root").select("fp", "component_id"), "classes")
+    return prints.join(named, "fp").select("key", "h", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", **params) -> DataFrame:
     """(key, fp, component_id): component_id is the smallest key among the
     documents that links reach, the document itself included."""
-    return _classes(docs, key, **params).select(F.col("key").alias(key), "fp", "component_id")
+    return classes(docs, key, **params).select(F.col("key").alias(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", **params) -> DataFrame:
     """One document of each class of near duplicates, that with the smallest
     key, with all columns. Rows with a null key stay, as do rows that repeat
     the key that stays in its class; texts that share a key go one by one."""
-    gone = written(_classes(docs, key, **params).where("key > component_id").select(F.col("key").alias("__key"), F.col("h").alias("__h")).distinct(), "near-copies")
+    gone = written(classes(docs, key, **params).where("key > component_id").select(F.col("key").alias("__key"), F.col("h").alias("__h")).distinct(), "near-copies")
     return docs.join(gone.hint("merge"), (docs[key] == gone["__key"]) & (F.xxhash64(docs["text"]) == gone["__h"]), "left_anti").select(docs.columns)
