@@ -31,6 +31,8 @@ from pyspark.sql.window import Window
 from prospectrum.llm.textblock import TextBlock, blocks
 
 SAMPLE_DOCS, TABLE_BITS, MIN_SHARE, MASK_BITS = 1000, 18, 0.01, 64
+#: Parts into which a label's rows are dealt when they meet their count.
+SALTS = 64
 UNKNOWN = "und"
 #: Multipliers of the filters' hash functions.
 HASHES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))
@@ -131,13 +133,15 @@ def sampled(rows: DataFrame, key: str, label: str, each: int) -> DataFrame:
     """The ``each`` rows of every label that come first by a hash of the key.
 
     A label's count tells below which hash they lie (four times as many as
-    wanted are let through), so a frequent label sends few rows to its task.
+    wanted are let through), so a label's list is bounded, however frequent it is;
+    its rows meet the count in ``SALTS`` parts.
     """
     known = rows.select(key, label).where(F.col(label).isNotNull() & F.col(key).isNotNull()).withColumn("__h", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40)))
     counts = known.groupBy(label).agg(F.count("*").alias("__n"))
-    near = known.join(counts, label).where(F.col("__h") * F.col("__n") <= float(4 * each + 100) * (1 << 40)).select(key, label, "__h").distinct()
-    order = Window.partitionBy(label).orderBy("__h", key)
-    return near.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= each).select(key, label)
+    salted = counts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("__salt", F.col("__salt").cast("long"))
+    near = known.withColumn("__salt", F.col("__h") % SALTS).join(salted, [label, "__salt"]).where(F.col("__h") * F.col("__n") <= float(4 * each + 100) * (1 << 40)).select(key, label, "__h").distinct()
+    first = F.slice(F.sort_array(F.collect_set(F.struct("__h", F.col(key).alias("key")))), 1, each)
+    return near.groupBy(label).agg(first.alias("l")).select(F.explode("l").alias("x"), label).select(F.col("x.key").alias(key), label)
 
 
 def fit(docs: DataFrame, training: Column, key: str = "doc_id", label: str = "lang", sample_docs: int = SAMPLE_DOCS, min_share: float = MIN_SHARE, bits: int = TABLE_BITS) -> LanguageFilters:
