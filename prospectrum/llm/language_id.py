@@ -7,8 +7,9 @@ returns all languages that contain it. A text's n-grams are counted by
 language (popcounts of the mask's bits), the expected false positives of each
 language's filter are taken off, and the largest share decides.
 
-Learning takes a bounded sample, ``sample_docs`` labelled texts of each
-language by the order of a hash; scoring takes every whole text.
+Learning takes a bounded sample, ``sample_docs`` labelled texts of each of the
+``MAX_LABELS`` most frequent languages by the order of a hash; scoring takes
+every whole text.
 
 Defined results: ``und`` with score 0 for a null text or one without a
 letter; the most frequent language with score 0 where letters are there but
@@ -33,6 +34,8 @@ from prospectrum.llm.textblock import TextBlock, blocks
 SAMPLE_DOCS, TABLE_BITS, MIN_SHARE, MASK_BITS = 1000, 18, 0.01, 64
 #: Parts into which a label's rows are dealt when they meet their count.
 SALTS = 64
+#: So many labels, the most frequent, are learned at most; dirty ones may be without number.
+MAX_LABELS = 1024
 UNKNOWN = "und"
 #: Multipliers of the filters' hash functions.
 HASHES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))
@@ -137,7 +140,7 @@ def sampled(rows: DataFrame, key: str, label: str, each: int) -> DataFrame:
     its rows meet the count in ``SALTS`` parts.
     """
     known = rows.select(key, label).where(F.col(label).isNotNull() & F.col(key).isNotNull()).withColumn("__h", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40)))
-    counts = known.groupBy(label).agg(F.count("*").alias("__n"))
+    counts = known.groupBy(label).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), label).limit(MAX_LABELS)
     salted = counts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("__salt", F.col("__salt").cast("long"))
     near = known.withColumn("__salt", F.col("__h") % SALTS).join(salted, [label, "__salt"]).where(F.col("__h") * F.col("__n") <= float(4 * each + 100) * (1 << 40)).select(key, label, "__h").distinct()
     first = F.slice(F.sort_array(F.collect_set(F.struct("__h", F.col(key).alias("key")))), 1, each)
