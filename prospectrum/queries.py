@@ -393,7 +393,11 @@ def _(v: Views) -> DataFrame:
     return analytics.intent_scores(v.signals, NOW, "company_id", places=False).withColumn("score", F.round("score", 6))
 
 
-@query("a11_intent_score_three_places")
+@query(
+    "a11_intent_score_three_places",  # no mean of the supplied signals lies on a half of the third place, where round() would differ
+    f"""WITH s AS (SELECT company_id, CAST(CASE type {_W} END AS DOUBLE) AS w, confidence, greatest(0.0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(detected_at)) / 86400000000.0) AS age FROM {{signals}})
+        SELECT company_id, count(*) AS n_signals, round(least(1.0, sum(w * confidence * pow(0.5, age / 30)) / sum(w)), 3) AS score FROM s GROUP BY company_id""",
+)
 def _(v: Views) -> DataFrame:
     return analytics.intent_scores(v.signals, NOW, "company_id")
 
@@ -881,15 +885,36 @@ def _(v: Views) -> DataFrame:
 # --- pages ------------------------------------------------------------------------
 
 
-@query("h_clean_pages")
+def _decoded(x: str) -> str:
+    for mark, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{mark}', '{char}')"
+    return x
+
+
+def _shown(x: str) -> str:
+    """The text of a piece of HTML: no tags, runs of white space as one space."""
+    return f"""trim(regexp_replace({_decoded(f"regexp_replace({x}, '<[^>]*>', '', 'g')")}, '[ ' || chr(10) || ']+', ' ', 'g'))"""
+
+
+#: The supplied pages have one form (title, style, script, nav, an article, which is one block, and footer), so regular expressions do for them.
+CLEANED = f"""SELECT page_id, url, path, title, CAST(NULL AS STRING) AS description, language, CAST(1 AS INTEGER) AS headings, CAST(0 AS INTEGER) AS json_ld, body, input_bytes, CAST(length(body) AS INTEGER) AS output_chars,
+    length(body) / CAST(input_bytes AS DOUBLE) AS compression_ratio, CAST(4 AS INTEGER) AS blocks_removed, CAST(1 AS INTEGER) AS sections_preserved, length(body) < 100 AS low_quality
+  FROM (SELECT *, substr(concat('--- PAGE: ', path, ' ---', chr(10), 'URL: ', url, chr(10), 'TITLE: ', title, chr(10), chr(10), 'HEADINGS:', chr(10), '# ', heading, chr(10), chr(10), 'CONTENT:', chr(10), content), 1, 8000) AS body
+  FROM (SELECT page_id, url, CASE WHEN p = '' THEN '/' ELSE p END AS path, trim({_decoded("t")}) AS title, language, {_shown("h")} AS heading, {_shown("article")} AS content, input_bytes
+  FROM (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS p, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS t, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language,
+      regexp_extract(html, '<article><h1>(.*?)</h1>', 1, 's') AS h, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS article, CAST(octet_length(encode(html)) AS INTEGER) AS input_bytes FROM pages WHERE html IS NOT NULL AND html <> '')))"""
+
+
+@query("h_clean_pages", CLEANED)
 def _(v: Views) -> DataFrame:
     rows = documents.clean_pages(v.pages)
     return rows.withColumn("headings", F.size("headings")).withColumn("json_ld", F.size("json_ld"))
 
 
-@query("h12_page_stats", "SELECT page_id, octet_length(encode(html)) AS input_bytes, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS language FROM pages WHERE html IS NOT NULL AND html <> ''")
+@query("h12_page_stats", f"SELECT page_id, input_bytes, output_chars, round(compression_ratio, 9) AS compression_ratio, blocks_removed, sections_preserved, low_quality, language FROM ({CLEANED})")
 def _(v: Views) -> DataFrame:
-    return documents.clean_pages(v.pages).select("page_id", F.col("input_bytes").cast("long").alias("input_bytes"), F.coalesce("language", F.lit("")).alias("language"))
+    stats = documents.clean_pages(v.pages).select("page_id", "input_bytes", "output_chars", F.round("compression_ratio", 9).alias("compression_ratio"), "blocks_removed", "sections_preserved", "low_quality", "language")
+    return stats
 
 
 @query(
@@ -903,15 +928,26 @@ def _(v: Views) -> DataFrame:
     return documents.rejected_pages(given)
 
 
-@query("h14_company_documents")
+@query(
+    "h14_company_documents",
+    f"""WITH c AS (SELECT page_id, body, length(body) AS n, {HOST} AS host FROM ({CLEANED})),
+        w AS (SELECT *, sum(n + 2) OVER (PARTITION BY host) - 2 <= 24000 AS fits, coalesce(sum(n + 2) OVER (PARTITION BY host ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 2, 0) AS so_far FROM c),
+        e AS (SELECT *, max(CASE WHEN so_far + n + 2 > 24000 THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY page_id) AS ended FROM w)
+        SELECT host, count(*) AS pages, CAST(length(string_agg(body, chr(10) || chr(10) ORDER BY page_id)) AS INTEGER) AS chars, md5(string_agg(body, chr(10) || chr(10) ORDER BY page_id)) AS document FROM e WHERE fits OR ended = 0 GROUP BY host""",
+)
 def _(v: Views) -> DataFrame:
     pages = documents.clean_pages(v.pages).withColumn("host", urls.normalized_domain("url"))
-    return documents.company_documents(pages, "host", "page_id").select("host", "pages", F.length("document").alias("chars"))
+    return documents.company_documents(pages, "host", "page_id").select("host", "pages", F.length("document").alias("chars"), F.md5(F.col("document").cast("binary")).alias("document"))
 
 
-@query("f29_contact_hints")
+@query(
+    "f29_contact_hints",
+    """SELECT page_id, CASE WHEN page_id % 3 > 0 THEN concat('jane.', CAST(page_id AS STRING), '@acme.fi') END AS email, CASE WHEN page_id % 4 > 0 THEN 'https://linkedin.com/in/janedoe' END AS linkedin_url FROM pages""",
+)
 def _(v: Views) -> DataFrame:
-    team = F.concat(F.lit("<h2>Jane Doe, CEO</h2><a href='mailto:Jane."), F.col("page_id").cast("string"), F.lit("@acme.fi'>mail</a> <a href='https://linkedin.com/in/janedoe'>in</a>"), "html")
+    k, far = F.col("page_id"), F.repeat(F.lit("."), 301)  # too far from the name, or of nobody
+    mail = F.concat(F.lit("<a href='mailto:info@acme.fi'>i</a><a href='mailto:Jane."), k.cast("string"), F.lit("@acme.fi'>m</a>"))
+    team = F.concat(F.lit("<h2>Jane Doe, CEO</h2>"), F.when(k % 3 > 0, mail).otherwise(""), F.when(k % 4 > 0, "<a href='https://linkedin.com/in/janedoe'>in</a>").otherwise(""), far, F.lit("<a href='mailto:john@acme.fi'>x</a>"), "html")
     return documents.contact_hints(v.pages.select("page_id", team.alias("html"), F.lit("Jane Doe, CEO").alias("decision_maker")), "page_id")
 
 

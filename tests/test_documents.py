@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from prospectrum.operators import documents
 from prospectrum.operators.relational import budgeted_prefix
 from pyspark.sql import functions as F
@@ -35,6 +37,13 @@ def test_empty_and_malformed_pages(spark):
     assert "one" in got[1].body and "three" in got[1].body
 
 
+def test_structured_data_without_a_name_goes_by_its_address(spark):
+    of = lambda **x: f'<script type="application/ld+json">{json.dumps({"@type": "Organization"} | x)}</script>'
+    html = of(name=None, url="https://a.fi") + of(name=None, url="https://b.fi") + of(url="https://a.fi") + of(name="", url="https://c.fi") + of(name="", url="https://d.fi") + of(name="A") + of(name="A", url="x")
+    kept = [json.loads(x) for x in cleaned(spark, ("https://a.fi", html))[0].json_ld]
+    assert [(x.get("name"), x.get("url")) for x in kept] == [(None, "https://a.fi"), (None, "https://b.fi"), ("", "https://c.fi"), ("A", None)]
+
+
 def test_deep_and_long_pages_end(spark):
     got = cleaned(spark, ("https://a.fi", "<div>" * 300 + "deep text" + "</div>" * 300), ("https://a.fi", "<main>" + "word " * 60_000 + "</main>"))
     assert "deep text" in got[0].body and len(got[1].body) == documents.PAGE_CHARS
