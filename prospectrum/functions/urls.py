@@ -45,6 +45,12 @@ def normalized_website(x: Column | str) -> Column:
     return let(let(with_scheme(x), parts), built)
 
 
+def domain_of(website: Column | str) -> Column:
+    """F1 of a website that is normalized already: read off, not parsed again."""
+    host = F.regexp_extract(col(website), "^https?://([^/:]+)", 1)
+    return F.when(F.contains(host, F.lit(".")), host)
+
+
 def is_blocked_domain(domain: Column | str, blocked: list[str] = BLOCKED_DOMAINS) -> Column:
     """a blocked domain or one below it."""
     return F.lower(col(domain)).rlike(f"(^|[.])({'|'.join(map(re.escape, blocked))})$")
