@@ -42,25 +42,30 @@ PROVIDER_EVENTS = [
 ]
 
 # Domains that are no company's own.
-BLOCKED_DOMAINS = """
-linkedin.com facebook.com twitter.com x.com wikipedia.org youtube.com instagram.com yelp.com crunchbase.com bloomberg.com
-dnb.com glassdoor.com indeed.com monster.com google.com bing.com duckduckgo.com reddit.com tiktok.com amazon.com ebay.com
-apple.com microsoft.com zoominfo.com pitchbook.com mapquest.com yellowpages.com bbb.org trustpilot.com
-""".split()
+BLOCKED_DOMAINS = [
+    "linkedin.com", "facebook.com", "twitter.com", "x.com", "wikipedia.org", "youtube.com", "instagram.com", "yelp.com", "crunchbase.com",
+    "bloomberg.com", "dnb.com", "glassdoor.com", "indeed.com", "monster.com", "google.com", "bing.com", "duckduckgo.com", "reddit.com",
+    "tiktok.com", "amazon.com", "ebay.com", "apple.com", "microsoft.com", "zoominfo.com", "pitchbook.com", "mapquest.com",
+    "yellowpages.com", "bbb.org", "trustpilot.com",
+]
 BLOCKED_HOSTS = ["localhost", "127.0.0.1", "0.0.0.0", "::1", "metadata.google.internal"]
 
 # E-mail and phone lists. Dial codes are tried in this order.
-PLACEHOLDER_EMAIL_DOMAINS = "example.com example.org example.net test.com domain.com email.com sample.com localhost invalid.com test.test".split()
-GENERIC_LOCAL_PARTS = """
-info sales contact hello support admin office team marketing hr careers press media billing service customerservice
-enquiries inquiries noreply no-reply donotreply postmaster webmaster
-""".split()
-PLACEHOLDER_PHONES = "1234567 12345678 123456789 1234567890 0123456789 9876543210 1111111 2222222 9999999 0000000".split()
-DIAL_CODES = """
-358 351 352 353 354 355 356 357 359 370 371 372 373 374 375 376 377 378 380 381 382 383 385 386 387 389 420 421 423
-44 45 46 47 48 49 33 34 36 39 40 41 43 30 31 32 20 27 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98
-1 7
-""".split()
+PLACEHOLDER_EMAIL_DOMAINS = [
+    "example.com", "example.org", "example.net", "test.com", "domain.com", "email.com", "sample.com", "localhost", "invalid.com",
+    "test.test",
+]
+GENERIC_LOCAL_PARTS = [
+    "info", "sales", "contact", "hello", "support", "admin", "office", "team", "marketing", "hr", "careers", "press", "media", "billing",
+    "service", "customerservice", "enquiries", "inquiries", "noreply", "no-reply", "donotreply", "postmaster", "webmaster",
+]
+PLACEHOLDER_PHONES = ["1234567", "12345678", "123456789", "1234567890", "0123456789", "9876543210", "1111111", "2222222", "9999999", "0000000"]
+DIAL_CODES = [
+    "358", "351", "352", "353", "354", "355", "356", "357", "359", "370", "371", "372", "373", "374", "375", "376", "377", "378", "380",
+    "381", "382", "383", "385", "386", "387", "389", "420", "421", "423", "44", "45", "46", "47", "48", "49", "33", "34", "36", "39", "40",
+    "41", "43", "30", "31", "32", "20", "27", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66",
+    "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98", "1", "7",
+]
 
 # Industry synonyms by group.
 INDUSTRY_GROUPS = {
@@ -100,9 +105,12 @@ CRAWL_PATHS = ["/", "/about", "/company", "/contact", "/careers"]
 REMOVABLE_TAGS = ["script", "style", "noscript", "iframe", "svg", "canvas", "video", "audio"]
 BOILERPLATE_TAGS = ["nav", "header", "footer", "aside"]
 BOILERPLATE_ROLES = ["navigation", "banner", "contentinfo", "complementary"]
-BOILERPLATE_TOKENS = "nav navbar menu breadcrumb cookie consent gdpr sidebar social share advert pagination footer header".split()
-LOW_SCORE_TOKENS = "nav navbar menu breadcrumb cookie consent gdpr onetrust sidebar social share advert ad-slot pagination pager site-footer site-header".split()
-BLOCK_TAGS = "p div section article main li td th dd dt h1 h2 h3 h4 h5 h6 blockquote pre tr".split()
+BOILERPLATE_TOKENS = ["nav", "navbar", "menu", "breadcrumb", "cookie", "consent", "gdpr", "sidebar", "social", "share", "advert", "pagination", "footer", "header"]
+LOW_SCORE_TOKENS = [
+    "nav", "navbar", "menu", "breadcrumb", "cookie", "consent", "gdpr", "onetrust", "sidebar", "social", "share", "advert", "ad-slot",
+    "pagination", "pager", "site-footer", "site-header",
+]
+BLOCK_TAGS = ["p", "div", "section", "article", "main", "li", "td", "th", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "tr"]
 JSON_LD_TYPES = ["Organization", "LocalBusiness", "Corporation", "WebSite", "ProfessionalService"]
 BUSINESS_PATTERN = (
     r"\b(\d{2,5}\+?\s*(employees|staff|people|team members)|contact|email|phone|address|headquarters|hq|founded|established"
