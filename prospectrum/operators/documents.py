@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from prospectrum.constants import CRAWL_PATHS, EMAIL_PATTERN
@@ -33,22 +34,24 @@ def js_length(x: Column) -> Column:
     return (F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int")
 
 
-def parsed_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """The parts of each page. A null page has empty parts."""
+def parsed_pages(pages: DataFrame, html: str = "html") -> DataFrame:
+    """The parts of each page beside its other columns; the page
+    itself goes no further. A null page has empty parts."""
+    rows = pages.select(html, *[c for c in pages.columns if c != html])
+    schema = T.StructType([*rows.schema.fields[1:], *T.StructType.fromDDL(PARTS_DDL).fields])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 128):
                 part = batch.slice(at, 128)
-                rows = []
-                for text in part.column(1):
+                found_parts = []
+                for text in part.column(0):
                     found = markup.page_parts(text.as_py() or "")
                     found["headings"] = [{"level": n, "text": t} for n, t in found["headings"]]
-                    rows.append(found)
-                yield pa.RecordBatch.from_arrays([part.column(0), *pa.array(rows, PARTS).flatten()], names=[key, *[f.name for f in PARTS]])
+                    found_parts.append(found)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *pa.array(found_parts, PARTS).flatten()], names=schema.names)
 
-    kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInArrow(parse, f"{key} {kind}, {PARTS_DDL}")
+    return rows.mapInArrow(parse, schema)
 
 
 def composed(url: Column, path: Column, title: Column) -> Column:
@@ -86,9 +89,8 @@ def clean_pages(pages: DataFrame, key: str = "page_id", most: int = PAGE_CHARS)
     title = F.col("given_title") if "title" in pages.columns else F.lit(None).cast("string")
     path = F.col("page_path") if "page_path" in pages.columns else F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("/"))
     given = pages.where((F.coalesce("url", F.lit("")) != "") & (F.coalesce("html", F.lit("")) != ""))
-    source = given.select(key, "url", F.octet_length("html").alias("input_bytes"), F.when(path == "", "/").otherwise(path).alias("path"), *([F.col("title").alias("given_title")] if "title" in pages.columns else []))
-    parts = parsed_pages(given, key).join(source, key)
-    whole = parts.withColumn("title", F.coalesce(F.when(js_trim(title) != "", js_trim(title)), "title"))
+    source = given.select(key, "html", "url", F.octet_length("html").alias("input_bytes"), F.when(path == "", "/").otherwise(path).alias("path"), *([F.col("title").alias("given_title")] if "title" in pages.columns else []))
+    whole = parsed_pages(source).withColumn("title", F.coalesce(F.when(js_trim(title) != "", js_trim(title)), "title"))
     whole = whole.withColumn("body", within_budget(composed(F.col("url"), F.col("path"), F.col("title")), most))
     chars = js_length(F.col("body"))
     return whole.select(
