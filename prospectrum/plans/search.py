@@ -74,17 +74,23 @@ def enriched(leads: DataFrame, ports: Ports, min_completeness: float = MIN_COMPL
     return known.select("job_id", "company_id", "name", "website", "rank", stage.alias("stage"), error.alias("stage_error"), F.to_json(p).alias("profile"), F.when(~failed, score).alias("completeness"))
 
 
-def run_searches(jobs: DataFrame, ports: Ports, target_rounds: int = TARGET_ROUNDS, open_rounds: int = OPEN_ROUNDS, min_completeness: float = MIN_COMPLETENESS) -> tuple[DataFrame, DataFrame]:
+def run_searches(jobs: DataFrame, ports: Ports, target_rounds: int = TARGET_ROUNDS, open_rounds: int = OPEN_ROUNDS, min_completeness: float = MIN_COMPLETENESS, cancelled: Callable[[], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, summaries). jobs: job_id, query, criteria, company_limit
     (null: no limit). Results are the leads that stay; summaries count all,
-    with the final status and message of each job (A13, A16)."""
+    with the final status and message of each job (A13, A16).
+
+    cancelled: asked before each round; the jobs (job_id) that it names take no
+    further part, keep what they have, and end CANCELLED."""
     spark = jobs.sparkSession
     every = spark.createDataFrame([], RESULT)
     tries = spark.createDataFrame([], "job_id long, given long, added long")
+    stopped = spark.createDataFrame([], "job_id long")
     for limited, rounds in ((True, target_rounds), (False, open_rounds)):
         mine = jobs.where(F.col("company_limit").isNotNull() if limited else F.col("company_limit").isNull())
         for _ in range(rounds):
-            asked = written(requests(mine, every, tries, limited), "requests")
+            if cancelled is not None:
+                stopped = written(cancelled().select(F.col("job_id").cast("long")).unionByName(stopped).distinct(), "cancelled")
+            asked = written(requests(mine, every, tries, limited).join(stopped, "job_id", "left_anti"), "requests")
             if asked.isEmpty():
                 break
             found = written(discovered(asked, ports), "found")
@@ -100,5 +106,9 @@ def run_searches(jobs: DataFrame, ports: Ports, target_rounds: int = TARGET_ROUN
     removed = F.col("stage").isin("REMOVED", "REMOVED_COMPANY")
     counts = every.groupBy("job_id").agg(F.count("*").alias("discovered"), F.count_if(F.col("stage") == "ENRICHED").alias("enriched"), F.count_if(removed).alias("removed"), F.count_if(F.col("stage") == "ENRICH_FAILED").alias("failed"))
     summaries = job_outcome(jobs.select("job_id", "company_limit").join(counts, "job_id", "left").fillna(0, ["discovered", "enriched", "removed", "failed"]))
+    if cancelled is not None:
+        ended = summaries.join(stopped.withColumn("__stopped", F.lit(True)), "job_id", "left")
+        status, message = F.when(F.col("__stopped"), "CANCELLED").otherwise(F.col("final_status")), F.when(F.col("__stopped").isNull(), F.col("message"))
+        summaries = ended.withColumns({"final_status": status, "message": message}).drop("__stopped")
     gone = every.where("stage = 'REMOVED_COMPANY'").select("company_id").distinct()
     return every.where(~removed).join(gone, "company_id", "left_anti").select(every.columns), summaries

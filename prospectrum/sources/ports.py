@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prospectrum.functions.profiles import EMPLOYEE_RANGE
+from prospectrum.functions import rules
+from prospectrum.functions.profiles import EMPLOYEE_RANGE, PROFILE, message_errors, profile_errors
 from prospectrum.functions.text import col, js_trim, prompt_literal
 
 
@@ -67,6 +68,63 @@ def crawled(companies: DataFrame, targets: Column, get: Callable[[str], str], al
     return found.withColumn("html", F.from_json(F.concat(F.lit('{"x":'), "html", F.lit("}")), "x string")["x"])
 
 
+def company_crawls(companies: DataFrame, targets: Column, get: Callable[[str], str], limit_ms: int = 120_000, clock: Callable[[], float] = time.monotonic) -> DataFrame:
+    """Each company's pages (path, url, html, error) from one visit, with
+    pages_attempted, pages_succeeded and status: success, partial or failed. A
+    page counts if it came without an error and with text. A visit that takes
+    longer than limit_ms is given up as a whole: its error says so, no page is
+    kept, and the status is failed."""
+
+    def visit(row: dict) -> list[dict]:
+        began, pages = clock(), []
+        for target in json.loads(row["__targets"]):
+            try:
+                pages.append(target | {"html": get(target["url"])})
+            except Exception as error:
+                pages.append(target | {"error": str(error) or type(error).__name__})
+            if (clock() - began) * 1000 > limit_ms:
+                raise TimeoutError(f"Company crawl exceeded {limit_ms}ms")
+        return pages
+
+    found = answered(companies.withColumn("__targets", F.to_json(targets)), visit, "__pages")
+    pages = F.coalesce(F.from_json("__pages", "array<struct<path:string,url:string,html:string,error:string>>"), F.expr("array()").cast("array<struct<path:string,url:string,html:string,error:string>>"))
+    seen = found.withColumn("pages", pages).drop("__pages", "__targets")
+    good = F.size(F.filter("pages", lambda p: p["error"].isNull() & (F.coalesce(F.length(p["html"]), F.lit(0)) > 0)))
+    status = F.when(good == 0, "failed").when(good == F.size("pages"), "success").otherwise("partial")
+    return seen.withColumns({"pages_attempted": F.size("pages"), "pages_succeeded": good, "status": status})
+
+
+def checked(rows: DataFrame, port: Callable[[dict], object], kind: str, errors: Callable[[Column], Column], entering: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Rows with the port's answer as a struct ``value`` of the kind (DDL),
+    or with a code and no value: PROVIDER_ERROR (``error`` says which),
+    EMPTY_RESPONSE, or VALIDATION_ERROR (``broken`` names the fields).
+    entering: what is done to a value before it is checked."""
+    found = answered(rows, port, "__answer")
+    value = F.from_json("__answer", kind)
+    read = found.withColumn("value", value if entering is None else entering(value))
+    read = read.withColumn("broken", errors(F.col("value")))
+    empty = F.coalesce(F.col("__answer").isin("null", '""', "{}", "[]"), F.lit(True))
+    code = F.when(F.col("error").isNotNull(), "PROVIDER_ERROR").when(empty, "EMPTY_RESPONSE").when(F.size("broken") > 0, "VALIDATION_ERROR")
+    read = read.withColumn("code", code).drop("__answer")
+    return read.withColumns({"value": F.when(F.col("code").isNull(), F.col("value")), "broken": F.when(F.col("code") == "VALIDATION_ERROR", F.col("broken"))})
+
+
+def extracted(rows: DataFrame, port: Callable[[dict], dict]) -> DataFrame:
+    """A company's profile from its pages' text."""
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in PROFILE)
+    return checked(rows, port, kind, profile_errors, rules.normalized_profile)
+
+
+def detected_signals(rows: DataFrame, port: Callable[[dict], dict]) -> DataFrame:
+    """Buying signals of a company."""
+    return checked(rows, port, "signals array<struct<type:string,title:string,summary:string,sourceUrl:string,confidence:double>>", lambda v: rules.intent_errors(v["signals"]))
+
+
+def written_messages(rows: DataFrame, port: Callable[[dict], dict], channel: Column | str = "channel") -> DataFrame:
+    """A message for the row's channel."""
+    return checked(rows, port, "subject string, bodyText string", lambda v: message_errors(col(channel), v["subject"], v["bodyText"]))
+
+
 def prompt(template: str, **values: Column | str) -> Column:
     """A template whose {{name}} marks are filled with escaped values."""
     out = F.lit(template)

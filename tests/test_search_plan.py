@@ -145,3 +145,68 @@ def test_new_recipients_fail_on_gaps_and_repeats(spark):
         entity.recipients_of(rows("x", None), r, campaign).collect()
     with pytest.raises(Exception, match="repeated address x"):
         entity.recipients_of(rows("x", "x"), r, campaign).collect()
+
+
+def test_a_cancelled_job_keeps_what_it_has(spark):
+    rounds = []
+
+    def cancelled():
+        rounds.append(1)
+        return spark.createDataFrame([(0,)] if len(rounds) > 1 else [], "job_id long")
+
+    results, summaries = search.run_searches(jobs(spark, 5, 3), search.Ports(fresh, lambda row: GOOD), cancelled=cancelled)
+    s = {r.job_id: r for r in summaries.collect()}
+    assert (s[0].enriched, s[0].final_status, s[0].message) == (2, "CANCELLED", None)
+    assert (s[1].enriched, s[1].final_status) == (3, "COMPLETED")
+    assert results.where("job_id = 0").count() == 2
+
+
+def test_a_crawl_that_takes_too_long_is_given_up(spark):
+    companies = spark.createDataFrame([(1, "a.fi"), (2, "slow.fi"), (3, "half.fi"), (4, "down.fi")], "company_id long, domain string")
+    targets = F.array(*[F.struct(F.lit(p).alias("path"), F.concat(F.lit("https://"), "domain", F.lit(p)).alias("url")) for p in ("/", "/about")])
+
+    class Clock:  # a slow company's pages take a minute each
+        now = 0.0
+
+    def get(url):
+        Clock.now += 61 if "slow" in url else 1
+        if "down" in url or url.endswith("half.fi/about"):
+            raise OSError("no answer")
+        return "<p>text</p>"
+
+    got = {r.company_id: r for r in ports.company_crawls(companies, targets, get, 120_000, lambda: Clock.now).collect()}
+    assert [(got[i].status, got[i].pages_succeeded, got[i].pages_attempted) for i in (1, 2, 3, 4)] == [("success", 2, 2), ("failed", 0, 0), ("partial", 1, 2), ("failed", 0, 2)]
+    assert got[2].error == "Company crawl exceeded 120000ms" and got[1].error is None
+    assert [(p.path, p.error) for p in got[3].pages] == [("/", None), ("/about", "no answer")]
+
+
+def test_answers_are_checked(spark):
+    good = {"companyName": " Acme ", "description": "Cranes", "industry": "LOGISTICS", "estimatedCompanySize": "50-200", "products": ["a", "A"]}
+    rows = spark.createDataFrame([(i, "EMAIL") for i in range(4)], "id long, channel string")
+
+    def by_id(*answers):
+        def port(row):
+            if isinstance(answers[row["id"]], Exception):
+                raise answers[row["id"]]
+            return answers[row["id"]]
+
+        return port
+
+    found = {r.id: r for r in ports.extracted(rows, by_id(good, good | {"companyName": " ", "estimatedCompanySize": "many"}, None, OSError("down"))).collect()}
+    assert (found[0].value.companyName, found[0].value.industry, found[0].value.products, found[0].code) == ("Acme", "logistics", ["a"], None)
+    assert [found[i].code for i in (1, 2, 3)] == ["VALIDATION_ERROR", "EMPTY_RESPONSE", "PROVIDER_ERROR"]
+    assert found[1].broken == ["companyName", "estimatedCompanySize"] and found[1].value is None and found[3].error == "down"
+    signal = {"type": "FUNDING", "title": "t", "summary": "s", "confidence": 0.5}
+    found = {r.id: r for r in ports.detected_signals(rows, by_id({"signals": [signal]}, {"signals": [signal | {"confidence": 2}]}, {"signals": [signal] * 11}, {"signals": []})).collect()}
+    assert [found[i].code for i in range(4)] == [None, "VALIDATION_ERROR", "VALIDATION_ERROR", None] and found[0].value.signals[0].type == "FUNDING"
+    found = {r.id: r for r in ports.written_messages(rows, by_id({"subject": "Hi", "bodyText": "x"}, {"subject": " ", "bodyText": "x"}, "", {"bodyText": "x"})).collect()}
+    assert [found[i].code for i in range(4)] == [None, "VALIDATION_ERROR", "EMPTY_RESPONSE", "VALIDATION_ERROR"]
+
+
+def test_senders_by_channel():
+    from prospectrum.streaming import delivery
+
+    send = delivery.by_channel({"EMAIL": lambda row: f"e{row['id']}", "WHATSAPP": lambda row: f"w{row['id']}"})
+    assert [send({"id": 1, "channel": c}) for c in ("EMAIL", "WHATSAPP")] == ["e1", "w1"]
+    with pytest.raises(ValueError, match="LINKEDIN"):
+        send({"id": 1, "channel": "LINKEDIN"})
