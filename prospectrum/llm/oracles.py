@@ -106,3 +106,54 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 5 * n_same > n_words OR 2 * n_dup_lines > n_lines) AS kept
 FROM b
 """
+
+#: Words by CRC-32 bucket, gains, noise and the highest tenth.
+RESAMPLING = r"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+n AS (SELECT r, unnest(w) AS w FROM d),
+h AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM n UNION SELECT w FROM b)),
+c AS (SELECT w, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, len(h), 2), lambda p: ('0x' || substr(h, p, 2))::BIGINT), lambda c, x: xor(c // 256, t[1 + xor(c % 256, x)]))) % 10000 AS bucket FROM h, t),
+s AS (SELECT bucket, count(*) AS s FROM n JOIN c USING (w) GROUP BY bucket),
+u AS (SELECT bucket, count(*) AS t FROM b JOIN c USING (w) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM s) + 10000)::DOUBLE) / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM u) + 10000)::DOUBLE))) AS BIGINT) AS gain
+      FROM (SELECT DISTINCT bucket FROM c) LEFT JOIN s USING (bucket) LEFT JOIN u USING (bucket)),
+m AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS total FROM n JOIN c USING (w) JOIN g USING (bucket) GROUP BY r),
+x AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+      ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (r)),
+y AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM x),
+z AS (SELECT *, n_features >= 20 AS fit, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= (SELECT count(*) * 10 // 100 FROM y WHERE n_features >= 20) THEN place END AS rank FROM z
+"""
+
+#: Equal payloads, the first page of each, and SHA-1 in base 32 by groups of 20 bits.
+WARC = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+s AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, upper(sha1(b)) AS h, min(page_id) OVER (PARTITION BY b) AS first FROM p),
+d AS (SELECT *, array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+      lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((('0x' || substr(h, CAST(1 + 5 * i AS BIGINT), 5))::BIGINT >> k) & 31) AS BIGINT), 1)), '')), '') AS payload_digest FROM s)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+
+_ROUND = r"""
+a{i} AS (SELECT r, c, d FROM (SELECT r, c, d, row_number() OVER (PARTITION BY r ORDER BY d, c) AS place FROM (
+  SELECT r, c, CAST(list_sum(list_transform(list_zip(x.v, k.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM x, k{i} k)) WHERE place = 1),
+s{i} AS (SELECT c, j, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS v, generate_subscripts(v, 1) AS j FROM a{i} JOIN x USING (r)) GROUP BY c, j),
+m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM s{i} GROUP BY c),
+k{j} AS MATERIALIZED (SELECT k.c, coalesce(m.v, k.v) AS v FROM k{i} k LEFT JOIN m{i} m USING (c)),"""
+
+#: Three rounds of exact means, then the last assignment.
+CENTROIDS = (
+    r"""
+WITH x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(64 * e::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+k0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), vec_id) - 1 AS c, v FROM x QUALIFY c < 16),"""
+    + "".join(_ROUND.format(i=i, j=i + 1) for i in range(3))
+    + r"""
+a AS (SELECT r, c, d FROM (SELECT r, c, d, row_number() OVER (PARTITION BY r ORDER BY d, c) AS place FROM (
+  SELECT r, c, CAST(list_sum(list_transform(list_zip(x.v, k.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM x, k3 k)) WHERE place = 1)
+SELECT vec_id, c AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(k.v, ',')) AS centroid_sha256 FROM a JOIN x USING (r) JOIN k3 k USING (c)
+"""
+)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectrum.llm import language_id, line_dedup, mixing, oracles, packing, quality_classifier, quality_rules, simhash, substring_dedup, topk_search, toxicity
+from prospectrum.llm import centroids, language_id, line_dedup, mixing, oracles, packing, quality_classifier, quality_rules, resampling, simhash, substring_dedup, topk_search, toxicity, warc
 from prospectrum.llm.common import crc_mod, table
 
 
@@ -71,6 +71,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words, drawn towards the benchmark's words."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, as read back from the archives written of them."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
@@ -82,6 +96,9 @@ QUERIES = {
     "op8_topk_search": op8_topk_search,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_warc": op12_warc,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLES: dict[str, str] = {
@@ -90,4 +107,7 @@ ORACLES: dict[str, str] = {
     "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_topk_search": oracles.TOP_K,
     "op9_quality_rules": oracles.QUALITY_RULES,
+    "op11_importance_resampling": oracles.RESAMPLING,
+    "op12_warc": oracles.WARC,
+    "op13_centroid_clustering": oracles.CENTROIDS,
 }
