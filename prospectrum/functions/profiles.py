@@ -188,7 +188,11 @@ def campaign_errors(name: Column, channel: Column, subject: Column, body_html: C
 
 
 def message_errors(channel: Column, subject: Column, body_text: Column) -> Column:
-    """V4: e-mail needs a subject, other channels a body."""
+    """V4: a body of one character or more and a subject of 500 at most; e-mail
+    needs a subject that isn't blank, other channels a body that isn't."""
     blank = lambda x: js_trim(F.coalesce(x, F.lit(""))) == ""
-    bad = {"subject": (channel == "EMAIL") & blank(subject), "bodyText": (channel != "EMAIL") & blank(body_text)}
+    bad = {
+        "subject": ((channel == "EMAIL") & blank(subject)) | F.coalesce(F.length(subject) > 500, F.lit(False)),
+        "bodyText": (F.coalesce(F.length(body_text), F.lit(0)) == 0) | ((channel != "EMAIL") & blank(body_text)),
+    }
     return F.filter(F.array(*[F.when(x, f) for f, x in bad.items()]), lambda x: x.isNotNull())

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from prospectrum.constants import CRAWL_PATHS, SIGNAL_TYPES, STAGES
+from prospectrum.constants import CHANNELS, CRAWL_PATHS, SIGNAL_TYPES, STAGES
 from prospectrum.functions import contacts
 from prospectrum.functions.profiles import FIELDS, LISTS, bound
 from prospectrum.functions.text import distinct_strings, js_trim, let
@@ -17,7 +17,11 @@ from prospectrum.functions.text import distinct_strings, js_trim, let
 # Limits and choices of the rules.
 SORTS = ["company_asc", "company_desc", "rank_asc"]
 CRAWL_STATES = ["success", "partial", "failed"]
+COMPANY_SORTS = ["name", "domain", "lastCrawledAt", "updatedAt"]
+ORDERS = ["asc", "desc"]
+TONES = ["professional", "consultative", "brief"]
 URL_CHARS, PAGE_SIZES = 2048, (1, 100)
+UUID = "(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
 
 
 def broken(rules: dict[str, Column]) -> Column:
@@ -31,6 +35,7 @@ def not_between(x: Column, low: int, high: int) -> Column:
 
 
 def no_url(x: Column) -> Column:
+    """Also for elements of arrays, where the parser of ``urls`` can't be called."""
     return not_between(x, 1, URL_CHARS) | F.try_parse_url(x, F.lit("PROTOCOL")).isNull()
 
 
@@ -79,9 +84,14 @@ def crawl_errors(result: Column) -> Column:
     })
 
 
-def cleaning_errors(html: Column, url: Column, path: Column, title: Column) -> Column:
-    """A page to be cleaned."""
-    return broken({"html": not_between(html, 1, 500_000), "url": no_url(url), "pagePath": not_between(path, 1, 500), "title": F.coalesce(F.length(title) > 500, F.lit(False))})
+def cleaning_errors(html: Column, bad_url: Column, path: Column, title: Column) -> Column:
+    """A page to be cleaned; bad_url: whether its URL is none."""
+    return broken({"html": not_between(html, 1, 500_000), "url": bad_url, "pagePath": not_between(path, 1, 500), "title": F.coalesce(F.length(title) > 500, F.lit(False))})
+
+
+def cleaned_errors(body: Column, headings: Column) -> Column:
+    """What cleaning gives back."""
+    return broken({"body": F.coalesce(F.length(body) > 50_000, F.lit(False)), "headings": F.coalesce(F.exists(headings, lambda h: not_between(h["text"], 1, 500)), F.lit(False))})
 
 
 def intent_errors(signals: Column) -> Column:
@@ -99,6 +109,35 @@ def search_request_errors(query: Column, limit: Column) -> Column:
     return broken({"query": not_between(js_trim(query), 1, 500), "companyLimit": outside(limit, 1, 100)})
 
 
+def parser_input_errors(query: Column, locale: Column) -> Column:
+    """V2: what the query parser is asked; a locale need not be given."""
+    return broken({"query": not_between(js_trim(query), 1, 500), "locale": locale.isNotNull() & not_between(locale, 2, 10)})
+
+
+def company_list(page: Column, size: Column, industry: Column, domain: Column, sort: Column, order: Column) -> Column:
+    """V5: a request for a page of companies, with defaults, and the fields
+    that break its rules; page and size may be texts."""
+    number = lambda x, default: F.when(x.isNull(), default).otherwise(x.try_cast("int"))
+    at, most, term, host = number(page, 1), number(size, 25), js_trim(industry), js_trim(domain)
+    errors = broken({
+        "page": ~F.coalesce(at >= 1, F.lit(False)), "pageSize": ~F.coalesce(most.between(*PAGE_SIZES), F.lit(False)),
+        "industry": industry.isNotNull() & not_between(term, 1, 200), "domain": domain.isNotNull() & not_between(host, 1, 253),
+        "sort": F.coalesce(~sort.isin(COMPANY_SORTS), F.lit(False)), "order": F.coalesce(~order.isin(ORDERS), F.lit(False)),
+    })
+    return F.struct(at.alias("page"), most.alias("pageSize"), term.alias("industry"), host.alias("domain"), F.coalesce(sort, F.lit("updatedAt")).alias("sort"), F.coalesce(order, F.lit("desc")).alias("order"), errors.alias("errors"))
+
+
+def schedule_errors(enabled: Column, interval_days: Column) -> Column:
+    """V5: a refresh schedule; the interval is 30 days where none is given."""
+    return broken({"enabled": enabled.isNull(), "intervalDays": outside(interval_days, 7, 90)})
+
+
+def message_request_errors(company: Column, result: Column, tone: Column, channel: Column) -> Column:
+    """V5: a request for an outreach message; all but the company may be missing."""
+    uuid = lambda x: F.coalesce(x.rlike(UUID), F.lit(False))
+    return broken({"companyId": ~uuid(company), "searchResultId": result.isNotNull() & ~uuid(result), "tone": F.coalesce(~tone.isin(TONES), F.lit(False)), "channel": F.coalesce(~channel.isin(CHANNELS), F.lit(False))})
+
+
 def results_view(stage: Column, query: Column, sort: Column, page: Column, size: Column) -> Column:
     """V5: the state of a list of results, with defaults, and the fields that
     break its rules; page and size may be texts."""

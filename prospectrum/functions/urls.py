@@ -1,53 +1,76 @@
-"""Web addresses as Column expressions.
-
-Each step is bound with ``let``, so a plan holds it once.
+"""Web addresses: parsed as browsers do in Arrow batches, judged as Column
+expressions. Each step is bound with ``let``, so a plan holds it once.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from prospectrum.constants import BLOCKED_DOMAINS, BLOCKED_HOSTS
+from prospectrum.functions import weburl
 from prospectrum.functions.text import col, let
 
 _OCTETS = "^[0-9]{1,3}([.][0-9]{1,3}){3}$"
 
 
-def with_scheme(x: Column | str) -> Column:
-    return let(col(x), lambda v: F.when(F.contains(v, F.lit("://")), v).otherwise(F.concat(F.lit("https://"), v)))
+#: What is read from an address: null as a whole where a text is none. domain
+#: and website are those of F1 and F2, site_domain is the F1 of that website.
+SITE = T.StructType([T.StructField(n, T.StringType()) for n in ("scheme", "host", "origin", "path", "domain", "website", "site_domain")])
+
+
+def _sites(texts: pa.Array, complete: Callable[[str], str]) -> pa.Array:
+    """Each different text of a batch is parsed once."""
+    named = texts.dictionary_encode()
+    rows = []
+    for text in named.dictionary.to_pylist():
+        url, website = weburl.parse(complete(text)), weburl.website(text)
+        rows.append(url and (url.scheme, url.host, url.origin, url.path, weburl.domain(text), website, website and weburl.domain(website)))
+    columns = [pa.array([r[i] if r else None for r in rows], pa.string()) for i in range(len(SITE))]
+    parts = pa.StructArray.from_arrays(columns, SITE.names, mask=pa.array([r is None for r in rows], pa.bool_()))
+    return parts.take(named.indices)
+
+
+def _site(texts: pa.Array) -> pa.Array:
+    return _sites(texts, weburl.with_scheme)
+
+
+def _parsed(texts: pa.Array) -> pa.Array:
+    return _sites(texts, str)
+
+
+def site(x: Column | str) -> Column:
+    """An address (``SITE``), with https:// put before a text that names no scheme.
 
+    Said to be non-deterministic, so that the optimizer evaluates it once,
+    not again in each filter and projection above.
+    """
+    return F.arrow_udf(_site, SITE).asNondeterministic()(col(x))
 
-def bare_host(x: Column) -> Column:
-    return F.regexp_replace(F.lower(F.try_parse_url(x, F.lit("HOST"))), "^www\\.", "")
+
+def parsed(x: Column | str) -> Column:
+    """An absolute address (``SITE``); null for a text that is none."""
+    return F.arrow_udf(_parsed, SITE).asNondeterministic()(col(x))
 
 
 def normalized_domain(x: Column | str) -> Column:
     """the host in lower case without www., if it has a dot."""
-    return let(bare_host(with_scheme(x)), lambda host: F.when(F.contains(host, F.lit(".")), host))
+    return site(x)["domain"]
 
 
 def normalized_website(x: Column | str) -> Column:
     """http(s) only, no query, no fragment, no slash at the end."""
-
-    def parts(url: Column) -> Column:
-        part = lambda name: F.try_parse_url(url, F.lit(name))
-        port = F.regexp_extract(part("AUTHORITY"), ":(\\d+)$", 1)
-        return F.struct(F.lower(part("PROTOCOL")).alias("scheme"), bare_host(url).alias("host"), port.alias("port"), F.coalesce(part("PATH"), F.lit("")).alias("path"))
-
-    def built(p: Column) -> Column:
-        usual = (p["port"] == "") | ((p["scheme"] == "http") & (p["port"] == "80")) | ((p["scheme"] == "https") & (p["port"] == "443"))
-        whole = F.concat(p["scheme"], F.lit("://"), p["host"], F.when(usual, "").otherwise(F.concat(F.lit(":"), p["port"])), p["path"])
-        return F.when(p["scheme"].isin("http", "https"), F.regexp_replace(whole, "/$", ""))
-
-    return let(let(with_scheme(x), parts), built)
+    return site(x)["website"]
 
 
 def domain_of(website: Column | str) -> Column:
     """F1 of a website that is normalized already: read off, not parsed again."""
-    host = F.regexp_extract(col(website), "^https?://([^/:]+)", 1)
+    host = F.regexp_extract(col(website), "^https?://(?:[^/@]*@)?(?:www[.])?([^/:]+)", 1)
     return F.when(F.contains(host, F.lit(".")), host)
 
 
@@ -81,20 +104,18 @@ def is_safe_host(host: Column | str, allowed: Column | str | None = None) -> Col
 
 
 def is_safe_url(url: Column | str, allowed: Column | str | None = None) -> Column:
-    scheme = F.lower(F.try_parse_url(col(url), F.lit("PROTOCOL")))
-    return F.coalesce(scheme.isin("http", "https") & is_safe_host(F.try_parse_url(col(url), F.lit("HOST")), allowed), F.lit(False))
-
-
-def origin(url: Column | str) -> Column:
-    return F.regexp_extract(col(url), "^(https?://[^/?#]+)", 1)
+    return let(parsed(url), lambda u: F.coalesce(u["scheme"].isin("http", "https") & is_safe_host(u["host"], allowed), F.lit(False)))
 
 
 def crawl_targets(website: Column | str, domain: Column | str, paths: list[str]) -> Column:
     """(path, url) for each path, where the site's host is safe."""
-    base = normalized_website(website)
-    start = origin(base)
-    each = F.array(*[F.struct(F.lit(p).alias("path"), F.concat(start, F.lit(p)).alias("url")) for p in paths])
-    return F.when(is_safe_url(base, domain), each)
+
+    def targets(base: Column) -> Column:
+        each = F.array(*[F.struct(F.lit(p).alias("path"), F.concat(base["origin"], F.lit(p)).alias("url")) for p in paths])
+        good = base["scheme"].isin("http", "https") & is_safe_host(base["host"], domain)
+        return F.when(F.coalesce(good, F.lit(False)), each)
+
+    return let(parsed(normalized_website(website)), targets)
 
 
 def robots_allows(rules: Column | str, path: Column | str, agent: str) -> Column:

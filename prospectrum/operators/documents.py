@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from prospectrum.constants import CRAWL_PATHS, EMAIL_PATTERN
-from prospectrum.functions import contacts, markup, rules
+from prospectrum.functions import contacts, markup, rules, urls
 from prospectrum.functions.text import is_unknown, js_trim, without_runs
 from prospectrum.operators.relational import budgeted_prefix
 
@@ -83,30 +83,43 @@ def within_budget(body: Column, most: int) -> Column:
 def clean_pages(pages: DataFrame, key: str = "page_id", most: int = PAGE_CHARS) -> DataFrame:
     """Document, metadata and statistics of each page.
 
-    pages: key, url, html, and perhaps title and page_path. Pages without a
-    URL or text are rejected, as the input rules ask.
+    pages: key, url, html, and perhaps title and page_path. Pages that break
+    the input rules are not cleaned, and results that break the output rules are left out; ``rejected_pages`` has both.
     """
+    return _cleaned(pages, key, most).where(F.size("__bad") == 0).drop("__bad")
+
+
+def _checked(pages: DataFrame) -> DataFrame:
+    """pages with their path (``__path``) and the input rules they break (``__bad``)."""
+    own = [F.col("page_path").alias("__path")] if "page_path" in pages.columns else [F.coalesce(F.nullif(F.col("__site.path"), F.lit("")), F.lit("/")).alias("__path")]
+    title = F.col("title") if "title" in pages.columns else F.lit(None).cast("string")
+    found = pages.withColumn("__site", urls.parsed("url")).select("*", *own)
+    no_url = rules.not_between(F.col("url"), 1, rules.URL_CHARS) | F.col("__site").isNull()
+    return found.withColumn("__bad", rules.cleaning_errors(F.col("html"), no_url, F.col("__path"), title)).drop("__site")
+
+
+def _cleaned(pages: DataFrame, key: str, most: int) -> DataFrame:
+    """The cleaned pages, with the output rules that each breaks (``__bad``)."""
     title = F.col("given_title") if "title" in pages.columns else F.lit(None).cast("string")
-    path = F.col("page_path") if "page_path" in pages.columns else F.coalesce(F.try_parse_url("url", F.lit("PATH")), F.lit("/"))
-    given = pages.where((F.coalesce("url", F.lit("")) != "") & (F.coalesce("html", F.lit("")) != ""))
-    source = given.select(key, "html", "url", F.octet_length("html").alias("input_bytes"), F.when(path == "", "/").otherwise(path).alias("path"), *([F.col("title").alias("given_title")] if "title" in pages.columns else []))
+    given = _checked(pages).where(F.size("__bad") == 0)
+    path = F.col("__path")
+    source = given.select(key, "html", "url", F.octet_length("html").alias("input_bytes"), path.alias("path"), *([F.col("title").alias("given_title")] if "title" in pages.columns else []))
     whole = parsed_pages(source).withColumn("title", F.coalesce(F.when(js_trim(title) != "", js_trim(title)), "title"))
     whole = whole.withColumn("body", within_budget(composed(F.col("url"), F.col("path"), F.col("title")), most))
     chars = js_length(F.col("body"))
-    return whole.select(
+    return whole.withColumn("__bad", rules.cleaned_errors(F.col("body"), F.col("headings"))).select(
         key, "url", "path", "title", "description", "language", "headings", "json_ld", "body", "input_bytes", chars.alias("output_chars"),
         F.when(F.col("input_bytes") > 0, chars / F.col("input_bytes")).otherwise(0.0).alias("compression_ratio"), "blocks_removed",
-        F.size("headings").alias("sections_preserved"), (chars < MIN_QUALITY_CHARS).alias("low_quality"),
+        F.size("headings").alias("sections_preserved"), (chars < MIN_QUALITY_CHARS).alias("low_quality"), "__bad",
     )
 
 
-def rejected_pages(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """The pages that break the input rules, each with code and message."""
-    path = F.col("page_path") if "page_path" in pages.columns else F.coalesce(F.nullif(F.try_parse_url("url", F.lit("PATH")), F.lit("")), F.lit("/"))
-    title = F.col("title") if "title" in pages.columns else F.lit(None).cast("string")
-    bad = pages.select(key, rules.cleaning_errors(F.col("html"), F.col("url"), path, title).alias("bad")).where(F.size("bad") > 0)
-    message = F.array_join(F.transform("bad", lambda x: F.concat(F.lit("invalid "), x)), "; ")
-    return bad.select(key, F.lit("INVALID_INPUT").alias("code"), message.alias("message"))
+def rejected_pages(pages: DataFrame, key: str = "page_id", most: int = PAGE_CHARS) -> DataFrame:
+    """Pages that break the input rules (INVALID_INPUT) and results that
+    break the output rules (CLEANING_FAILED), each with its message."""
+    message = F.array_join(F.transform("__bad", lambda x: F.concat(F.lit("invalid "), x)), "; ").alias("message")
+    wrong = lambda rows, code: rows.where(F.size("__bad") > 0).select(key, F.lit(code).alias("code"), message)
+    return wrong(_checked(pages), "INVALID_INPUT").unionByName(wrong(_cleaned(pages, key, most), "CLEANING_FAILED"))
 
 
 def company_documents(pages: DataFrame, company: str, position: str, most: int = TOTAL_CHARS) -> DataFrame:

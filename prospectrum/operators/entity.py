@@ -10,13 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prospectrum.functions.urls import domain_of, is_blocked_domain, normalized_website
+from prospectrum.functions.urls import is_blocked_domain, site
+
+
+def _with_site(rows: DataFrame, website: str) -> DataFrame:
+    """rows with the normalized website and its domain."""
+    return rows.withColumn("__site", site(website)).withColumns({"website": F.col("__site.website"), "domain": F.col("__site.site_domain")}).drop("__site")
 
 
 def dedup_candidates(candidates: DataFrame, website: str = "website", confidence: str = "confidence", ordinal: str = "ordinal") -> DataFrame:
     """By domain the most confident, the first seen on ties; invalid and
     blocked sites are skipped."""
-    named = candidates.withColumn("website", normalized_website(website)).withColumn("domain", domain_of("website"))
+    named = _with_site(candidates, website)
     usable = named.where(F.col("domain").isNotNull() & ~is_blocked_domain("domain"))
     order = Window.partitionBy("domain").orderBy(F.col(confidence).desc(), ordinal)
     return usable.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
@@ -25,7 +30,7 @@ def dedup_candidates(candidates: DataFrame, website: str = "website", confidence
 def dedup_upserts(inputs: DataFrame, website: str = "website", name: str = "name", ordinal: str = "ordinal") -> DataFrame:
     """By domain the first with a name, else the first. An invalid or
     blocked site fails the whole batch."""
-    named = inputs.withColumn("website", normalized_website(website)).withColumn("domain", domain_of("website"))
+    named = _with_site(inputs, website)
     bad = F.col("domain").isNull() | is_blocked_domain("domain")
     checked = named.withColumn("domain", F.when(bad, F.raise_error(F.lit("invalid or blocked website"))).otherwise(F.col("domain")))
     order = Window.partitionBy("domain").orderBy((F.coalesce(F.col(name), F.lit("")) == "").cast("int"), ordinal)

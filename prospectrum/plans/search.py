@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prospectrum.functions import profiles
-from prospectrum.functions.urls import domain_of, is_blocked_domain, normalized_website
+from prospectrum.functions.urls import is_blocked_domain, site
 from prospectrum.operators.analytics import job_outcome
 from prospectrum.operators.entity import add_discovered
 from prospectrum.sources.ports import answered
@@ -54,8 +54,8 @@ def discovered(asked: DataFrame, ports: Ports) -> DataFrame:
     """Candidates of each job, one for each domain, best first."""
     found = answered(asked.select("job_id", "query", "criteria", "wanted", F.array_join("excluded", "\n").alias("excluded")), ports.discover)
     each = found.select("job_id", F.posexplode(F.from_json("answer", "array<struct<companyName:string,website:string,confidence:double>>")).alias("ordinal", "x"))
-    sites = each.select("job_id", "ordinal", F.col("x.companyName").alias("name"), F.coalesce("x.confidence", F.lit(0.0)).alias("confidence"), normalized_website("x.website").alias("website"))
-    usable = sites.withColumn("company_id", domain_of("website")).where(F.col("company_id").isNotNull() & ~is_blocked_domain("company_id"))
+    sites = each.select("job_id", "ordinal", F.col("x.companyName").alias("name"), F.coalesce("x.confidence", F.lit(0.0)).alias("confidence"), site("x.website").alias("s"))
+    usable = sites.select("job_id", "ordinal", "name", "confidence", F.col("s.website").alias("website"), F.col("s.site_domain").alias("company_id")).where(F.col("company_id").isNotNull() & ~is_blocked_domain("company_id"))
     once = usable.withColumn("n", F.row_number().over(Window.partitionBy("job_id", "company_id").orderBy(F.desc("confidence"), "ordinal"))).where("n = 1")
     placed = once.withColumn("n", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("confidence"), "ordinal")))
     return placed.join(asked.select("job_id", "wanted"), "job_id").where(F.col("wanted").isNull() | (F.col("n") <= F.col("wanted"))).select("job_id", "company_id", "name", "website", F.col("n").alias("ordinal"))

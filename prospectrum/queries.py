@@ -631,14 +631,45 @@ def _(v: Views) -> DataFrame:
 HOST = "regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www[.]', '')"
 
 
-@query("f1_domains", f"SELECT page_id, CASE WHEN contains({HOST}, '.') THEN {HOST} END AS domain FROM pages")
+#: Addresses as people type them, made of the supplied ones, and the domain and
+#: website of each: blanks, international and odd hosts, user names, dot segments,
+#: back slashes, numbers for hosts, ports out of range, other schemes, no address.
+_ID = "CAST(page_id AS STRING)"
+TYPED = [
+    ("url", f"CASE WHEN contains({HOST}, '.') THEN {HOST} END", f"regexp_replace(concat(regexp_extract(url, '^(https?)', 1), '://', {HOST}, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)), '/$', '')"),
+    (f"concat('  https://Acme', {_ID}, '.fi/ ')", f"concat('acme', {_ID}, '.fi')", f"concat('https://acme', {_ID}, '.fi')"),
+    (f"concat('https://Shop', {_ID}, '.MÜLLER.fi/x')", f"concat('shop', {_ID}, '.xn--mller-kva.fi')", f"concat('https://shop', {_ID}, '.xn--mller-kva.fi/x')"),
+    (f"concat('https://www.a_', {_ID}, '.acme.fi')", f"concat('a_', {_ID}, '.acme.fi')", f"concat('https://a_', {_ID}, '.acme.fi')"),
+    (f"concat('acme', {_ID}, '.fi/a b')", f"concat('acme', {_ID}, '.fi')", f"concat('https://acme', {_ID}, '.fi/a%20b')"),
+    (f"concat('http://acme.fi:80/x|', {_ID})", "'acme.fi'", f"concat('http://acme.fi/x|', {_ID})"),
+    (f"concat('https://www.acme', {_ID}, '.fi/a/../b/./%2e%2E/c?q#f')", f"concat('acme', {_ID}, '.fi')", f"concat('https://acme', {_ID}, '.fi/c')"),
+    (f"concat('https://user:p@w@acme', {_ID}, '.fi/')", f"concat('acme', {_ID}, '.fi')", f"concat('https://user:p%40w@acme', {_ID}, '.fi')"),
+    (f"concat('HTTPS:', chr(92), chr(92), 'acme', {_ID}, '.fi', chr(92), 'x://')", f"concat('acme', {_ID}, '.fi')", f"concat('https://acme', {_ID}, '.fi/x:/')"),
+    (f"concat('http://0x7f.', CAST(256 + page_id % 250 AS STRING), ':8080/')", "concat('127.0.1.', CAST(page_id % 250 AS STRING))", "concat('http://127.0.1.', CAST(page_id % 250 AS STRING), ':8080')"),
+    (f"concat('https://acme.fi:99999/', {_ID})", "NULL", "NULL"),
+    (f"concat('ftp://Files', {_ID}, '.fi/x')", f"concat('files', {_ID}, '.fi')", "NULL"),
+    (f"concat('no-dot-', {_ID})", "NULL", f"concat('https://no-dot-', {_ID})"),
+    (f"concat('https://bad host', {_ID}, '.fi')", "NULL", "NULL"),
+]
+
+
+def _of_typed(part: int) -> str:
+    whens = " ".join(f"WHEN {i} THEN {case[part]}" for i, case in enumerate(TYPED))
+    return f"CASE CAST(page_id % {len(TYPED)} AS INT) {whens} END"
+
+
+def typed(v: Views) -> DataFrame:
+    return v.pages.select("page_id", F.expr(_of_typed(0)).alias("typed"))
+
+
+@query("f1_domains", f"SELECT page_id, {_of_typed(1)} AS domain FROM pages")
 def _(v: Views) -> DataFrame:
-    return v.pages.select("page_id", urls.normalized_domain("url").alias("domain"))
+    return typed(v).select("page_id", urls.normalized_domain("typed").alias("domain"))
 
 
-@query("f2_websites", f"SELECT page_id, regexp_replace(concat(regexp_extract(url, '^(https?)', 1), '://', {HOST}, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)), '/$', '') AS website FROM pages")
+@query("f2_websites", f"SELECT page_id, {_of_typed(2)} AS website FROM pages")
 def _(v: Views) -> DataFrame:
-    return v.pages.select("page_id", urls.normalized_website("url").alias("website"))
+    return typed(v).select("page_id", urls.normalized_website("typed").alias("website"))
 
 
 @query(
@@ -919,13 +950,16 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "h13_rejected_pages",
-    """SELECT page_id, 'INVALID_INPUT' AS code, concat_ws('; ', CASE WHEN coalesce(html, '') = '' OR page_id % 5 = 0 THEN 'invalid html' END, CASE WHEN page_id % 7 = 0 THEN 'invalid url' END) AS message FROM pages
-       WHERE coalesce(html, '') = '' OR page_id % 5 = 0 OR page_id % 7 = 0""",
+    """WITH g AS (SELECT page_id, concat_ws('; ', CASE WHEN coalesce(html, '') = '' OR page_id % 5 = 0 OR page_id % 11 = 0 THEN 'invalid html' END, CASE WHEN page_id % 7 = 0 THEN 'invalid url' END) AS bad FROM pages)
+       SELECT page_id, CASE WHEN bad <> '' THEN 'INVALID_INPUT' WHEN page_id % 13 = 0 THEN 'CLEANING_FAILED' ELSE 'CLEANED' END AS code, CASE WHEN bad <> '' THEN bad WHEN page_id % 13 = 0 THEN 'invalid headings' ELSE '' END AS message FROM g""",
 )
 def _(v: Views) -> DataFrame:
+    """Each page is cleaned or rejected, never both."""
     k = F.col("page_id")
-    given = v.pages.select("page_id", F.when(k % 7 == 0, "not an address").otherwise(F.col("url")).alias("url"), F.when(k % 5 > 0, F.col("html")).alias("html"))
-    return documents.rejected_pages(given)
+    html = F.when(k % 11 == 0, F.rpad("html", 500_001, "x")).when(k % 13 == 0, F.replace("html", F.lit("<article>"), F.lit(f"<article><h2>{'long ' * 101}</h2>"))).otherwise(F.col("html"))
+    given = v.pages.select("page_id", F.when(k % 7 == 0, "not an address").otherwise(F.col("url")).alias("url"), F.when(k % 5 > 0, html).alias("html"))
+    kept = documents.clean_pages(given).select("page_id", F.lit("CLEANED").alias("code"), F.lit("").alias("message"))
+    return documents.rejected_pages(given).unionByName(kept)
 
 
 @query(
@@ -1150,12 +1184,50 @@ def _(v: Views) -> DataFrame:
     return rows.select("p_partkey", F.array_join(profiles.profile_errors(profiles.parsed(F.col("json"))), ",").alias("errors"))
 
 
-@query("v4_message_rules", "SELECT c.campaign_id, CASE WHEN channel = 'EMAIL' AND campaign_id % 2 = 0 THEN 'subject' WHEN channel <> 'EMAIL' AND campaign_id % 5 = 0 THEN 'bodyText' ELSE '' END AS errors FROM {campaigns} c")
+@query(
+    "v4_message_rules",
+    """SELECT campaign_id, concat_ws(',', CASE WHEN (channel = 'EMAIL' AND k % 2 = 0) OR k % 9 = 1 THEN 'subject' END, CASE WHEN k % 5 = 0 OR (channel <> 'EMAIL' AND k % 5 = 1) THEN 'bodyText' END) AS errors
+       FROM (SELECT campaign_id, channel, campaign_id // 32 AS k FROM {campaigns})""",
+)
 def _(v: Views) -> DataFrame:
-    subject, body = F.when(F.col("campaign_id") % 2 == 0, " ").otherwise("Hi"), F.when(F.col("campaign_id") % 5 == 0, "").otherwise("Hello")
+    k = F.floor(F.col("campaign_id") / 32)
+    subject = F.when(k % 9 == 1, F.repeat(F.lit("s"), 501)).when(k % 2 == 0, " ").otherwise("Hi")
+    body = F.when(k % 5 == 0, "").when(k % 5 == 1, " ").otherwise("Hello")
     return v.campaigns.select("campaign_id", F.array_join(profiles.message_errors(F.col("channel"), subject, body), ",").alias("errors"))
 
 
+@query(
+    "v2_parser_input",
+    """SELECT page_id, concat_ws(',', CASE WHEN page_id % 4 = 0 OR length(concat('find ', repeat(url, CAST(page_id % 20 AS BIGINT)))) > 500 THEN 'query' END, CASE WHEN page_id % 5 < 2 THEN 'locale' END) AS errors FROM pages""",
+)
+def _(v: Views) -> DataFrame:
+    k = F.col("page_id")
+    asked = F.when(k % 4 == 0, "  ").otherwise(F.concat(F.lit(" find "), F.repeat("url", (k % 20).cast("int")), F.lit(" ")))
+    locale = F.when(k % 5 == 0, "x").when(k % 5 == 1, "x" * 11).when(k % 5 == 2, "fi-FI")
+    return v.pages.select("page_id", F.array_join(rules.parser_input_errors(asked, locale), ",").alias("errors"))
+
+
+@query(
+    "v5_company_list",
+    """SELECT o_orderkey, CAST(o_orderkey % 7 AS INTEGER) AS page, CASE WHEN o_orderkey % 6 = 0 THEN 25 ELSE CAST(o_custkey % 130 AS INTEGER) END AS page_size, CASE WHEN o_orderkey % 3 = 0 THEN 'updatedAt' WHEN o_orderkey % 3 = 1 THEN 'name' ELSE 'rank' END AS sort,
+         CASE WHEN o_orderkey % 5 > 2 THEN 'asc' ELSE 'desc' END AS sort_order,
+         concat_ws(',', CASE WHEN o_orderkey % 7 = 0 THEN 'page' END, CASE WHEN o_orderkey % 6 > 0 AND o_custkey % 130 NOT BETWEEN 1 AND 100 THEN 'pageSize' END, CASE WHEN o_orderkey % 10 = 0 THEN 'industry' END, CASE WHEN o_orderkey % 11 = 0 THEN 'domain' END, CASE WHEN o_orderkey % 3 = 2 THEN 'sort' END) AS errors,
+         concat_ws(',', CASE WHEN o_orderkey % 4 = 0 THEN 'enabled' END, CASE WHEN o_custkey % 100 NOT BETWEEN 7 AND 90 THEN 'intervalDays' END) AS schedule_errors,
+         concat_ws(',', CASE WHEN o_orderkey % 5 = 0 THEN 'companyId' END, CASE WHEN o_orderkey % 8 = 1 THEN 'tone' END, CASE WHEN o_orderkey % 9 = 1 THEN 'channel' END) AS message_errors FROM {orders}""",
+)
+def _(v: Views) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    asked = rules.company_list(
+        (k % 7).cast("string"), F.when(k % 6 > 0, (c % 130).cast("string")), F.when(k % 10 == 0, " ").otherwise("saas"), F.when(k % 11 == 0, "d" * 254),
+        F.when(k % 3 == 1, "name").when(k % 3 == 2, "rank"), F.when(k % 5 > 2, "asc"),
+    )
+    company = F.when(k % 5 == 0, "not an id").otherwise(F.concat(F.lit("0123ABCD-0000-4000-8000-"), F.lpad(k.cast("string"), 12, "0")))
+    wish = rules.message_request_errors(company, F.lit(None).cast("string"), F.when(k % 8 == 1, "rude").when(k % 8 == 2, "brief"), F.when(k % 9 == 1, "FAX").otherwise("EMAIL"))
+    plan = rules.schedule_errors(F.when(k % 4 > 0, k % 4 > 1), c % 100)
+    rows = v.orders.select("o_orderkey", asked.alias("a"), F.array_join(plan, ",").alias("schedule_errors"), F.array_join(wish, ",").alias("message_errors"))
+    return rows.select("o_orderkey", "a.page", F.col("a.pageSize").alias("page_size"), "a.sort", F.col("a.order").alias("sort_order"), F.array_join("a.errors", ",").alias("errors"), "schedule_errors", "message_errors")
+
+
 @query(
     "v5_requests",
     """SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 6 = 0 THEN 'query' END, CASE WHEN o_orderkey % 4 > 0 AND o_custkey % 130 NOT BETWEEN 1 AND 100 THEN 'companyLimit' END) AS errors,

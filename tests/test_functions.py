@@ -23,6 +23,10 @@ def values(spark, expression, *columns):
 CASES = [
     lambda: (urls.normalized_domain("a"), {"https://www.Acme.fi/about": "acme.fi", "not-a-domain": None, "http://www.example.com/path": "example.com", None: None, "acme.fi:8080/x": "acme.fi"}),
     lambda: (urls.normalized_website("a"), {"http://www.example.com/path": "http://example.com/path", "https://acme.fi/": "https://acme.fi", "ftp://acme.fi": None, "acme.fi?x=1#y": "https://acme.fi", "http://acme.fi:80/a/": "http://acme.fi/a"}),
+    lambda: (urls.normalized_domain("a"), {"https://müller.fi/x": "xn--mller-kva.fi", "https://a_b.acme.fi/": "a_b.acme.fi", "https://acme.fi/a b": "acme.fi", "https://acme.fi/x|y": "acme.fi", " https://acme.fi ": "acme.fi", "http://[::1.2.3.4]/": None, "foo://A.B/c": "a.b", "file://host.fi/x": "host.fi"}),
+    lambda: (urls.normalized_website("a"), {"https://acme.fi/a/../b": "https://acme.fi/b", "https://user:pw@acme.fi/": "https://user:pw@acme.fi", "http://[1:0:0:2::3]:80/": "http://[1:0:0:2::3]", "https://acme.fi//": "https://acme.fi/", "https://acme。fi/ü": "https://acme.fi/%C3%BC", "https://xn--a.fi": None, "http://1.2.3.256/": None, "http://0300.1/": "http://192.0.0.1", "https://faß.de/": "https://xn--fa-hia.de"}),
+    lambda: (urls.domain_of(urls.normalized_website("a")), {"https://www.www.acme.fi": "acme.fi", "https://u:p@www.acme.fi:81/": "acme.fi", "https://localhost/a.b": None}),
+    lambda: (urls.is_safe_url("a", F.lit("acme.fi")), {"https://www.acme.fi/x": True, "https://acme.fi.evil.com/": False, "ftp://acme.fi/": False, "https://0x7f000001/": False, None: False, "no address": False}),
     lambda: (urls.is_blocked_domain("a"), {"linkedin.com": True, "fi.linkedin.com": True, "acme.fi": False, "notlinkedin.com": False}),
     lambda: (urls.is_safe_host("a"), {"evil.com": True, "localhost": False, "169.254.169.254": False, "10.0.0.1": False, "172.31.0.1": False, "172.32.0.1": True, "db.internal": False}),
     lambda: (text.organization_slug("a"), {"Acme Payments Inc.": "acme-payments-inc", "***": "organization", "x" * 150: "x" * 100}),
