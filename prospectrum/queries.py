@@ -3,6 +3,7 @@ event operators, each over whole tables, with DuckDB SQL beside it."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 from prospectrum.constants import ACTIVE_JOBS, BLOCKED_DOMAINS, CRAWL_PATHS, INJECTION_PATTERNS, SIGNAL_WEIGHT
 from prospectrum.functions import contacts, profiles, rules, text, urls
 from prospectrum.operators import analytics, documents, entity, relational
+from prospectrum.operators import stored as stored_writes
 from prospectrum.plans import search
 from prospectrum.sources import ports
+from prospectrum.sources.store import Store
+from prospectrum.sources.tables import shared_dir
 from prospectrum.sources.views import oracle, view
 from prospectrum.streaming import delivery
 
@@ -506,9 +510,13 @@ BATCH = "SELECT concat('supplier', CAST(n_nationkey * 7 AS STRING), '.fi') AS do
 TABLE = "SELECT domain, name, concat('http://', domain) AS website FROM {companies}"
 
 
-def upserted(v: Views) -> tuple[DataFrame, DataFrame]:
+def company_tables(v: Views) -> tuple[DataFrame, DataFrame]:
     spark = v.nation.sparkSession
-    return entity.upsert_companies(spark.sql(TABLE, companies=v.companies), spark.sql(BATCH, nation=v.nation))
+    return spark.sql(TABLE, companies=v.companies), spark.sql(BATCH, nation=v.nation)
+
+
+def upserted(v: Views) -> tuple[DataFrame, DataFrame]:
+    return entity.upsert_companies(*company_tables(v))
 
 
 @query("m1_upsert_companies", f"SELECT coalesce(o.domain, n.domain) AS domain, coalesce(n.name, o.name) AS name, coalesce(n.website, o.website) AS website FROM ({TABLE}) o FULL JOIN ({BATCH}) n ON o.domain = n.domain")
@@ -516,6 +524,25 @@ def _(v: Views) -> DataFrame:
     return upserted(v)[0]
 
 
+def stored(v: Views, **tables: DataFrame) -> Store:
+    """A new folder of tables, of 16 buckets each."""
+    spark = v.supplier.sparkSession
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    stored_writes.created(store, 16, **tables)
+    return store
+
+
+@query("m1_stored_upsert", ORACLES["m1_upsert_companies"])
+def _(v: Views) -> DataFrame:
+    """Two batches after each other; only the buckets of their keys are written."""
+    old, new = company_tables(v)
+    store = stored(v, companies=old)
+    half = F.pmod(F.crc32(F.col("domain").cast("binary")), F.lit(2)) == 0
+    for batch in (new.where(half), new.where(~half)):
+        stored_writes.upsert_companies(store, batch)
+    return store.read("companies")
+
+
 @query("m2_upsert_counts", f"SELECT count(*) FILTER (WHERE o.domain IS NULL) AS inserted, count(*) FILTER (WHERE o.domain IS NOT NULL) AS updated FROM ({BATCH}) n LEFT JOIN ({TABLE}) o ON o.domain = n.domain")
 def _(v: Views) -> DataFrame:
     return upserted(v)[1]
@@ -551,10 +578,33 @@ def _(v: Views) -> DataFrame:
        SELECT a.company_id, content_hash, CAST(coalesce(m.most, 0) + row_number() OVER (PARTITION BY a.company_id ORDER BY ordinal) AS INTEGER) AS version FROM a LEFT JOIN (SELECT company_id, max(version) AS most FROM t GROUP BY company_id) m ON m.company_id = a.company_id""",
 )
 def _(v: Views) -> DataFrame:
+    return entity.save_profiles(*profile_tables(v)).select("company_id", "content_hash", "version")
+
+
+def profile_tables(v: Views) -> tuple[DataFrame, DataFrame]:
     b = v.part.select(F.col("p_partkey").alias("ordinal"), (F.col("p_partkey") % 30).alias("company_id"), F.md5(F.concat("p_brand", "p_type").cast("binary")).alias("content_hash"))
     old = b.where("ordinal % 3 = 0").select("company_id", "content_hash").distinct()
     old = old.withColumn("version", F.row_number().over(relational.Window.partitionBy("company_id").orderBy("content_hash")))
-    return entity.save_profiles(old, b.where("ordinal % 3 > 0")).select("company_id", "content_hash", "version")
+    return old, b.where("ordinal % 3 > 0")
+
+
+@query("m4_stored_profiles", ORACLES["m4_save_profiles"])
+def _(v: Views) -> DataFrame:
+    """Rows that a batch adds; saved twice, it adds them once."""
+    old, new = profile_tables(v)
+    store = stored(v, profiles=old)
+    stored_writes.save_profiles(store, new)
+    rows = stored_writes.save_profiles(store, new)
+    return rows.join(old, ["company_id", "content_hash"], "left_anti")
+
+
+@query("m5_stored_signals", "SELECT company_id, signal_id, type FROM {signals}")
+def _(v: Views) -> DataFrame:
+    rows = v.signals.select("company_id", "signal_id", "type")
+    store = stored(v, signals=rows)
+    stored_writes.replace_signals(store, rows.where("type = 'FUNDING'"))
+    stored_writes.replace_signals(store, rows)
+    return store.read("signals")
 
 
 @query("m5_replace_signals", "SELECT company_id, signal_id FROM {signals} WHERE company_id NOT IN (SELECT company_id FROM {signals} WHERE type = 'FUNDING') UNION ALL SELECT company_id, signal_id FROM {signals} WHERE type = 'FUNDING'")

@@ -1,4 +1,4 @@
-"""Tables as sources and sinks: Parquet folders, JDBC, versioned commits."""
+"""Tables as sources: Parquet folders, JDBC, event files; intermediate tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,36 +43,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def commit(spark: SparkSession, folder: str, **tables: DataFrame) -> None:
-    """New states of several tables that appear together.
-
-    Each is written beside the old ones; a row in the folder's log, one small
-    append after all of them, makes them the current ones. A run that fails
-    before it leaves the old state in force. Rows of the log are numbered, so
-    no clock decides which is the last; the clock only tells apart two writers
-    that took the same number.
-    """
-    version, last = uuid.uuid4().hex, 0
-    if _exists(spark, f"{folder}/log"):
-        last = spark.read.parquet(f"{folder}/log").agg(F.max("number")).first()[0] or 0
-    for name, df in tables.items():
-        df.write.parquet(f"{folder}/{name}/{version}")
-    names = spark.createDataFrame([(n, version) for n in tables], "name string, version string")
-    names.coalesce(1).withColumns({"number": F.lit(last + 1).cast("long"), "at": F.current_timestamp()}).write.mode("append").parquet(f"{folder}/log")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
-
-
-def current(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table as last committed."""
-    log = spark.read.parquet(f"{folder}/log").where(F.col("name") == name)
-    version = log.agg(F.max_by("version", F.struct("number", "at", "version"))).first()[0]
-    return spark.read.parquet(f"{folder}/{name}/{version}")
-
-
 def event_files(spark: SparkSession, folder: str, schema: str, per_batch: int = 100) -> DataFrame:
     """Callback bodies as a stream of JSON lines, files in arrival order."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).json(folder)
