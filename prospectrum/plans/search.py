@@ -32,10 +32,12 @@ RESULT = "job_id long, company_id string, name string, website string, rank long
 class Ports:
     """discover: job row (query, criteria, wanted, excluded) to a list of
     {companyName, website, confidence}; enrich: a result row to a profile's
-    fields (an error or None is a failure)."""
+    fields (an error or None is a failure); stop: asked with each result row
+    before its turn, whether its job has been cancelled."""
 
     discover: Callable[[dict], list[dict]]
     enrich: Callable[[dict], dict | None]
+    stop: Callable[[dict], bool] | None = None
 
 
 def requests(jobs: DataFrame, results: DataFrame, attempted: DataFrame, limited: bool) -> DataFrame:
@@ -62,16 +64,31 @@ def discovered(asked: DataFrame, ports: Ports) -> DataFrame:
 
 
 def enriched(leads: DataFrame, ports: Ports, min_completeness: float = MIN_COMPLETENESS) -> DataFrame:
-    """the stage that each lead ends in. No contact: the company
-    goes (REMOVED_COMPANY); too thin a profile: the result goes (REMOVED)."""
-    asked = answered(leads, ports.enrich)
+    """The stage that each lead ends in. One whose job is cancelled when its
+    turn comes (``ports.stop``) is left as it was discovered."""
+
+    def enrich(row: dict) -> object:
+        if ports.stop is not None and ports.stop(row):
+            return {"__stopped": True}
+        return ports.enrich(row)
+
+    asked = answered(leads, enrich)
+    stopped = F.coalesce(F.get_json_object("answer", "$.__stopped") == "true", F.lit(False))
+    return judged(asked.withColumn("started", ~stopped), min_completeness)
+
+
+def judged(leads: DataFrame, min_completeness: float = MIN_COMPLETENESS) -> DataFrame:
+    """leads with the port's answer and the stage it ends in. No
+    contact: the company goes (REMOVED_COMPANY); too thin a profile: the result
+    goes (REMOVED); not started: DISCOVERED."""
     p = F.col("p")
-    known = asked.withColumn("p", profiles.sanitized(profiles.whole(profiles.parsed(F.col("answer")))))
+    known = leads.withColumn("p", profiles.sanitized(profiles.whole(profiles.parsed(F.col("answer")))))
     failed = F.col("error").isNotNull() | F.coalesce(F.col("answer") == "null", F.lit(True))
     score = profiles.completeness(p)
-    stage = F.when(failed, "ENRICH_FAILED").when(~profiles.has_any_contact(p), "REMOVED_COMPANY").when(score < min_completeness, "REMOVED").otherwise("ENRICHED")
-    error = F.when(failed, F.coalesce("error", F.lit("no profile")))
-    return known.select("job_id", "company_id", "name", "website", "rank", stage.alias("stage"), error.alias("stage_error"), F.to_json(p).alias("profile"), F.when(~failed, score).alias("completeness"))
+    stage = F.when(~F.col("started"), "DISCOVERED").when(failed, "ENRICH_FAILED").when(~profiles.has_any_contact(p), "REMOVED_COMPANY").when(score < min_completeness, "REMOVED").otherwise("ENRICHED")
+    good = F.col("started") & ~failed
+    error = F.when(F.col("started") & failed, F.coalesce("error", F.lit("no profile")))
+    return known.select("job_id", "company_id", "name", "website", "rank", stage.alias("stage"), error.alias("stage_error"), F.when(F.col("started"), F.to_json(p)).alias("profile"), F.when(good, score).alias("completeness"))
 
 
 def run_searches(jobs: DataFrame, ports: Ports, target_rounds: int = TARGET_ROUNDS, open_rounds: int = OPEN_ROUNDS, min_completeness: float = MIN_COMPLETENESS, cancelled: Callable[[], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -6,12 +6,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prospectrum.constants import ACTIVE_JOBS, BLOCKED_DOMAINS, CRAWL_PATHS, INJECTION_PATTERNS, SIGNAL_WEIGHT
 from prospectrum.functions import contacts, profiles, rules, text, urls
-from prospectrum.operators import analytics, documents, entity, relational
+from prospectrum.operators import allocation, analytics, documents, entity, relational
 from prospectrum.operators import stored as stored_writes
 from prospectrum.plans import search
 from prospectrum.sources import ports
@@ -758,6 +758,20 @@ def _(v: Views) -> DataFrame:
     return rows.select("company_id", "path", urls.robots_allows("rules", "path", "leadreader").alias("allowed"))
 
 
+@query(
+    "f7_allocated_slugs",
+    """WITH o AS (SELECT o_orderkey AS ordinal, o_custkey % 60 AS k, row_number() OVER (PARTITION BY o_custkey % 60 ORDER BY o_orderkey) AS n FROM {orders}),
+       t AS (SELECT k, n + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS place, ordinal FROM o)
+       SELECT ordinal, CASE WHEN place > 50 THEN NULL ELSE concat('org-', chr(CAST(97 + k % 26 AS INTEGER)), chr(CAST(97 + k // 26 AS INTEGER)), CASE WHEN place = 1 THEN '' ELSE concat('-', place) END) END AS slug FROM t""",
+)
+def _(v: Views) -> DataFrame:
+    """Sixty names for all orders; a third of their slugs are taken before."""
+    k = F.col("o_custkey") % 60
+    name = lambda k: F.concat(F.lit("Org "), F.chr(97 + k % 26), F.chr(97 + F.floor(k / 26)))
+    taken = v.orders.sparkSession.range(0, 60, 3).select(F.lower(F.replace(name(F.col("id")), F.lit(" "), F.lit("-"))).alias("slug"))
+    return allocation.allocated_slugs(v.orders.select(F.col("o_orderkey").alias("ordinal"), name(k).alias("name")), taken).select("ordinal", "slug")
+
+
 @query("f7_slugs", "SELECT s_suppkey, regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM {supplier}")
 def _(v: Views) -> DataFrame:
     return v.supplier.select("s_suppkey", text.organization_slug("s_name").alias("slug"))
@@ -1300,12 +1314,45 @@ def _(v: Views) -> DataFrame:
     return rows.select("*", may("analytics:read").alias("reads_analytics"), may("user:manage").alias("manages_users"), may("search:create").alias("searches"))
 
 
-@query("m11_campaign_recipients", "SELECT 1 AS campaign_id, s_suppkey AS company_id, concat('jane', CAST(s_suppkey AS STRING), '@acme.fi') AS to_address FROM {supplier}")
+_ASKED = f"""n AS ({LATEST}),
+  rr AS (SELECT o_orderkey - o_orderkey % 3 AS campaign_id, l_linenumber AS ordinal, l_orderkey AS job_id, l_suppkey AS company_id FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey WHERE l_linenumber <= 2 AND l_partkey % 5 > 0),
+  c AS (SELECT campaign_id, user_id, channel FROM {{campaigns}}),
+  a AS (SELECT c.campaign_id, channel, 0 AS part, ordinal, r.company_id, p.company_id IS NOT NULL AS known, p.email, p.phone FROM rr r JOIN c USING (campaign_id) JOIN {{jobs}} j ON j.job_id = r.job_id AND j.user_id = c.user_id JOIN n p ON p.company_id = r.company_id
+        UNION ALL
+        SELECT c.campaign_id, channel, 1, 0, q.company_id, v.company_id IS NOT NULL, p.email, p.phone FROM (SELECT campaign_id, campaign_id % 50 AS company_id FROM c WHERE campaign_id % 4 = 0) q JOIN c USING (campaign_id)
+          LEFT JOIN (SELECT DISTINCT user_id, company_id FROM (SELECT x.*, k.user_id FROM rr x JOIN {{jobs}} k USING (job_id)) JOIN n USING (company_id)) v ON v.user_id = c.user_id AND v.company_id = q.company_id LEFT JOIN n p ON p.company_id = v.company_id),
+  s AS (SELECT *, CASE channel WHEN 'EMAIL' THEN email WHEN 'WHATSAPP' THEN phone ELSE concat('https://linkedin.com/in/', company_id) END AS address FROM a),
+  e AS (SELECT *, CASE WHEN NOT known THEN 'NOT_FOUND' WHEN address IS NULL THEN 'VALIDATION_ERROR' END AS wrong FROM s),
+  w AS (SELECT campaign_id, arg_min(wrong, part * 100 + ordinal) FILTER (WHERE wrong IS NOT NULL) AS wrong, count(*) AS n, count(address) - count(DISTINCT address) AS twice FROM e GROUP BY campaign_id),
+  f AS (SELECT c.campaign_id, CASE WHEN w.wrong IS NOT NULL THEN w.wrong WHEN w.n IS NULL THEN 'INVALID_INPUT' WHEN w.twice > 0 THEN 'CONFLICT' END AS code FROM c LEFT JOIN w USING (campaign_id))"""
+
+
+def campaigns_of_ids(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Campaigns of the results of three jobs each and of a company that their user may not see."""
+    lines = v.lineitem.where("l_linenumber <= 2 AND l_partkey % 5 > 0").join(v.orders.select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    results = lines.select(F.concat_ws("-", "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").alias("result_id"), F.col("l_orderkey").alias("job_id"), F.col("l_suppkey").alias("company_id"))
+    ids = lines.select((F.col("o_orderkey") - F.col("o_orderkey") % 3).alias("campaign_id"), F.col("l_linenumber").alias("ordinal"), F.concat_ws("-", "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber").alias("result_id"))
+    campaigns = v.campaigns.select("campaign_id", "user_id", "channel")
+    company_ids = campaigns.where("campaign_id % 4 = 0").select("campaign_id", F.lit(0).alias("ordinal"), (F.col("campaign_id") % 50).alias("company_id"))
+    newest = relational.latest(v.profiles, "company_id", "version").select("company_id", F.struct("company_id", "email", "phone").alias("profile"))
+
+    def resolve(p: Column, channel: Column) -> Column:
+        link = F.concat(F.lit("https://linkedin.com/in/"), p["company_id"].cast("string"))
+        address = F.when(channel == "EMAIL", p["email"]).when(channel == "WHATSAPP", p["phone"]).otherwise(link)
+        return F.when(address.isNotNull(), F.struct(address.alias("toAddress"), F.lit(None).cast("string").alias("toName"), F.when(channel == "EMAIL", address).alias("toEmail")))
+
+    return allocation.campaigns_from_ids(campaigns, ids, company_ids, results, v.jobs, v.companies, newest, resolve)
+
+
+@query("m11_campaign_recipients", f"WITH {_ASKED} SELECT campaign_id, company_id, address AS to_address FROM e JOIN f USING (campaign_id) WHERE code IS NULL")
 def _(v: Views) -> DataFrame:
-    address = F.concat(F.lit("jane"), F.col("s_suppkey").cast("string"), F.lit("@acme.fi"))
-    r = F.struct(address.alias("toAddress"), F.lit("Jane").alias("toName"), address.alias("toEmail"))
-    campaign = v.supplier.sparkSession.range(1).select(F.lit(1).alias("campaign_id"))
-    return entity.recipients_of(v.supplier.select(F.col("s_suppkey").alias("company_id"), r.alias("given")), F.col("given"), campaign).select("campaign_id", "company_id", "to_address")
+    return campaigns_of_ids(v)[0].select("campaign_id", "company_id", "to_address")
+
+
+@query("m11_failed_campaigns", f"WITH {_ASKED} SELECT campaign_id, code FROM f WHERE code IS NOT NULL")
+def _(v: Views) -> DataFrame:
+    return campaigns_of_ids(v)[1].select("campaign_id", "code")
+
 
 
 @query("s13_prompts", "SELECT s_suppkey, concat('Find ', s_name, ' in \"', s_nationkey::STRING, '\"') AS prompt FROM {supplier}")

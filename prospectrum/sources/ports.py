@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from prospectrum.functions import rules
 from prospectrum.functions.profiles import EMPLOYEE_RANGE, PROFILE, message_errors, profile_errors
 from prospectrum.functions.text import col, js_trim, prompt_literal
+from prospectrum.streaming.machines import RobotsCache
 
 
 def retried(call: Callable, attempts: int = 3, delay_ms: int = 500, growth: str = "exponential", again: Callable[[Exception], bool] | None = None, sleep: Callable[[float], None] = time.sleep) -> Callable:
@@ -68,17 +69,23 @@ def crawled(companies: DataFrame, targets: Column, get: Callable[[str], str], al
     return found.withColumn("html", F.from_json(F.concat(F.lit('{"x":'), "html", F.lit("}")), "x string")["x"])
 
 
-def company_crawls(companies: DataFrame, targets: Column, get: Callable[[str], str], limit_ms: int = 120_000, clock: Callable[[], float] = time.monotonic) -> DataFrame:
+def company_crawls(companies: DataFrame, targets: Column, get: Callable[[str], str], limit_ms: int = 120_000, clock: Callable[[], float] = time.monotonic, robots: Callable[[str], tuple[int, str]] | None = None, agent: str = "") -> DataFrame:
     """Each company's pages (path, url, html, error) from one visit, with
     pages_attempted, pages_succeeded and status: success, partial or failed. A
     page counts if it came without an error and with text. A visit that takes
     longer than limit_ms is given up as a whole: its error says so, no page is
-    kept, and the status is failed."""
+    kept, and the status is failed.
+
+    robots: an origin to the (status, text) of its robots.txt, kept for an hour
+    (``RobotsCache``); a page that the rules for ``agent`` forbid fails unread."""
 
     def visit(row: dict) -> list[dict]:
         began, pages = clock(), []
+        gate = RobotsCache(robots, agent, clock) if robots is not None else None
         for target in json.loads(row["__targets"]):
             try:
+                if gate is not None and not gate.allows("/".join(target["url"].split("/", 3)[:3]), target["path"]):
+                    raise PermissionError("Blocked by robots.txt")
                 pages.append(target | {"html": get(target["url"])})
             except Exception as error:
                 pages.append(target | {"error": str(error) or type(error).__name__})

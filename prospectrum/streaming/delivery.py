@@ -21,6 +21,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.window import Window
 
 from prospectrum.constants import PROVIDER_EVENTS, SEND_RATE_PER_MINUTE, STATUS_RANK
+from prospectrum.streaming.machines import batch_sink
 
 
 def rank_of(status: Column) -> Column:
@@ -89,7 +90,7 @@ def fold_status(events: DataFrame, recipients: DataFrame | None = None, key: str
         events = events.withColumn("initial", F.lit("PENDING"))
     ranked = events.withColumn("rank", rank_of(F.col("status")))
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    so_far = F.greatest(rank_of(F.col("initial")), F.coalesce(F.max("rank").over(before), F.lit(0)))
+    so_far = F.greatest(F.coalesce(rank_of(F.col("initial")), F.lit(0)), F.coalesce(F.max("rank").over(before), F.lit(0)))
     return ranked.withColumn("applied", F.col("rank") > so_far).drop("rank", "initial")
 
 
@@ -102,38 +103,57 @@ def final_status(events: DataFrame, key: str = "recipient_id", order: str = "eve
 
 
 class StatusFold(StatefulProcessor):
-    """T1 on a stream: the greatest rank so far is a recipient's state."""
+    """T1 on a stream: the greatest rank so far is a recipient's state; it
+    starts from the rank that the recipient had when it was first met."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rank = handle.getValueState("rank", "rank int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        most = self.rank.get()[0] if self.rank.exists() else 0
         batch = pd.concat(list(rows)).sort_values("event_id")  # one micro-batch of one recipient
+        most = self.rank.get()[0] if self.rank.exists() else STATUS_RANK.get(batch.initial.iloc[0], 0)
         applied = []
         for status in batch.status:
-            rank = STATUS_RANK[status]
-            applied.append(rank > most)
-            most = max(most, rank)
+            rank = STATUS_RANK.get(status)
+            applied.append(None if rank is None else rank > most)
+            most = max(most, rank or 0)
         self.rank.update((most,))
-        yield pd.DataFrame({"recipient_id": key[0], "event_id": batch.event_id, "status": batch.status, "applied": applied})
+        yield pd.DataFrame({"recipient_id": key[0], "event_id": batch.event_id, "status": batch.status, "applied": pd.Series(applied, batch.index, dtype="boolean")})
 
     def close(self) -> None:
         pass
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
-    """The stream of events with ``applied``; needs the RocksDB state store."""
+def fold_stream(events: DataFrame, recipients: DataFrame | None = None) -> DataFrame:
+    """The stream of events with ``applied``, as ``fold_status`` has
+    it; needs the RocksDB state store.
+
+    recipients: a table of (recipient_id, status), read anew for each
+    micro-batch: events of others go, and a recipient's status counts when its
+    first event comes. An unknown or null status is never applied (null) and
+    changes nothing; ``odd_events`` has these for themselves.
+    """
+    if recipients is None:
+        events = events.withColumn("initial", F.lit("PENDING"))
+    else:
+        events = events.join(recipients.select("recipient_id", F.col("status").alias("initial")), "recipient_id")
     return events.groupBy("recipient_id").transformWithStateInPandas(
         StatusFold(), "recipient_id long, event_id long, status string, applied boolean", outputMode="Append", timeMode="None"
     )
 
 
+def odd_events(events: DataFrame) -> DataFrame:
+    """Events with an unknown or null status, of a table or a stream."""
+    return events.where(~F.coalesce(F.col("status").isin(list(STATUS_RANK)), F.lit(False)))
+
+
 def limited(requests: DataFrame, most: int, window_ms: int, key: str = "key", at: str = "at_ms", order: str = "request_id") -> DataFrame:
     """T4: (key, order, at, allowed, remaining, reset_at_ms,
     retry_after_seconds). A window opens with a key's first request and reopens
     with the first one after it ends.
 
+    A request without a time is not counted: its results are null.
+
     Rows stream past in key and arrival order; two numbers are held for a key,
     and the end of each window is found by binary search in a batch's times.
     """
@@ -156,8 +176,16 @@ def limited(requests: DataFrame, most: int, window_ms: int, key: str = "key", at
             wait = np.where(allowed, 0, np.maximum(1, -(-(reset - times) // 1000)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed), pa.array(np.maximum(most - place - 1, 0).astype(np.int32)), pa.array(reset), pa.array(wait)], names=[key, order, at, "allowed", "remaining", "reset_at_ms", "retry_after_seconds"])
 
-    dealt = requests.select(key, order, at).repartition(key).sortWithinPartitions(key, at, order)
-    return dealt.mapInArrow(scan, f"{key} {kind(key)}, {order} {kind(order)}, {at} {kind(at)}, allowed boolean, remaining int, reset_at_ms long, retry_after_seconds long")
+    timed = F.col(at).isNotNull()
+    dealt = requests.where(timed).select(key, order, at).repartition(key).sortWithinPartitions(key, at, order)
+    results = "allowed boolean, remaining int, reset_at_ms long, retry_after_seconds long"
+    counted = dealt.mapInArrow(scan, f"{key} {kind(key)}, {order} {kind(order)}, {at} {kind(at)}, {results}")
+    return counted.unionByName(_untimed(requests.where(~timed).select(key, order, at), results))
+
+
+def _untimed(requests: DataFrame, results: str) -> DataFrame:
+    kinds = [x.split() for x in results.split(", ")]
+    return requests.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in kinds])
 
 
 class RateWindow(StatefulProcessor):
@@ -190,9 +218,11 @@ class RateWindow(StatefulProcessor):
 
 def limit_stream(requests: DataFrame, most: int, window_ms: int) -> DataFrame:
     """T4 on a stream of (key string, request_id, at_ms); needs the RocksDB state store."""
-    return requests.groupBy("key").transformWithStateInPandas(
-        RateWindow(most, window_ms), "key string, request_id long, at_ms long, allowed boolean, remaining int, reset_at_ms long, retry_after_seconds long", outputMode="Append", timeMode="None"
-    )
+    results = "allowed boolean, remaining int, reset_at_ms long, retry_after_seconds long"
+    timed = requests.where("at_ms is not null").groupBy("key").transformWithStateInPandas(
+        RateWindow(most, window_ms), f"key string, request_id long, at_ms long, {results}", outputMode="Append", timeMode="None"
+    )
+    return timed.unionByName(_untimed(requests.where("at_ms is null").select("key", "request_id", "at_ms"), results))
 
 
 def due(rows: DataFrame, when: str, now: str, order: list[Column], most: int, test: Column | None = None) -> DataFrame:
@@ -230,17 +260,9 @@ def by_channel(senders: dict[str, Callable[[dict], str]], channel: str = "channe
     return send
 
 
-def deliver(stream: DataFrame, send: Callable[[dict], str], checkpoint: str):
+def deliver(stream: DataFrame, send: Callable[[dict], str], checkpoint: str, key: str = "id"):
     """Hands each row of a micro-batch to ``send`` (see ``by_channel``) on
-    the executors and appends what it returns; ``send`` must be safe to repeat
-    for one message."""
-
-    def batch(rows: DataFrame, _: int) -> None:
-        def sent(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                yield part.assign(provider_id=[send(r) for r in part.to_dict("records")])
-
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-        rows.mapInPandas(sent, f"{kinds}, provider_id string").write.mode("append").parquet(f"{checkpoint}/sent")
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint}/state")
+    the executors and keeps what it returns, once for each message, whatever is
+    retried (``machines.batch_sink``). A run that is lost between a send and its commit
+    sends again, so ``send`` should take the key for an idempotency key."""
+    return stream.writeStream.foreachBatch(batch_sink(send, f"{checkpoint}/sent", key)).option("checkpointLocation", f"{checkpoint}/state")
