@@ -54,27 +54,40 @@ p AS (SELECT *, epoch * tokens + coalesce(sum(n) OVER (PARTITION BY source, epoc
 SELECT doc_id, source, weight, n AS n_tokens, epoch, CAST(start AS BIGINT) AS start FROM p WHERE start + n <= quota
 """
 
-#: Passages of 25 words or more, of whole lines and clauses, that an earlier place has.
+#: Passages of 25 words or more, of whole lines and clauses, that an earlier place has, and the equal words beside them.
 SUBSTRING_DEDUP = r"""
 WITH x AS (SELECT doc_id, regexp_extract_all(text, '[^.,;:!?。，、；：！？\n]+[.,;:!?。，、；：！？\n]*|[.,;:!?。，、；：！？\n]+') AS l FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 u AS (SELECT doc_id, unnest(l) AS own, generate_subscripts(l, 1) AS i FROM x),
 o AS (SELECT doc_id, i, coalesce(sum(length(own)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, length(own) AS size,
-      regexp_extract_all(lower(own), '[^\x20\x09-\x0D]+') AS w FROM u),
-f AS (SELECT doc_id, start, start + size AS finish, array_to_string(w, ' ') AS body, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS unit, len(w) AS n,
-      sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) AS so_far FROM o WHERE len(w) > 0),
+      regexp_extract_all(lower(own), '[^\x20\x09-\x0D]+') AS w, CASE WHEN len(regexp_extract_all(own, '[^\x20\x09-\x0D]+')) > 20 THEN regexp_extract_all(own, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') END AS z FROM u),
+c AS (SELECT doc_id, i, start, size, w, z, unnest(CASE WHEN z IS NULL THEN [0] ELSE range(0, len(w), 12) END) AS j FROM o WHERE len(w) > 0),
+e AS (SELECT doc_id, i, j, start + CASE WHEN j = 0 THEN 0 ELSE list_sum(list_transform(z[1:j + 1], lambda v: length(v))) - length(w[j + 1]) END AS start, start + size AS finish, CASE WHEN z IS NULL THEN w ELSE w[j + 1:j + 12] END AS w FROM c),
+f AS (SELECT doc_id, start, coalesce(CASE WHEN lead(i) OVER d = i THEN lead(start) OVER d END, finish) AS finish, array_to_string(w, ' ') AS body, row_number() OVER d AS unit, len(w) AS n,
+      sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i, j) AS so_far FROM e WINDOW d AS (PARTITION BY doc_id ORDER BY i, j)),
 s AS (SELECT a.doc_id, a.unit, a.start, min(b.unit) AS last FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.unit BETWEEN a.unit AND a.unit + 24 AND b.so_far - a.so_far + a.n >= 25 GROUP BY ALL),
-e AS (SELECT doc_id, unit, start, unnest(generate_series(unit, last)) AS part FROM s),
-p AS (SELECT e.doc_id, e.unit, e.start, max(f.finish) AS finish, string_agg(f.body, ' ' ORDER BY part) AS body FROM e JOIN f ON f.doc_id = e.doc_id AND f.unit = e.part GROUP BY ALL),
-g AS (SELECT *, first_value(doc_id) OVER k AS kept, first_value(unit) OVER k AS kept_unit, first_value(start) OVER k AS kept_start FROM p WINDOW k AS (PARTITION BY body ORDER BY doc_id, unit)),
+m AS (SELECT doc_id, unit, start, unnest(generate_series(unit, last)) AS part FROM s),
+p AS (SELECT m.doc_id, m.unit, m.start, max(f.finish) AS finish, string_agg(f.body, ' ' ORDER BY part) AS body FROM m JOIN f ON f.doc_id = m.doc_id AND f.unit = m.part GROUP BY ALL),
+g AS (SELECT *, first_value(doc_id) OVER k AS kept, first_value(unit) OVER k AS kept_unit, first_value(start) OVER k AS kept_start, first_value(finish) OVER k AS kept_finish FROM p WINDOW k AS (PARTITION BY body ORDER BY doc_id, unit)),
 r AS (SELECT *, start >= coalesce(max(finish) OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new FROM g WHERE kept <> doc_id OR kept_unit <> unit),
 t AS (SELECT *, count(*) FILTER (WHERE new) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM r),
-z AS (SELECT doc_id, min(start) AS start, max(finish) AS finish, arg_min(kept, start) AS kept, arg_min(kept_start, start) AS kept_start FROM t GROUP BY doc_id, span),
-q AS (SELECT z.*, text, substr(text, 1 + CAST(coalesce(lag(finish) OVER v, 0) AS BIGINT), CAST(z.start - coalesce(lag(finish) OVER v, 0) AS BIGINT)) AS before,
-      len(regexp_extract_all(substr(text, 1 + CAST(z.start AS BIGINT), CAST(finish - z.start AS BIGINT)), '[^\x20\x09-\x0D]+')) AS n FROM z JOIN documents USING (doc_id) WINDOW v AS (PARTITION BY doc_id ORDER BY z.start)),
-m AS (SELECT doc_id, string_agg(before, '' ORDER BY start) || substr(any_value(text), 1 + CAST(max(finish) AS BIGINT)) AS text, count(*) AS spans, sum(n) AS n,
-      string_agg(concat(CAST(start AS BIGINT), '-', CAST(finish AS BIGINT), ':', kept, '+', CAST(kept_start AS BIGINT)), ' ' ORDER BY start) AS removed FROM q GROUP BY doc_id)
+y AS (SELECT doc_id, span, CAST(min(start) AS BIGINT) AS s, CAST(max(finish) AS BIGINT) AS e, arg_min(kept, unit) AS kept, CAST(arg_min(kept_start, unit) AS BIGINT) AS ks, arg_max(kept, unit) AS kept2, CAST(arg_max(kept_finish, unit) AS BIGINT) AS ke FROM t GROUP BY doc_id, span),
+h AS (SELECT y.*, substr(a.text, 1, s) AS al, substr(b.text, 1, ks) AS bl, substr(a.text, e + 1) AS ar, substr(k.text, ke + 1) AS br
+      FROM y JOIN documents a USING (doc_id) JOIN documents b ON b.doc_id = y.kept JOIN documents k ON k.doc_id = y.kept2),
+v AS (SELECT *, list_reverse(regexp_extract_all(lower(al), '[^\x20\x09-\x0D]+'))[1:40] AS a1, list_reverse(regexp_extract_all(lower(bl), '[^\x20\x09-\x0D]+'))[1:40] AS b1,
+      regexp_extract_all(lower(ar), '[^\x20\x09-\x0D]+')[1:40] AS a2, regexp_extract_all(lower(br), '[^\x20\x09-\x0D]+')[1:40] AS b2 FROM h),
+q AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(a1), len(b1)) + 1), lambda i: a1[i] <> b1[i]), true) - 1, least(len(a1), len(b1))) AS n,
+      coalesce(list_position(list_transform(range(1, least(len(a2), len(b2)) + 1), lambda i: a2[i] <> b2[i]), true) - 1, least(len(a2), len(b2))) AS m FROM v),
+w AS (SELECT doc_id, s AS old, kept, s - length(regexp_extract(al, concat('(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){', n, '}$'))) AS start, ks - length(regexp_extract(bl, concat('(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){', n, '}$'))) AS kept_start,
+      e + length(regexp_extract(ar, concat('^(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+){', m, '}'))) AS finish FROM q),
+w2 AS (SELECT *, start >= coalesce(max(finish) OVER (PARTITION BY doc_id ORDER BY old ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new FROM w),
+w3 AS (SELECT *, count(*) FILTER (WHERE new) OVER (PARTITION BY doc_id ORDER BY old) AS span FROM w2),
+z AS (SELECT doc_id, min(start) AS start, max(finish) AS finish, arg_min(kept, ROW(start, old)) AS kept, arg_min(kept_start, ROW(start, old)) AS kept_start FROM w3 GROUP BY doc_id, span),
+cuts AS (SELECT z.*, text, substr(text, 1 + coalesce(lag(finish) OVER d, 0), z.start - coalesce(lag(finish) OVER d, 0)) AS before,
+      len(regexp_extract_all(substr(text, 1 + z.start, finish - z.start), '[^\x20\x09-\x0D]+')) AS n FROM z JOIN documents USING (doc_id) WINDOW d AS (PARTITION BY doc_id ORDER BY z.start)),
+done AS (SELECT doc_id, string_agg(before, '' ORDER BY start) || substr(any_value(text), 1 + max(finish)) AS text, count(*) AS spans, sum(n) AS n,
+      string_agg(concat(start, '-', finish, ':', kept, '+', kept_start), ' ' ORDER BY start) AS removed FROM cuts GROUP BY doc_id)
 SELECT d.doc_id, coalesce(m.text, d.text) AS text, CAST(coalesce(m.spans, 0) AS BIGINT) AS n_removed_spans, CAST(coalesce(m.n, 0) AS BIGINT) AS n_removed_words, coalesce(m.removed, '') AS removed_spans
-FROM documents d LEFT JOIN m USING (doc_id)
+FROM documents d LEFT JOIN done m USING (doc_id)
 """
 
 #: Brute force over sign bits: every query against all other vectors.
