@@ -7,14 +7,17 @@ returns all languages that contain it. A text's n-grams are counted by
 language (popcounts of the mask's bits), the expected false positives of each
 language's filter are taken off, and the largest share decides.
 
-Learning takes a bounded sample, ``sample_docs`` labelled texts of each of the
-``MAX_LABELS`` most frequent languages by the order of a hash; scoring takes
-every whole text.
+Learning takes a sample of ``sample_docs`` labelled texts of each language, by
+the order of a hash, whatever the number of languages; scoring takes every
+whole text. N-grams are counted, chosen and put into the filters by Spark; the
+driver gets the names of the languages and the finished filters (32 KB for
+each language at 2**18 positions), which are the model.
 
 Defined results: ``und`` with score 0 for a null text or one without a
 letter; the most frequent language with score 0 where letters are there but
-no n-gram is known; rows with a null language are not learned from; repeated
-rows are judged one by one; an empty table gives an empty result, and without
+no n-gram is known; rows with a null language are not learned from; a key with
+several languages counts for each of them, with its least text of that language;
+repeated rows are judged one by one; an empty table gives an empty result, and without
 any labelled row every text is ``und``; columns but the named are not read.
 """
 
@@ -24,18 +27,17 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from prospectrum.llm.common import written
 from prospectrum.llm.textblock import TextBlock, blocks
 
 SAMPLE_DOCS, TABLE_BITS, MIN_SHARE, MASK_BITS = 1000, 18, 0.01, 64
 #: Parts into which a label's rows are dealt when they meet their count.
 SALTS = 64
-#: So many labels, the most frequent, are learned at most; dirty ones may be without number.
-MAX_LABELS = 1024
 UNKNOWN = "und"
 #: Multipliers of the filters' hash functions.
 HASHES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))
@@ -81,19 +83,21 @@ class LanguageFilters:
     tables: tuple[np.ndarray, ...]
     bits: int
 
+    @classmethod
+    def of(cls, languages: list[str], tables: list[np.ndarray], bits: int) -> LanguageFilters:
+        """Tables of 64-bit masks, in the least width that their languages need."""
+        widths = [min(MASK_BITS, len(languages) - first) for first in range(0, len(languages), MASK_BITS)]
+        kinds = [next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if n <= np.iinfo(k).bits) for n in widths]
+        return cls(tuple(languages), tuple(t.astype(k) for t, k in zip(tables, kinds, strict=True)), bits)
+
     @classmethod
     def build(cls, languages: list[str], of: np.ndarray, gram: np.ndarray, bits: int = TABLE_BITS) -> LanguageFilters:
-        tables = []
-        for first in range(0, len(languages), MASK_BITS):
-            n = min(MASK_BITS, len(languages) - first)
-            kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if n <= np.iinfo(k).bits)
-            table = np.zeros(1 << bits, kind)
-            for i in range(n):
-                mine = gram[of == first + i]
-                for h in HASHES:
-                    table[(mine * h) >> np.uint32(32 - bits)] |= kind(1 << i)
-            tables.append(table)
-        return cls(tuple(languages), tuple(tables), bits)
+        """Filters of n-grams that are at hand: gram[j] is one of languages[of[j]]."""
+        tables = [np.zeros(1 << bits, np.uint64) for _ in range(0, len(languages), MASK_BITS)]
+        for i in range(len(languages)):
+            for h in HASHES:
+                tables[i // MASK_BITS][(gram[of == i] * h) >> np.uint32(32 - bits)] |= np.uint64(1 << i % MASK_BITS)
+        return cls.of(languages, tables, bits)
 
     def masks(self, data: np.ndarray) -> list[np.ndarray]:
         """By table, the languages that hold the n-gram at each position."""
@@ -140,19 +144,25 @@ def sampled(rows: DataFrame, key: str, label: str, each: int) -> DataFrame:
     its rows meet the count in ``SALTS`` parts.
     """
     known = rows.select(key, label).where(F.col(label).isNotNull() & F.col(key).isNotNull()).withColumn("__h", F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 40)))
-    counts = known.groupBy(label).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), label).limit(MAX_LABELS)
+    counts = known.groupBy(label).agg(F.count("*").alias("__n"))
     salted = counts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("__salt", F.col("__salt").cast("long"))
     near = known.withColumn("__salt", F.col("__h") % SALTS).join(salted, [label, "__salt"]).where(F.col("__h") * F.col("__n") <= float(4 * each + 100) * (1 << 40)).select(key, label, "__h").distinct()
     first = F.slice(F.sort_array(F.collect_set(F.struct("__h", F.col(key).alias("key")))), 1, each)
     return near.groupBy(label).agg(first.alias("l")).select(F.explode("l").alias("x"), label).select(F.col("x.key").alias(key), label)
 
 
+def _product(x: Column, h: int) -> Column:
+    """x * h modulo 2**32, of numbers below that, without a 64-bit overflow."""
+    high = (F.shiftrightunsigned(x, 16) * h).bitwiseAND(F.lit(0xFFFF)) * 65536
+    return (x.bitwiseAND(F.lit(0xFFFF)) * h + high).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def fit(docs: DataFrame, training: Column, key: str = "doc_id", label: str = "lang", sample_docs: int = SAMPLE_DOCS, min_share: float = MIN_SHARE, bits: int = TABLE_BITS) -> LanguageFilters:
     """Filters of the n-grams that at least ``min_share`` of a language's
     sampled texts hold. training: which rows may be learned from."""
-    rows = docs.where(training & F.col("text").isNotNull())
-    chosen = sampled(rows, key, label, sample_docs)  # sample_docs keys of each language
-    texts = rows.select(key, label, "text").join(F.broadcast(chosen.select(key).distinct()), key)
+    rows = docs.where(training & F.col("text").isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), "text")
+    chosen = sampled(rows, "key", "label", sample_docs)  # sample_docs keys of each language
+    texts = written(rows.join(chosen, ["key", "label"]).groupBy("key", "label").agg(F.min("text").alias("text")), "language-texts")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,18 +173,23 @@ def fit(docs: DataFrame, training: Column, key: str = "doc_id", label: str = "la
                 for language in np.unique(own):
                     each = [np.unique(codes[s:e]) for s, e in zip(first[own == language], last[own == language], strict=True)]
                     gram, n = np.unique(np.concatenate(each), return_counts=True)
-                    gram, n = np.append(gram.astype(np.int64), -1), np.append(n, len(each))
-                    yield pa.RecordBatch.from_arrays([pa.array([language] * len(gram)), pa.array(gram), pa.array(n.astype(np.int64))], names=["label", "gram", "n"])
-
-    sums = texts.select(F.col(label).alias("label"), "text").mapInArrow(counted, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
-    sums = sums.withColumn("docs", F.max(F.when(F.col("gram") == -1, F.col("n"))).over(Window.partitionBy("label")))
-    kept = sums.where((F.col("gram") == -1) | (F.col("n") >= F.greatest(F.lit(1), F.col("docs") * min_share))).toPandas()
-    sizes = kept[kept.gram == -1].sort_values(["n", "label"], ascending=[False, True])
-    languages = sizes.label.tolist()
-    kept = kept[(kept.gram >= 0) & (kept.gram != 0x20202020)]
-    index = {name: i for i, name in enumerate(languages)}
-    of = np.array([index[x] for x in kept.label], np.int64)
-    return LanguageFilters.build(languages, of, kept.gram.to_numpy().astype(np.uint32), bits)
+                    yield pa.RecordBatch.from_arrays([pa.array([language] * len(gram)), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], names=["label", "gram", "n"])
+
+    sizes = sorted(((r["label"], r["n"]) for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()), key=lambda x: (-x[1], x[0]))
+    index = docs.sparkSession.createDataFrame([(name, i, max(1.0, n * min_share)) for i, (name, n) in enumerate(sizes)], "label string, i int, least double")
+    sums = texts.select("label", "text").mapInArrow(counted, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    kept = sums.where(F.col("gram") != 0x20202020).join(index, "label").where("n >= least")
+    at = F.array(*[F.shiftrightunsigned(_product(F.col("gram"), int(h)), 32 - bits) for h in HASHES])
+    bit = F.expr(f"shiftleft(1L, i % {MASK_BITS})")
+    masks = kept.select(F.floor(F.col("i") / MASK_BITS).cast("int").alias("part"), F.explode(at).alias("at"), bit.alias("mask")).groupBy("part", "at").agg(F.bit_or("mask").alias("mask"))
+
+    def table(rows: pd.DataFrame) -> pd.DataFrame:
+        full = np.zeros(1 << bits, np.int64)  # of a table there are no more rows than positions
+        full[rows["at"]] = rows["mask"]
+        return pd.DataFrame({"part": [rows["part"].iloc[0]], "table": [full.tobytes()]})
+
+    found = {r["part"]: r["table"] for r in masks.groupBy("part").applyInPandas(table, "part int, table binary").collect()}
+    return LanguageFilters.of([name for name, _ in sizes], [np.frombuffer(found[i], np.uint64) if i in found else np.zeros(1 << bits, np.uint64) for i in range(-(-len(sizes) // MASK_BITS))], bits)
 
 
 def identify(docs: DataFrame, filters: LanguageFilters, key: str = "doc_id") -> DataFrame:

@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prospectrum.llm import language_id
+from prospectrum.llm.common import written
 from prospectrum.llm.textblock import TextBlock, blocks
 
 SAMPLE_WORDS = 3_000_000
@@ -257,12 +258,13 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, key: str = "doc_id
     def within(rows: DataFrame) -> DataFrame:
         """As many of each label's texts, in hash order, as the words allow;
         one that alone has over a twentieth of the words is no example."""
-        order = Window.partitionBy("y").orderBy(F.xxhash64("k"), "k").rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.where(F.octet_length("ids") <= 12 * (sample_words // 20))
-        return rows.withColumn("n", F.sum(F.octet_length("ids")).over(order)).where(F.col("n") <= 12 * (sample_words // 2)).drop("n")
+        order = Window.partitionBy("y").orderBy("o", "k").rowsBetween(Window.unboundedPreceding, 0)
+        sizes = rows.select("k", "y", F.octet_length("ids").alias("n"), F.xxhash64("k").alias("o")).where(F.col("n") <= 12 * (sample_words // 20))
+        first = sizes.withColumn("n", F.sum("n").over(order)).where(F.col("n") <= 12 * (sample_words // 2))  # ids stay where they are
+        return rows.join(first.select("k", "y"), ["k", "y"]).select(rows.columns)
 
     rows = texts.select(F.col(key).cast("string").alias("k"), "text", F.col(label).cast("int").alias("y")).mapInArrow(hashed, "k string, y int, l string, ids binary")
-    rows = within(rows).toPandas()
+    rows = within(written(rows, "toxic-texts")).toPandas()
     rows = rows.sort_values("k", kind="stable")
     ids = [np.frombuffer(x, np.int32).reshape(-1, 3) for x in rows.ids]
     halves = np.array([zlib.crc32(b"half " + k.encode()) % 2 for k in rows.k], np.int64)

@@ -313,3 +313,32 @@ def test_samples_stay_bounded_whatever_repeats(spark):
     assert language_id.sampled(many, "doc_id", "lang", 20).groupBy("lang").count().where("count > 20").isEmpty()
     found = {r.doc_id: r.score for r in toxicity.score(many, model).collect()}
     assert auc([found[d] for d in found if d and d >= 1002], [1 - d % 2 for d in found if d and d >= 1002]) > 0.95
+
+
+def test_every_language_is_learned(spark):
+    """1,500 languages of two texts each, and one key that has 300 more."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12))
+    rows = [(2 * i + j, f"{w} " * 3 + w[::-1], f"l{i:04}", None, 0) for i in range(1500) for w in [word()] for j in range(2)]
+    rows += [(9999, word() * 4, f"one{i:03}", None, 0) for i in range(300)]
+    filters = language_id.fit(spark.createDataFrame(rows, DOCUMENTS), F.lit(True))
+    assert len(filters.languages) == 1800 and list(filters.languages[:1500]) == [f"l{i:04}" for i in range(1500)] and len(filters.tables) == 29
+    sample = [r for r in rows if r[0] % 50 == 0] + rows[-5:]
+    assert filters.predict(block([r[1] for r in sample]), np.array([True] * len(sample)))[0] == [r[2] for r in sample]
+
+
+def test_filters_made_by_spark_are_those_made_at_hand(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices(["über", "straße", "river", "Stone", "日本語", "a", "the"], k=20)), f"l{i % 70:02}", None, 0) for i in range(700)] + [(1000, "", "l00", None, 0), (3, "more", "l03", None, 0), (1001, None, "l01", None, 0)]
+    filters = language_id.fit(spark.createDataFrame(rows, DOCUMENTS).repartition(5), F.lit(True), min_share=0.2, bits=14)
+    texts = {}
+    for k, t, lang, *_ in rows:
+        if t is not None:
+            texts[lang, k] = min(t, texts.get((lang, k), t))
+    held = {}
+    for (lang, _), t in texts.items():
+        held.setdefault(lang, []).append(set(language_id.grams(np.frombuffer(t.encode(), np.uint8)).tolist()))
+    names = sorted(held, key=lambda x: (-len(held[x]), x))
+    grams = [[g for g in set().union(*held[x]) if g != 0x20202020 and sum(g in t for t in held[x]) >= max(1, 0.2 * len(held[x]))] for x in names]
+    want = language_id.LanguageFilters.build(names, np.repeat(np.arange(len(names)), [len(g) for g in grams]), np.concatenate([np.array(g, np.uint32) for g in grams]), bits=14)
+    assert filters.languages == want.languages and all((a == b).all() and a.dtype == b.dtype for a, b in zip(filters.tables, want.tables, strict=True))
