@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from html.parser import HTMLParser
+from itertools import accumulate
 
 from prospectrum import constants as C
 
@@ -13,6 +16,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 ENDS = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}}
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _BUSINESS = re.compile(f"(?:{C.BUSINESS_PATTERN})|(?:{C.EMAIL_PATTERN})|(?:{C.PHONE_PATTERN})", re.IGNORECASE)
+_BUSINESS_AT = re.compile(f"(?=({_BUSINESS.pattern}))", re.IGNORECASE)
 _JSON_LD = re.compile(r"""<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>""", re.IGNORECASE | re.DOTALL)
 
 
@@ -43,20 +47,91 @@ class Node:
     def text(self) -> str:
         return " ".join(self.raw().split())
 
-    def drop(self) -> None:
-        if self.parent is not None:
-            self.parent.children = [c for c in self.parent.children if c is not self]
-            self.parent = None
-
     def marker(self) -> str:
         return f"{self.attrs.get('id', '')} {self.attrs.get('class', '')}".lower()
 
     def is_main(self) -> bool:
         return self.tag in ("main", "article") or self.attrs.get("role") == "main"
 
-    def is_protected(self) -> bool:
-        text = self.text()
-        return len(text) >= 20 and _BUSINESS.search(text) is not None
+
+_REACH = 256
+
+
+class Tour:
+    """A tree in document order: each element is a span of the texts and of the
+    elements, so what is below it is told from prefix sums.
+
+    An element's text is white-space-squeezed, as ``Node.text`` gives it. Where the
+    pattern of protected text starts and ends in the whole text says whether an
+    element's own holds it; only at an element's edges, where its text is cut
+    off, is the pattern tried again (on ``_REACH`` characters).
+    """
+
+    def __init__(self, root: Node):
+        pieces, self.span, self.place, tags = [], {}, {}, []
+        at, stack = 0, [(root, False)]
+        while stack:
+            node, left = stack.pop()
+            if isinstance(node, str):
+                pieces.append(node)
+                at += len(node)
+            elif left:
+                self.span[node][1] = at
+                self.place[node][1] = len(tags)
+            else:
+                tags.append(node.tag)
+                self.span[node], self.place[node] = [at, 0], [len(tags), 0]
+                stack.append((node, True))
+                stack += [(c, False) for c in reversed(node.children)]
+        words = [m.span() for m in re.finditer(r"\S+", "".join(pieces))]
+        raw = "".join(pieces)
+        self.starts, self.ends = [s for s, _ in words], [e for _, e in words]
+        self.shown = list(accumulate((e - s + 1 for s, e in words), initial=0))
+        self.text = " ".join(raw[s:e] for s, e in words)
+        self.counts = {tag: list(accumulate((t == tag for t in tags), initial=0)) for tag in ("a", "h1", "li")}
+        linked = [t == "li" for t in tags]
+        for node, (first, end) in self.place.items():
+            if node.tag == "li" and not self._count("a", first, end):
+                linked[first - 1] = False
+        self.counts["linked li"] = list(accumulate(linked, initial=0))
+        self._hits: tuple[list[int], list[int]] | None = None
+        self._edges: dict[tuple[int, int], bool] = {}
+
+    def _count(self, tag: str, first: int, end: int) -> int:
+        return self.counts[tag][end] - self.counts[tag][first]
+
+    def below(self, node: Node, tag: str | None = None) -> int:
+        """Elements below a node, of a tag or all."""
+        first, end = self.place[node]
+        return end - first if tag is None else self._count(tag, first, end)
+
+    def shown_span(self, node: Node) -> tuple[int, int, int]:
+        """Where a node's text starts and ends in all text, and its words."""
+        a, b = self.span[node]
+        i, j = bisect_right(self.ends, a), bisect_left(self.starts, b) - 1
+        if i > j or a == b:
+            return 0, 0, 0
+        return self.shown[i] + max(0, a - self.starts[i]), self.shown[j] + min(b, self.ends[j]) - self.starts[j], j - i + 1
+
+    def is_protected(self, node: Node) -> bool:
+        """H6: twenty characters, and a business word, an address or a number."""
+        start, end, _ = self.shown_span(node)
+        if end - start < 20:
+            return False
+        if self._hits is None:
+            found = [(m.start(), m.end(1)) for m in _BUSINESS_AT.finditer(self.text)]
+            least = list(accumulate((e for _, e in reversed(found)), min))[::-1]  # the first end of those from here on
+            self._hits = [s for s, _ in found], least
+        starts, least = self._hits
+        i = bisect_left(starts, start)
+        if i < len(starts) and least[i] <= end:
+            return True
+        if _BUSINESS.match(self.text[start : min(end, start + _REACH)]):
+            return True
+        edge = max(start, end - _REACH), end  # elements that end together share it
+        if edge not in self._edges:
+            self._edges[edge] = _BUSINESS.search(self.text[slice(*edge)]) is not None
+        return self._edges[edge]
 
 
 class _Builder(HTMLParser):
@@ -117,27 +192,29 @@ def json_ld(html: str) -> list[str]:
     return list(found.values())
 
 
-def _dropped(nodes: list[Node]) -> int:
+def dropped(nodes: list[Node]) -> int:
+    """Takes nodes out of their parents; how many."""
+    gone = {id(n) for n in nodes}
+    for parent in {id(n.parent): n.parent for n in nodes if n.parent is not None}.values():
+        parent.children = [c for c in parent.children if id(c) not in gone]
     for node in nodes:
-        node.drop()
+        node.parent = None
     return len(nodes)
 
 
 def without_boilerplate(root: Node) -> int:
     """H2 to H5; the number of blocks removed (link lists don't count).
 
-    Lists of nodes are taken before a step removes any, and each node is judged
-    by the text it has when its turn comes.
+    A list of nodes is taken before a step removes any, and each node is judged
+    by the text it has when its turn comes: as nodes come before those below
+    them, that is the text at the start of the step.
     """
-    removed = sum(_dropped(root.every(tag)) for tag in C.REMOVABLE_TAGS)
+    removed = sum(dropped(root.every(tag)) for tag in C.REMOVABLE_TAGS)
 
-    def sweep(nodes: list[Node], test) -> int:
-        n = 0
-        for node in nodes:
-            if test(node) and not node.is_protected():
-                node.drop()
-                n += 1
-        return n
+    def sweep(nodes: list[Node], test: Callable[[Node], bool]) -> int:
+        asked = [n for n in nodes if test(n)]
+        tour = Tour(root) if asked else None
+        return dropped([n for n in asked if not tour.is_protected(n)])
 
     def hidden(node: Node) -> bool:
         style = node.attrs.get("style", "").lower()
@@ -151,24 +228,24 @@ def without_boilerplate(root: Node) -> int:
     removed += sweep(root.every(), lambda node: node.attrs.get("aria-hidden") == "true")
     removed += sweep(root.every("form"), lambda node: node.attrs.get("role") == "search")
     removed += sweep(root.every(), lambda node: any(t in node.marker() for t in C.BOILERPLATE_TOKENS) and not node.is_main())
-    for links in root.every("ul", "ol"):
-        items = links.every("li")
-        linked = sum(bool(item.every("a")) for item in items)
-        if len(items) >= 4 and linked >= 0.8 * len(items) and not links.is_protected() and not links.is_main():
-            links.drop()
+    lists = root.every("ul", "ol")
+    if lists:
+        tour = Tour(root)
+        links = lambda n: tour.below(n, "li") >= 4 and tour.below(n, "linked li") >= 0.8 * tour.below(n, "li")
+        dropped([n for n in lists if links(n) and not tour.is_protected(n) and not n.is_main()])
     return removed
 
 
-def score(node: Node) -> int:
+def score(node: Node, tour: Tour) -> int:
     """H8: how much a node looks like the page's content."""
     if not node.tag:
         return 0
-    text = node.text()
+    start, end, words = tour.shown_span(node)
     points = 100 * (node.tag == "main" or node.attrs.get("role") == "main") + 80 * (node.tag == "article")
-    points += 30 * bool(node.every("h1")) + 20 * node.is_protected()
-    points += min(40, len(text) // (len(node.every()) or 1)) - 20 * (len(text) < 100)
+    points += 30 * bool(tour.below(node, "h1")) + 20 * tour.is_protected(node)
+    points += min(40, (end - start) // (tour.below(node) or 1)) - 20 * (end - start < 100)
     points -= 60 * any(t in node.marker() for t in C.LOW_SCORE_TOKENS)
-    return points - 40 * bool(text and len(node.every("a")) / max(len(text.split(" ")), 1) > 0.2)
+    return points - 40 * bool(words and tour.below(node, "a") / words > 0.2)
 
 
 def main_content(root: Node) -> Node:
@@ -178,9 +255,9 @@ def main_content(root: Node) -> Node:
         first = next((n for n in every if test(n)), None)
         if first is not None:
             return first
-    best, most = root, 0
+    best, most, tour = root, 0, Tour(root)
     for node in root.every("section", "article", "div"):
-        if (points := score(node)) > most:
+        if (points := score(node, tour)) > most:
             best, most = node, points
     return best
 
