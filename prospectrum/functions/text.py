@@ -122,10 +122,15 @@ def prompt_content(x: Column | str, most: int = 24_000) -> Column:
 
 
 def distinct_strings(x: Column) -> Column:
-    """Trimmed, blanks dropped, the first spelling of each word kept."""
+    """Trimmed, blanks dropped, the first spelling of each word kept.
+
+    Words meet their equals in a sort, so that a long list takes no square of steps.
+    """
     trimmed = F.filter(F.transform(x, js_trim), lambda v: v != "")
-    keys = F.array_distinct(F.transform(trimmed, F.lower))
-    return F.transform(keys, lambda k: F.get(F.filter(trimmed, lambda v: F.lower(v) == k), F.lit(0)))
+    keyed = F.array_sort(F.transform(trimmed, lambda v, i: F.struct(F.lower(v).alias("k"), i.alias("i"), v.alias("v"))))
+    first = lambda s: F.filter(s, lambda y, i: (i == 0) | (y["k"] != F.get(s, i - 1)["k"]))
+    back = F.array_sort(F.transform(let(keyed, first), lambda y: F.struct(y["i"].alias("i"), y["v"].alias("v"))))
+    return F.transform(back, lambda y: y["v"])
 
 
 def without_runs(lines: Column) -> Column:

@@ -132,24 +132,3 @@ def delete_owned(rows: DataFrame, asked: DataFrame, key: str = "id", user: str =
 def prunable(companies: DataFrame, newest: DataFrame, has_contact: Column) -> DataFrame:
     """Companies whose latest profile has no contact, or that have none."""
     return companies.join(newest.where(has_contact).select("company_id"), "company_id", "left_anti")
-
-
-def one_row(rows: DataFrame) -> DataFrame:
-    """The row, an error where there are more (none stays none)."""
-    n = F.count("*").over(Window.partitionBy())
-    least = rows.limit(2)  # a second one is enough to fail
-    bad = F.raise_error(F.lit("more than one row where one is expected"))
-    checked = least.withColumn("__n", F.when(n > 1, bad.cast("long")).otherwise(n))
-    return checked.where("__n = 1").drop("__n")
-
-
-def recipients_of(leads: DataFrame, recipient: Column, campaign: DataFrame) -> DataFrame:
-    """Recipients of a new campaign (one row). A missing contact fails the call and
-    so does an address that comes twice."""
-    resolved = leads.crossJoin(F.broadcast(one_row(campaign))).withColumn("r", recipient)
-    missing = F.raise_error(F.concat(F.lit("no contact for company "), F.col("company_id").cast("string")))
-    address = F.when(F.col("r").isNull(), missing).otherwise(F.col("r.toAddress"))
-    rows = resolved.select("campaign_id", "company_id", address.alias("to_address"), "r.toName", "r.toEmail")
-    n = F.count("*").over(Window.partitionBy("campaign_id", "to_address"))
-    twice = F.raise_error(F.concat(F.lit("repeated address "), F.col("to_address")))
-    return rows.withColumn("__n", n).withColumn("to_address", F.when(F.col("__n") > 1, twice).otherwise(F.col("to_address"))).drop("__n")

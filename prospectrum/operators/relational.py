@@ -42,6 +42,13 @@ def latest(rows: DataFrame, key: str, version: str) -> DataFrame:
     return top_per_key(rows, [key], [F.col(version).desc()], 1)
 
 
+def company_order(sort: str = "updatedAt", order: str = "desc", columns: dict[str, str] | None = None) -> list[Column]:
+    """O2: a list of companies by name, domain, lastCrawledAt or updatedAt; nulls
+    last when rising, first when falling. columns: where the rows have them."""
+    by = F.col((columns or {}).get(sort, sort))
+    return [by.asc_nulls_last() if order == "asc" else by.desc_nulls_first()]
+
+
 def placed(rows: DataFrame, order: list[Column]) -> DataFrame:
     """O1, O2: every row with its place in a total order.
 
@@ -101,12 +108,6 @@ def by_name(direction: str) -> Column:
     return name.asc() if direction == "asc" else name.desc()
 
 
-def history(profiles: DataFrame) -> DataFrame:
-    """All versions of each company's profile, newest first, as an array."""
-    versions = F.sort_array(F.collect_list(F.struct("version", "industry", "completeness")), asc=False)
-    return profiles.groupBy("company_id").agg(versions.alias("versions"))
-
-
 def company_detail(companies: DataFrame, profiles: DataFrame, searched: DataFrame, order: list[Column], n: int = 10) -> DataFrame:
     """What a user sees of the companies that their searches found: the
     company, its latest profile, all versions, and their n newest searches.

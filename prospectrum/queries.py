@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -247,6 +248,19 @@ def _(v: Views) -> DataFrame:
     return relational.placed(v.results, [F.col("rank").asc_nulls_last(), *map(F.col, ("discovered_on", "part_id", "company_id", "job_id", "line"))]).select("place", "part_id", "rank")
 
 
+COMPANY_SORTS = {"name": "name", "domain": "domain", "lastCrawledAt": "crawled_day", "updatedAt": "updated_day"}
+
+
+@query(
+    "o2_company_orders",
+    " UNION ALL ".join(f"SELECT '{sort} {way}' AS by, row_number() OVER (ORDER BY {c} {way.upper()} NULLS {'LAST' if way == 'asc' else 'FIRST'}, company_id) AS place, company_id FROM {{companies}}" for sort, c in COMPANY_SORTS.items() for way in ("asc", "desc")),
+)
+def _(v: Views) -> DataFrame:
+    by = lambda sort, way: [*relational.company_order(sort, way, COMPANY_SORTS), F.col("company_id")]
+    lists = [relational.placed(v.companies, by(sort, way)).select(F.lit(f"{sort} {way}").alias("by"), "place", "company_id") for sort in COMPANY_SORTS for way in ("asc", "desc")]
+    return reduce(DataFrame.unionByName, lists)
+
+
 @query("o2_crawled_desc", "SELECT row_number() OVER (ORDER BY crawled_day DESC NULLS FIRST, company_id) AS place, company_id, crawled_day FROM {companies}")
 def _(v: Views) -> DataFrame:
     return relational.placed(v.companies, [F.col("crawled_day").desc_nulls_first(), F.col("company_id")]).select("place", "company_id", "crawled_day")
@@ -549,7 +563,6 @@ def _(v: Views) -> DataFrame:
 
 
 def discovered(v: Views) -> tuple[DataFrame, DataFrame]:
-    old = v.results.where("line <= 2").select("job_id", "company_id", "rank").dropDuplicates(["job_id", "company_id"])
     old = v.results.where("line <= 2").groupBy("job_id", "company_id").agg(F.max("rank").alias("rank"))
     found = v.results.where("line > 2").select("job_id", "company_id", F.lit(None).cast("int").alias("rank"), F.struct("line", "part_id", "company_id").alias("ordinal"))
     return entity.add_discovered(old, found)
@@ -796,11 +809,12 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "f13_body_html",
-    """SELECT conv_id, turn, concat('<p>', replace(replace(replace(replace(regexp_replace(trim(text, ' ' || chr(10)), '\\n[ \\n]*\\n[ \\n]*', '</p><p>', 'g'), '&', '&amp;'), '"', '&quot;'), '§', ''), '', ''), '</p>') AS html
-       FROM conversations WHERE NOT regexp_matches(text, '[<>]')""",
+    """SELECT conv_id, turn, concat('<p>', regexp_replace(replace(replace(replace(replace(trim(body, ' ' || chr(10)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\n[ \n]*\n[ \n]*', '</p><p>', 'g'), '</p>') AS html
+       FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN concat(text, ' <a href="x">R&D</a>', chr(10), chr(10), ' so') ELSE text END AS body FROM conversations)""",
 )
 def _(v: Views) -> DataFrame:
-    return v.conversations.where(~F.col("text").rlike("[<>]")).select("conv_id", "turn", text.body_html("text").alias("html"))
+    marked = F.concat("text", F.lit(' <a href="x">R&D</a>\n\n so'))
+    return v.conversations.select("conv_id", "turn", text.body_html(F.when(F.col("turn") % 2 == 0, marked).otherwise(F.col("text"))).alias("html"))
 
 
 def _stripped(x: str) -> str:
@@ -819,6 +833,14 @@ def _(v: Views) -> DataFrame:
     return v.documents.select("doc_id", F.md5(text.without_injections(F.expr(INJECTED)).cast("binary")).alias("body"))
 
 
+SPACES = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x09, 0x0D), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF))) + "]+"
+
+
+@query("f16_visible_text", f"SELECT doc_id, md5(substr(trim(regexp_replace(text, '{SPACES}', ' ', 'g'), ' '), 1, 50000)) AS body FROM documents")
+def _(v: Views) -> DataFrame:
+    return v.documents.select("doc_id", F.md5(text.visible_text("text").cast("binary")).alias("body"))
+
+
 @query("f16_stripped_html", "SELECT page_id, length(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>', '', 'gis'), '<style[^>]*>.*?</style>', '', 'gis'), '<noscript[^>]*>.*?</noscript>', '', 'gis')) AS n FROM pages")
 def _(v: Views) -> DataFrame:
     return v.pages.select("page_id", F.length(text.stripped_html("html")).cast("long").alias("n"))

@@ -129,16 +129,6 @@ def test_invalid_upserts_fail_the_batch(spark):
     assert entity.dedup_candidates(rows.withColumn("confidence", F.lit(1.0))).count() == 1
 
 
-def test_new_recipients_fail_on_gaps_and_repeats(spark):
-    campaign = spark.createDataFrame([(1,)], "campaign_id long")
-    rows = lambda *xs: spark.createDataFrame(list(enumerate(xs)), "company_id long, a string")
-    r = F.when(F.col("a").isNotNull(), F.struct(F.col("a").alias("toAddress"), F.lit("n").alias("toName"), F.col("a").alias("toEmail")))
-    assert entity.recipients_of(rows("x", "y"), r, campaign).count() == 2
-    with pytest.raises(Exception, match="no contact for company 1"):
-        entity.recipients_of(rows("x", None), r, campaign).collect()
-    with pytest.raises(Exception, match="repeated address x"):
-        entity.recipients_of(rows("x", "x"), r, campaign).collect()
-
 
 def test_a_cancelled_job_keeps_what_it_has(spark):
     rounds = []
