@@ -1,9 +1,12 @@
 """Near copies by the Jaccard similarity of their sets of word shingles.
 
-A fingerprint of 64 bits can't tell similarity 0.8 apart: such pairs differ in
-5 to 12 bits mostly, and tables for that many bits hold most of the documents.
-So candidates come from min-hashes here, and the sets themselves decide.
+The classes of operator 4 (SimHash) give the first candidates: each document
+against the first one of its class. A fingerprint of 64 bits can't tell similarity 0.8 apart: such
+pairs differ in 5 to 12 bits mostly, and tables for that many bits hold most of
+the documents. So further candidates come from min-hashes, and the sets themselves decide.
 
+0. With ``groups`` (classes of operator 4), the nodes of a class are compared with
+   the node of its first document, and those that are similar enough go.
 1. A text's set holds 64-bit hashes of its shingles of ``SHINGLE_WORDS`` words
    (ASCII letters in lower case). Texts of equal sets are one node.
 2. ``BANDS`` times ``BAND_ROWS`` min-hashes put each node into a bucket of
@@ -111,23 +114,44 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return sized.where(F.col("both") + 1e-9 >= (F.col("n") + F.col("m") - F.col("both")) * similarity).select("a").distinct()
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, few: int = FEW) -> DataFrame:
-    """docs without the near copies of a document with a smaller key."""
+def _sets(docs: DataFrame, keyed: DataFrame, nodes: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, values): the sets of nodes, read from one text each."""
+    firsts = keyed.groupBy("node").agg(F.min(F.struct("key", "h")).alias("r"))  # copies are combined before they move
+    one = firsts.join(nodes.distinct(), "node", "left_semi").select(F.col("r.key").alias("key"), F.col("r.h").alias("h"))
+    whole = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    chosen = whole.join(one, ["key", "h"], "left_semi")
+    return written(sketches(chosen, "key", "text", with_sets=True).groupBy("node").agg(F.min("values").alias("values")), "sets")
+
+
+def class_pairs(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): each node against that of its class's first document. groups:
+    (key, h, component_id); a node in several classes counts in the least one."""
+    rows = keyed.select("key", "h", "node").distinct().join(groups.select("key", "h", "component_id").distinct(), ["key", "h"])
+    nodes = written(rows.groupBy("node").agg(F.min("component_id").alias("class"), F.min("key").alias("first")), "class-nodes")
+    heads = nodes.groupBy("class").agg(F.min(F.struct("first", "node")).alias("p"), F.count("*").alias("n")).where("n > 1")
+    return nodes.join(heads, "class").where("node <> p.node and first > p.first").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, few: int = FEW, groups: DataFrame | None = None) -> DataFrame:
+    """docs without the near copies of a document with a smaller key. groups:
+    (key, h, component_id) of ``simhash.classes``."""
     prints = written(sketches(docs, key, text), "sketches")
     keyed = prints.where("key is not null")
-    live = written(keyed.select(F.explode("values").alias("bucket"), "node", "key").groupBy("bucket", "node").agg(F.min("key").alias("first")), "buckets")
     place, sets, gone = F.struct("first", "node"), None, []
+    left = keyed
+    if groups is not None:
+        pairs = written(class_pairs(keyed, groups), "class-pairs")
+        near = _sets(docs, keyed, pairs.select(F.explode(F.array("a", "b")).alias("node")), key, text)
+        gone.append(written(_similar(pairs, near, similarity).withColumnRenamed("a", "node"), "near-copies"))
+        left = keyed.join(gone[0], "node", "left_anti")
+    live = written(left.select(F.explode("values").alias("bucket"), "node", "key").groupBy("bucket", "node").agg(F.min("key").alias("first")), "buckets")
     while True:
         least = written(live.groupBy("bucket").agg(F.min(place).alias("p"), F.count("*").alias("size")).where("size > 1"), "least")
         if least.isEmpty():
             break
         met = written(live.join(least, "bucket"), "met")
         if sets is None:  # of all nodes that ever meet another
-            firsts = keyed.groupBy("node").agg(F.min(F.struct("key", "h")).alias("r"))  # copies are combined before they move
-            one = firsts.join(met.select("node").distinct(), "node", "left_semi").select(F.col("r.key").alias("key"), F.col("r.h").alias("h"))
-            whole = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-            chosen = whole.join(one, ["key", "h"], "left_semi")
-            sets = written(sketches(chosen, "key", "text", with_sets=True).groupBy("node").agg(F.min("values").alias("values")), "sets")
+            sets = _sets(docs, keyed, met.select("node"), key, text)
         small, rest = met.where(F.col("size") <= few), met.where((F.col("size") > few) & (place != F.col("p")))
         others = small.select("bucket", F.col("node").alias("b"), F.col("first").alias("least"))
         pairs = small.join(others, "bucket").where("first > least").select(F.col("node").alias("a"), "b")

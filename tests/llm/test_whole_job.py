@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
 from cases import DOCUMENTS, table_of, words
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from test_packing_mixing_search import check_packing
 from tokenizers import Tokenizer
 
-from prospectrum.llm import near_copies, packing, quality_classifier
+from prospectrum.llm import near_copies, packing, quality_classifier, simhash
 
 
 @pytest.mark.parametrize(("unlabelled", "size"), [(2000, 401), (50, 50)])
@@ -60,7 +61,7 @@ def similarity(a: str, b: str) -> float:
 
 @pytest.mark.parametrize("few", [16, 1])
 def test_the_near_duplicate_stage_reaches_similarity_0_8(spark, sf_dir, monkeypatch, few):
-    monkeypatch.setattr(near_copies.keep_one, "__defaults__", ("doc_id", "text", 0.8, few))
+    monkeypatch.setattr(near_copies.keep_one, "__defaults__", ("doc_id", "text", 0.8, few, None))
     rows = planted_copies(60)
     base = rows[0][1].split()
     rows += [(20_000, " ".join(base[:60] + ["x"] + base[70:]), None, None, None), (20_001, " ".join(base[:150]), None, None, None)]
@@ -74,3 +75,20 @@ def test_the_near_duplicate_stage_reaches_similarity_0_8(spark, sf_dir, monkeypa
     found = sorted((r.doc_id for r in left.collect()), key=lambda k: (k is None, k or 0))
     assert found == sorted([*want, 0]) + [None]
     assert left.where("h <> 'own h'").isEmpty()
+
+
+def test_classes_of_fingerprints_alone_find_close_copies(spark, monkeypatch):
+    """Without min-hash buckets, the classes of operator 4 still catch what is
+    within their reach; a class's far member stays."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(900)}" for _ in range(400)]
+    rows = [(5, " ".join(base), None, None, None), (6, " ".join(base) + " tail", None, None, None), (7, " ".join(base[:399]), None, None, None), (3, " ".join(rng.sample(base, 400)), None, None, None), (None, " ".join(base), None, None, None)]
+    docs = table_of(spark, rows)
+    h = F.xxhash64("text")
+    groups = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), h.alias("h"), F.lit(3).cast("long").alias("component_id"))
+    keyed = near_copies.sketches(docs, "doc_id", "text").where("key is not null")
+    assert near_copies.class_pairs(keyed, groups).count() == 3  # all with the first document, which is like none
+    monkeypatch.setattr(near_copies, "bucket_keys", lambda hashes, bounds: np.zeros((int((np.diff(bounds) > 0).sum()), 0), np.uint64))
+    found = simhash.classes(docs, shingle_words=5)
+    left = near_copies.keep_one(docs, groups=found)
+    assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [3, 5]
