@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectrum.llm import line_dedup, mixing, near_copies, packing, quality_rules
+from prospectrum.llm import line_dedup, mixing, near_copies, packing, quality_rules, simhash
 from prospectrum.llm.common import table, written
 
 
@@ -35,9 +35,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of documents whose five-word shingles have similarity
-    0.8 or more, which is beyond the reach of operator 4's 64 bits: within buckets
-    of min-hashes, where sets of shingles are compared before one goes."""
-    return near_copies.keep_one(docs)
+    0.8 or more. The classes of operator 4, over five-word shingles, give the
+    first candidates; the pairs that 64 bits don't reach share buckets of
+    min-hashes. Before a document goes, whole sets of shingles are compared."""
+    groups = written(simhash.classes(docs, shingle_words=5), "classes")
+    return near_copies.keep_one(docs, groups=groups)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
