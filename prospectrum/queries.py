@@ -1028,6 +1028,31 @@ def _(v: Views) -> DataFrame:
     return rows.withColumn("headings", F.size("headings")).withColumn("json_ld", F.size("json_ld"))
 
 
+#: Small pages of five forms, made of each supplied page's number: structured
+#: data (H1, D7), hidden nodes (H3, H6), a list of links (H5), no main element
+#: (H7, H8), boilerplate by tag and class (H4); what is left of each beside it:
+#: structured data, blocks removed, headings, content.
+_N = "CAST(page_id AS STRING)"
+FORMS = [
+    (f"""concat('<html><title>T</title><script type="application/ld+json">{{"@type":"Organization","name":"Org ', {_N}, '"}}</script><script type="application/ld+json">[{{"@type":"Organization","name":"Org ', {_N}, '","url":"x"}},{{"@graph":[{{"@type":"LocalBusiness","name":"Shop"}}]}},{{"@type":"Thing","name":"no"}}]</script><script type="application/ld+json">{{bad</script><main><p>Body ', {_N}, '</p></main>')""", 2, 3, 0,
+     f"""concat('Body ', {_N}, chr(10), chr(10), 'STRUCTURED DATA:', chr(10), '{{"@type":"Organization","name":"Org ', {_N}, '"}}', chr(10), '{{"@type":"LocalBusiness","name":"Shop"}}')"""),
+    (f"""concat('<main><p>Keep ', {_N}, ' </p><div style="display:none">gone</div><p aria-hidden="true">Contact our team: hello', {_N}, '@acme.fi or call</p><b aria-hidden="true">short</b></main>')""", 0, 2, 0, f"concat('Keep ', {_N}, ' Contact our team: hello', {_N}, '@acme.fi or call')"),
+    (f"""concat('<div><p>Text about our services number ', {_N}, ' for customers</p><ul><li><a>one</a></li><li><a>two</a></li><li><a>three</a></li><li>four</li><li><a>five</a></li></ul></div>')""", 0, 0, 0, f"concat('Text about our services number ', {_N}, ' for customers')"),
+    (f"""concat('<div><p>short ', {_N}, '</p></div><section><h1>Head ', {_N}, '</h1> <p>', repeat('long text ', 12), '</p></section>')""", 0, 0, 1, f"concat('Head ', {_N}, ' ', trim(repeat('long text ', 12)))"),
+    (f"""concat('<div class="cookie-banner">We use cookies</div><nav>Menu</nav><main><h2>Sub ', {_N}, '</h2></main><footer>All rights</footer>')""", 0, 3, 1, f"concat('Sub ', {_N})"),
+]
+
+
+def _of_form(part: int) -> str:
+    return "CASE CAST(page_id % 5 AS INT) " + " ".join(f"WHEN {i} THEN {form[part]}" for i, form in enumerate(FORMS)) + " END"
+
+
+@query("h_page_forms", f"SELECT page_id, {_of_form(1)} AS json_ld, {_of_form(2)} AS blocks_removed, {_of_form(3)} AS headings, {_of_form(4)} AS content FROM pages")
+def _(v: Views) -> DataFrame:
+    rows = documents.clean_pages(v.pages.select("page_id", "url", F.expr(_of_form(0)).alias("html")))
+    return rows.select("page_id", F.size("json_ld").alias("json_ld"), "blocks_removed", F.size("headings").alias("headings"), F.get(F.split("body", "CONTENT:\n"), F.lit(1)).alias("content"))
+
+
 @query("h12_page_stats", f"SELECT page_id, input_bytes, output_chars, round(compression_ratio, 9) AS compression_ratio, blocks_removed, sections_preserved, low_quality, language FROM ({CLEANED})")
 def _(v: Views) -> DataFrame:
     stats = documents.clean_pages(v.pages).select("page_id", "input_bytes", "output_chars", F.round("compression_ratio", 9).alias("compression_ratio"), "blocks_removed", "sections_preserved", "low_quality", "language")
