@@ -38,6 +38,8 @@ from prospectrum.llm.textblock import TextBlock, blocks
 SAMPLE_DOCS, TABLE_BITS, MIN_SHARE, MASK_BITS = 1000, 18, 0.01, 64
 #: Parts into which a label's rows are dealt when they meet their count.
 SALTS = 64
+#: Up to so many sampled keys are broadcast (some 50 bytes each), so that texts stay where they are.
+BROADCAST_KEYS = 200_000
 UNKNOWN = "und"
 #: Multipliers of the filters' hash functions.
 HASHES = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))
@@ -161,8 +163,9 @@ def fit(docs: DataFrame, training: Column, key: str = "doc_id", label: str = "la
     """Filters of the n-grams that at least ``min_share`` of a language's
     sampled texts hold. training: which rows may be learned from."""
     rows = docs.where(training & F.col("text").isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("label"), "text")
-    chosen = sampled(rows, "key", "label", sample_docs)  # sample_docs keys of each language
-    texts = written(rows.join(chosen, ["key", "label"]).groupBy("key", "label").agg(F.min("text").alias("text")), "language-texts")
+    chosen = written(sampled(rows, "key", "label", sample_docs), "language-keys")  # sample_docs keys of each language
+    few = chosen.count() <= BROADCAST_KEYS
+    texts = written(rows.join(F.broadcast(chosen) if few else chosen, ["key", "label"]).groupBy("key", "label").agg(F.min("text").alias("text")), "language-texts")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

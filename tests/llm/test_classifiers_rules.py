@@ -315,8 +315,10 @@ def test_samples_stay_bounded_whatever_repeats(spark):
     assert auc([found[d] for d in found if d and d >= 1002], [1 - d % 2 for d in found if d and d >= 1002]) > 0.95
 
 
-def test_every_language_is_learned(spark):
+@pytest.mark.parametrize("few", [200_000, 10])
+def test_every_language_is_learned(spark, monkeypatch, few):
     """1,500 languages of two texts each, and one key that has 300 more."""
+    monkeypatch.setattr(language_id, "BROADCAST_KEYS", few)
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12))
     rows = [(2 * i + j, f"{w} " * 3 + w[::-1], f"l{i:04}", None, 0) for i in range(1500) for w in [word()] for j in range(2)]
