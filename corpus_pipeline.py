@@ -14,6 +14,9 @@ through every stage.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,19 @@ from prospectrum.llm import line_dedup, mixing, near_copies, packing, quality_ru
 from prospectrum.llm.common import table, written
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it, Python gets batches of so many whole texts at most, which
+    bounds what a worker and its executor hold beside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that all quality rules pass (operator 9)."""
     return quality_rules.kept(docs)
@@ -38,8 +54,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     0.8 or more. The classes of operator 4, over five-word shingles, give the
     first candidates; the pairs that 64 bits don't reach share buckets of
     min-hashes. Before a document goes, whole sets of shingles are compared."""
-    groups = written(simhash.classes(docs, shingle_words=5), "classes")
-    return near_copies.keep_one(docs, groups=groups)
+    with batches_of(spark, 1000):
+        groups = written(simhash.classes(docs, shingle_words=5), "classes")
+        return near_copies.keep_one(docs, groups=groups)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
