@@ -14,10 +14,14 @@ the documents. So further candidates come from min-hashes, and the sets themselv
    1 - (1 - s ** BAND_ROWS) ** BANDS, 0.9993 at 0.8.
 3. In a bucket of up to ``FEW`` nodes all pairs are compared, by whole sets. In
    a larger one the smallest node is compared with all others. Those that are
-   similar enough go; the smallest one is done with, and the rest meet again in
-   further rounds, until no bucket has two nodes. Copies of one text so leave
-   after few pairs; for unlike nodes that share a bucket, ``FEW`` grows fourfold
-   with each round, so rounds grow as the logarithm of their number.
+   similar enough go, so copies of one text leave after few pairs.
+4. What is left of the larger buckets meets by rare shingles. In an order by
+   frequency, of two sets that are similar enough the greater one's first fifth
+   and the smaller one's first ninth share a shingle, at places that leave room
+   for the overlap (prefix and position filters, both exact for ``SIMILARITY``). First each
+   shingle's smallest node is compared with the others, then all pairs that
+   pass the filters. So unlike nodes of a bucket are told apart by where their
+   own shingles stand, not pair by pair.
 
 So a document goes only for a smaller one of similarity ``SIMILARITY`` or more,
 and of two similar ones that share a bucket at most one stays.
@@ -35,7 +39,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -123,6 +127,40 @@ def _sets(docs: DataFrame, keyed: DataFrame, nodes: DataFrame, key: str, text: s
     return written(sketches(chosen, "key", "text", with_sets=True).groupBy("node").agg(F.min("values").alias("values")), "sets")
 
 
+def _rare_first(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(token, node, first, n, i): of each set of n shingles those in its prefix
+    that other sets have too, i being the place in an order by frequency."""
+    each = written(sets.join(nodes, "node", "left_semi").select("node", F.explode("values").alias("token")), "tokens")
+    counted = each.join(each.groupBy("token").agg(F.count("*").alias("f")), "token")
+    ordered = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("s")).withColumn("n", F.size("s"))
+    prefix = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * similarity - 1e-6) + 1).cast("int"))
+    placed = ordered.select("node", "n", F.posexplode(prefix).alias("i", "x")).where("x.f > 1")
+    return written(placed.join(nodes, "node").select("x.token", "node", "first", "n", "i"), "rare")
+
+
+def _fits(x: str, y: str, similarity: float) -> Column:
+    """Whether sets x and y, that share the shingle at these places and none before, can be similar enough."""
+    n, i, m, j = (F.col(c) for c in (f"{x}.n", f"{x}.i", f"{y}.n", f"{y}.i"))
+    return F.least(n - i, m - j) + 1e-6 >= (n + m) * (similarity / (1 + similarity))
+
+
+def rest_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> Iterator[DataFrame]:
+    """The nodes (node, first) that are similar to one with a smaller first: those
+    found by the smallest node of each shingle, then of the rest all others."""
+    rare = _rare_first(nodes, sets, similarity)
+    heads = rare.groupBy("token").agg(F.min(F.struct("first", "node", "n", "i")).alias("p"), F.count("*").alias("sets")).where("sets > 1")
+    star = rare.alias("x").join(heads, "token").where((F.col("first") > F.col("p.first")) & _fits("x", "p", similarity))
+    near = written(_similar(written(star.select(F.col("node").alias("a"), F.col("p.node").alias("b")).distinct(), "pairs"), sets, similarity).withColumnRenamed("a", "node"), "near-copies")
+    yield near
+    left = rare.join(near, "node", "left_anti")
+    short = left.where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * (2 * similarity / (1 + similarity)) - 1e-6))
+    order = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") > F.col("y.node")))
+    met = left.alias("x").join(short.alias("y"), (F.col("x.token") == F.col("y.token")) & order & _fits("x", "y", similarity) & (F.col("x.first") != F.col("y.first")))
+    later = F.col("x.first") > F.col("y.first")
+    pairs = met.select(F.when(later, F.col("x.node")).otherwise(F.col("y.node")).alias("a"), F.when(later, F.col("y.node")).otherwise(F.col("x.node")).alias("b")).distinct()
+    yield written(_similar(written(pairs, "pairs"), sets, similarity).withColumnRenamed("a", "node"), "near-copies")
+
+
 def class_pairs(keyed: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b): each node against that of its class's first document. groups:
     (key, h, component_id); a node in several classes counts in the least one."""
@@ -137,7 +175,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     (key, h, component_id) of ``simhash.classes``."""
     prints = written(sketches(docs, key, text), "sketches")
     keyed = prints.where("key is not null")
-    place, sets, gone = F.struct("first", "node"), None, []
+    place, gone = F.struct("first", "node"), []
     left = keyed
     if groups is not None:
         pairs = written(class_pairs(keyed, groups), "class-pairs")
@@ -145,20 +183,20 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
         gone.append(written(_similar(pairs, near, similarity).withColumnRenamed("a", "node"), "near-copies"))
         left = keyed.join(gone[0], "node", "left_anti")
     live = written(left.select(F.explode("values").alias("bucket"), "node", "key").groupBy("bucket", "node").agg(F.min("key").alias("first")), "buckets")
-    while True:
-        least = written(live.groupBy("bucket").agg(F.min(place).alias("p"), F.count("*").alias("size")).where("size > 1"), "least")
-        if least.isEmpty():
-            break
+    least = written(live.groupBy("bucket").agg(F.min(place).alias("p"), F.count("*").alias("size")).where("size > 1"), "least")
+    if not least.isEmpty():
         met = written(live.join(least, "bucket"), "met")
-        if sets is None:  # of all nodes that ever meet another
-            sets = _sets(docs, keyed, met.select("node"), key, text)
+        sets = _sets(docs, keyed, met.select("node"), key, text)
         small, rest = met.where(F.col("size") <= few), met.where((F.col("size") > few) & (place != F.col("p")))
         others = small.select("bucket", F.col("node").alias("b"), F.col("first").alias("least"))
         pairs = small.join(others, "bucket").where("first > least").select(F.col("node").alias("a"), "b")
         pairs = written(pairs.unionByName(rest.where("first > p.first").select(F.col("node").alias("a"), F.col("p.node").alias("b"))).distinct(), "pairs")
         gone.append(written(_similar(pairs, sets, similarity).withColumnRenamed("a", "node"), "near-copies"))
-        few *= 4
         live = written(rest.join(gone[-1], "node", "left_anti").select("bucket", "node", "first"), "live")
+        shared = live.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        nodes = written(live.join(shared, "bucket", "left_semi").groupBy("node").agg(F.min("first").alias("first")), "rest")
+        if not nodes.isEmpty():
+            gone += rest_pairs(nodes, sets, similarity)
     firsts = written(keyed.groupBy("node").agg(F.min("key").alias("first")), "firsts")
     for found in gone:  # no key comes before null, so all of a node's rows go
         firsts = firsts.join(found.withColumn("gone", F.lit(True)), "node", "left").select("node", F.when(F.col("gone").isNull(), F.col("first")).alias("first"))

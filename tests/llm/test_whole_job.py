@@ -92,3 +92,27 @@ def test_classes_of_fingerprints_alone_find_close_copies(spark, monkeypatch):
     found = simhash.classes(docs, shingle_words=5)
     left = near_copies.keep_one(docs, groups=found)
     assert sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [3, 5]
+
+
+def test_unlike_nodes_of_one_bucket_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Sixty far copies of one text in one bucket, and near copies of some of them."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(text: list[str], n: int, mark: str) -> list[str]:
+        return [f"{mark}{i}" if i in chosen else x for chosen in [set(rng.sample(range(300), n))] for i, x in enumerate(text)]
+
+    far = [changed(base, 14, f"far{k}-") for k in range(60)]
+    rows = [(k, " ".join(t), None, None, None) for k, t in enumerate(far)]
+    rows += [(100 + 10 * k + j, " ".join(changed(far[k], 2, f"near{k}-{j}-")), None, None, None) for k in range(0, 60, 12) for j in range(3)]
+    sizes, written = {}, near_copies.written
+
+    def counted(df, name):
+        sizes[name] = sizes.get(name, 0) + df.count()
+        return written(df, name)
+
+    monkeypatch.setattr(near_copies, "written", counted)
+    monkeypatch.setattr(near_copies, "bucket_keys", lambda hashes, bounds: np.ones((int((np.diff(bounds) > 0).sum()), 1), np.uint64))
+    left = near_copies.keep_one(table_of(spark, rows), few=4)
+    assert sorted(r.doc_id for r in left.collect()) == list(range(60))
+    assert sizes["pairs"] < 75 * 4  # of 75 nodes; all pairs are 2,775
