@@ -24,11 +24,22 @@ _OCTETS = "^[0-9]{1,3}([.][0-9]{1,3}){3}$"
 SITE = T.StructType([T.StructField(n, T.StringType()) for n in ("scheme", "host", "origin", "path", "domain", "website", "site_domain")])
 
 
+def _plain(scheme: str, host: str, path: str) -> tuple:
+    """The row of an address in which nothing is left to decode."""
+    bare = weburl.bare(host)
+    below, dotted = weburl.bare(bare), lambda name: name if "." in name else None
+    return scheme, host, f"{scheme}://{host}", path, dotted(bare), f"{scheme}://{bare}{path}".removesuffix("/"), dotted(below)
+
+
 def _sites(texts: pa.Array, complete: Callable[[str], str]) -> pa.Array:
-    """Each different text of a batch is parsed once."""
+    """Each different text of a batch is parsed once; plain ones are just cut."""
     named = texts.dictionary_encode()
     rows = []
     for text in named.dictionary.to_pylist():
+        found = weburl.PLAIN.fullmatch(text)
+        if found and (found[1] or ("://" not in text and complete("") != "")) and "xn--" not in (host := found[2].lower()):
+            rows.append(_plain(found[1] or "https", host, found[3] or "/"))
+            continue
         url, website = weburl.parse(complete(text)), weburl.website(text)
         rows.append(url and (url.scheme, url.host, url.origin, url.path, weburl.domain(text), website, website and weburl.domain(website)))
     columns = [pa.array([r[i] if r else None for r in rows], pa.string()) for i in range(len(SITE))]

@@ -13,6 +13,11 @@ from pyspark.sql.window import Window
 from prospectrum.functions.urls import is_blocked_domain, site
 
 
+def _first(rows: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
+    """The first row of each key; pruned before the shuffle as well."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
+
+
 def _with_site(rows: DataFrame, website: str) -> DataFrame:
     """rows with the normalized website and its domain."""
     return rows.withColumn("__site", site(website)).withColumns({"website": F.col("__site.website"), "domain": F.col("__site.site_domain")}).drop("__site")
@@ -20,27 +25,26 @@ def _with_site(rows: DataFrame, website: str) -> DataFrame:
 
 def dedup_candidates(candidates: DataFrame, website: str = "website", confidence: str = "confidence", ordinal: str = "ordinal") -> DataFrame:
     """By domain the most confident, the first seen on ties; invalid and
-    blocked sites are skipped."""
-    named = _with_site(candidates, website)
-    usable = named.where(F.col("domain").isNotNull() & ~is_blocked_domain("domain"))
-    order = Window.partitionBy("domain").orderBy(F.col(confidence).desc(), ordinal)
-    return usable.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    blocked sites are skipped. The first row of each spelling of a website is
+    found before any is parsed."""
+    order = [F.col(confidence).desc(), ordinal]
+    named = _with_site(_first(candidates, website, order), website)
+    return _first(named.where(F.col("domain").isNotNull() & ~is_blocked_domain("domain")), "domain", order)
 
 
 def dedup_upserts(inputs: DataFrame, website: str = "website", name: str = "name", ordinal: str = "ordinal") -> DataFrame:
     """By domain the first with a name, else the first. An invalid or
     blocked site fails the whole batch."""
-    named = _with_site(inputs, website)
+    order = [(F.coalesce(F.col(name), F.lit("")) == "").cast("int"), ordinal]
+    named = _with_site(_first(inputs, website, order), website)
     bad = F.col("domain").isNull() | is_blocked_domain("domain")
     checked = named.withColumn("domain", F.when(bad, F.raise_error(F.lit("invalid or blocked website"))).otherwise(F.col("domain")))
-    order = Window.partitionBy("domain").orderBy((F.coalesce(F.col(name), F.lit("")) == "").cast("int"), ordinal)
-    return checked.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return _first(checked, "domain", order)
 
 
 def first_by_domain(rounds: DataFrame, round_no: str = "round", ordinal: str = "ordinal") -> DataFrame:
     """Across discovery rounds, each domain where it came first."""
-    order = Window.partitionBy("domain").orderBy(round_no, ordinal)
-    return rounds.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    return _first(rounds, "domain", [round_no, ordinal])
 
 
 def upsert_companies(companies: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:

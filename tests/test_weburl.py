@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import random
+import re
 
+import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from prospectrum.functions import weburl
+from prospectrum.functions import urls, weburl
+from prospectrum.operators import entity
 
 HOSTS = [
     ("acme.fi", "acme.fi"), ("WWW.Acme.FI", "www.acme.fi"), ("a_b.acme.fi", "a_b.acme.fi"), ("müller.fi", "xn--mller-kva.fi"), ("BÜCHER.example", "xn--bcher-kva.example"), ("a%2Db.fi", "a-b.fi"),
@@ -74,3 +79,24 @@ def test_a_second_look_changes_nothing():
         website = weburl.website(made(rng)[0])
         if website and not website.endswith("/") and "www." not in website:
             assert weburl.website(website) == website
+
+
+def test_each_spelling_of_a_candidate_s_website_is_parsed_once(spark, monkeypatch):
+    rows = [(f"acme{i % 3}.fi{'/' * (i % 2)}", i % 10 / 10, i) for i in range(600)] + [(None, 0.5, 600), ("none", 0.5, 601)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(texts: pd.Series) -> pd.Series:
+        seen.add(len(texts))
+        return texts
+
+    monkeypatch.setattr(entity, "site", lambda x: urls.site(F.pandas_udf(counted, "string").asNondeterministic()(x)))
+    best = entity.dedup_candidates(spark.createDataFrame(rows, "website string, confidence double, ordinal long"))
+    assert sorted((r.domain, r.website, r.ordinal) for r in best.collect()) == [("acme0.fi", "https://acme0.fi", 9), ("acme1.fi", "https://acme1.fi", 19), ("acme2.fi", "https://acme2.fi", 29)]
+    assert seen.value == 8
+
+
+def test_plain_addresses_are_read_as_the_parser_reads_them(monkeypatch):
+    texts = ["acme.fi", "https://WWW.Acme.fi", "http://www.www.acme.fi/a.b/c/?q=http://x#y", "acme.fi/?u=http://x", "https://acme.fi//a/", "http://www.fi/", "a.xn--bcher-kva.fi/", "acme.fi/.a", "acme.fi./", "-a.b-.fi/~x/_/"]
+    tables = [[complete(pa.array(texts)).to_pylist() for complete in (urls._site, urls._parsed)]]
+    monkeypatch.setattr(weburl, "PLAIN", re.compile("(?!)"))
+    assert tables == [[complete(pa.array(texts)).to_pylist() for complete in (urls._site, urls._parsed)]]
