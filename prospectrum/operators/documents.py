@@ -86,7 +86,8 @@ def clean_pages(pages: DataFrame, key: str = "page_id", most: int = PAGE_CHARS)
     pages: key, url, html, and perhaps title and page_path. Pages that break
     the input rules are not cleaned, and results that break the output rules are left out; ``rejected_pages`` has both.
     """
-    return _cleaned(pages, key, most).where(F.size("__bad") == 0).drop("__bad")
+    good = (F.size("__in") == 0) & (F.size("__bad") == 0)
+    return _cleaned(pages, key, most).where(good).drop("__in", "__bad")
 
 
 def _checked(pages: DataFrame) -> DataFrame:
@@ -99,27 +100,34 @@ def _checked(pages: DataFrame) -> DataFrame:
 
 
 def _cleaned(pages: DataFrame, key: str, most: int) -> DataFrame:
-    """The cleaned pages, with the output rules that each breaks (``__bad``)."""
+    """Every page, cleaned if it may be, with the input rules (``__in``) and the
+    output rules (``__bad``) that it breaks. Each is checked and parsed once."""
     title = F.col("given_title") if "title" in pages.columns else F.lit(None).cast("string")
-    given = _checked(pages).where(F.size("__bad") == 0)
-    path = F.col("__path")
-    source = given.select(key, "html", "url", F.octet_length("html").alias("input_bytes"), path.alias("path"), *([F.col("title").alias("given_title")] if "title" in pages.columns else []))
+    path, good = F.col("__path"), F.size("__bad") == 0
+    source = _checked(pages).select(key, F.when(good, F.col("html")).alias("html"), "url", F.when(good, F.octet_length("html")).alias("input_bytes"), path.alias("path"), F.col("__bad").alias("__in"), *([F.col("title").alias("given_title")] if "title" in pages.columns else []))
     whole = parsed_pages(source).withColumn("title", F.coalesce(F.when(js_trim(title) != "", js_trim(title)), "title"))
     whole = whole.withColumn("body", within_budget(composed(F.col("url"), F.col("path"), F.col("title")), most))
     chars = js_length(F.col("body"))
-    return whole.withColumn("__bad", rules.cleaned_errors(F.col("body"), F.col("headings"))).select(
+    return whole.withColumn("__bad", F.when(F.size("__in") == 0, rules.cleaned_errors(F.col("body"), F.col("headings")))).select(
         key, "url", "path", "title", "description", "language", "headings", "json_ld", "body", "input_bytes", chars.alias("output_chars"),
         F.when(F.col("input_bytes") > 0, chars / F.col("input_bytes")).otherwise(0.0).alias("compression_ratio"), "blocks_removed",
-        F.size("headings").alias("sections_preserved"), (chars < MIN_QUALITY_CHARS).alias("low_quality"), "__bad",
+        F.size("headings").alias("sections_preserved"), (chars < MIN_QUALITY_CHARS).alias("low_quality"), "__in", "__bad",
     )
 
 
+def judged_pages(pages: DataFrame, key: str = "page_id", most: int = PAGE_CHARS) -> DataFrame:
+    """Every page with its code and message: it breaks the input rules
+    (INVALID_INPUT), its result breaks the output rules (CLEANING_FAILED), or it
+    is CLEANED and there is no message."""
+    message = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("invalid "), x)), "; ")
+    code = F.when(F.size("__in") > 0, "INVALID_INPUT").when(F.size("__bad") > 0, "CLEANING_FAILED").otherwise("CLEANED")
+    return _cleaned(pages, key, most).select(key, code.alias("code"), message(F.when(F.size("__in") > 0, F.col("__in")).otherwise(F.col("__bad"))).alias("message"))
+
+
 def rejected_pages(pages: DataFrame, key: str = "page_id", most: int = PAGE_CHARS) -> DataFrame:
     """Pages that break the input rules (INVALID_INPUT) and results that
     break the output rules (CLEANING_FAILED), each with its message."""
-    message = F.array_join(F.transform("__bad", lambda x: F.concat(F.lit("invalid "), x)), "; ").alias("message")
-    wrong = lambda rows, code: rows.where(F.size("__bad") > 0).select(key, F.lit(code).alias("code"), message)
-    return wrong(_checked(pages), "INVALID_INPUT").unionByName(wrong(_cleaned(pages, key, most), "CLEANING_FAILED"))
+    return judged_pages(pages, key, most).where("code <> 'CLEANED'")
 
 
 def company_documents(pages: DataFrame, company: str, position: str, most: int = TOTAL_CHARS) -> DataFrame:

@@ -1069,8 +1069,7 @@ def _(v: Views) -> DataFrame:
     k = F.col("page_id")
     html = F.when(k % 11 == 0, F.rpad("html", 500_001, "x")).when(k % 13 == 0, F.replace("html", F.lit("<article>"), F.lit(f"<article><h2>{'long ' * 101}</h2>"))).otherwise(F.col("html"))
     given = v.pages.select("page_id", F.when(k % 7 == 0, "not an address").otherwise(F.col("url")).alias("url"), F.when(k % 5 > 0, html).alias("html"))
-    kept = documents.clean_pages(given).select("page_id", F.lit("CLEANED").alias("code"), F.lit("").alias("message"))
-    return documents.rejected_pages(given).unionByName(kept)
+    return documents.judged_pages(given)
 
 
 @query(

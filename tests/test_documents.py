@@ -92,3 +92,16 @@ def test_hints_follow_the_name(spark):
     rows = [(1, html, "Jane Doe, CEO"), (2, html, "unknown"), (3, None, "Jane Doe"), (4, html, None)]
     got = {r.page_id: (r.email, r.linkedin_url) for r in documents.contact_hints(spark.createDataFrame(rows, "page_id long, html string, decision_maker string"), "page_id").collect()}
     assert got[1] == ("jane.doe@acme.fi", "https://linkedin.com/in/janedoe") and got[2] == got[3] == got[4] == (None, None)
+
+
+def test_rejected_and_cleaned_pages_come_from_one_pass(spark, sf_dir):
+    from prospectrum.queries import QUERIES
+
+    plan = QUERIES["h13_rejected_pages"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Relation [") == 1
+
+
+def test_references_without_a_semicolon_are_read(spark):
+    pages = spark.createDataFrame([(1, "https://acme.fi/", "<title>A &amp; B&amp</title><main><h1>C&amp</h1><p>D&ampE &am</p></main>")], "page_id long, url string, html string")
+    row = documents.clean_pages(pages).first()
+    assert (row.title, row.headings[0].text) == ("A & B&", "C&") and "D&E &am" in row.body
