@@ -21,8 +21,12 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+#: The characters of that class.
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]))
+
+
 def js_trim(x: Column | str) -> Column:
-    return F.regexp_replace(col(x), f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col(x), F.lit(_SPACES))
 
 
 def squeezed(x: Column | str) -> Column:
@@ -31,8 +35,7 @@ def squeezed(x: Column | str) -> Column:
 
 
 def is_unknown(x: Column | str) -> Column:
-    trimmed = js_trim(F.coalesce(col(x), F.lit("")))
-    return (trimmed == "") | (F.lower(trimmed) == "unknown")
+    return F.lower(js_trim(F.coalesce(col(x), F.lit("")))).isin("", "unknown")
 
 
 def display_value(x: Column | str) -> Column:
