@@ -1189,8 +1189,8 @@ def _(v: Views) -> DataFrame:
 
 @query("o10_deficit_slices", "SELECT job_id, company_id, part_id, line FROM (SELECT r.*, company_limit, row_number() OVER (PARTITION BY job_id ORDER BY part_id, company_id, line) AS n FROM {results} r JOIN {jobs} j USING (job_id)) WHERE n <= greatest(0, company_limit - 2)")
 def _(v: Views) -> DataFrame:
-    rows = v.results.join(v.jobs.select("job_id", "company_limit"), "job_id")
-    return relational.deficit_slice(rows, ["job_id"], [F.col("part_id"), F.col("company_id"), F.col("line")], F.col("company_limit"), F.lit(2)).select("job_id", "company_id", "part_id", "line")
+    results, limits = v.results.select("job_id", "company_id", "part_id", "line"), v.jobs.select("job_id", "company_limit")
+    return relational.deficit_slices(results, limits, ["job_id"], [F.col("part_id"), F.col("company_id"), F.col("line")], F.col("company_limit"), F.lit(2)).select(results.columns)
 
 
 @query("u1_joined_turns", "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn, role)) AS body, count(*) AS turns FROM conversations GROUP BY conv_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from prospectrum.constants import CRAWL_PATHS, PLACEHOLDER_PHONES
 from prospectrum.functions import contacts, profiles, text, urls
+from prospectrum.operators import relational
 from prospectrum.sources import ports, tables
 
 
@@ -162,3 +163,23 @@ def test_tables_of_a_database(spark):
     rows.write.jdbc(url, "companies", mode="overwrite")
     back = tables.jdbc_table(spark, url, "companies", "id", 0, 100, 4)
     assert back.rdd.getNumPartitions() == 4 and sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_trimming_takes_white_space_of_ecmascript_alone(spark):
+    rows = spark.createDataFrame([("﻿  a \u0085",), ("\n b c \n",), (" \t",), (None,)], "x string")
+    trimmed = rows.select(text.js_trim("x").alias("x"), text.is_unknown("x").alias("u"))
+    assert [tuple(r) for r in trimmed.collect()] == [("a \u0085", False), ("b c", False), ("", True), (None, True)]
+    assert "regexp" not in trimmed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_deficit_slices_hold_one_sort_of_the_rows(spark):
+    rows = spark.createDataFrame([(k, i) for k in (1, 2, 3, 4) for i in (3, 1, 2)], "job_id long, part_id long")
+    limits = spark.createDataFrame([(1, 4), (2, 2), (3, None), (5, 9)], "job_id long, company_limit int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        taken = relational.deficit_slices(rows, limits, ["job_id"], [F.col("part_id")], F.col("company_limit"), F.lit(2))
+        assert taken._jdf.queryExecution().executedPlan().toString().count("Sort [") == 2
+        assert sorted((r.job_id, r.part_id) for r in taken.collect()) == [(1, 1), (1, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
