@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from prospectrum.constants import CRAWL_PATHS, PLACEHOLDER_PHONES
+from prospectrum.constants import CRAWL_PATHS, DIAL_CODES, PLACEHOLDER_PHONES
 from prospectrum.functions import contacts, profiles, text, urls
 from prospectrum.operators import relational
 from prospectrum.sources import ports, tables
@@ -172,6 +172,15 @@ def test_trimming_takes_white_space_of_ecmascript_alone(spark):
     assert "regexp" not in trimmed._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_dial_codes_are_looked_up_not_tried_one_by_one(spark):
+    rng = random.Random(5)
+    digits = [rng.choice([*DIAL_CODES, "99", "0", ""]) + "".join(rng.choices("0123456789", k=rng.randint(0, 14))) for _ in range(2000)] + [None, ""]
+    want = [next((c for c in DIAL_CODES if d.startswith(c) and 6 <= len(d) - len(c) <= 12), None) if d is not None else None for d in digits]
+    assert values(spark, contacts.dial_code(F.col("a")), digits) == want
+    plan = spark.createDataFrame([], "a string").select(contacts.dial_code(F.col("a")))._jdf.queryExecution().analyzed().toString()
+    assert "lambda" not in plan
+
+
 def test_deficit_slices_hold_one_sort_of_the_rows(spark):
     rows = spark.createDataFrame([(k, i) for k in (1, 2, 3, 4) for i in (3, 1, 2)], "job_id long, part_id long")
     limits = spark.createDataFrame([(1, 4), (2, 2), (3, None), (5, 9)], "job_id long, company_limit int")

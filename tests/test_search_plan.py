@@ -81,6 +81,65 @@ def test_no_jobs(spark):
     assert results.count() == summaries.count() == 0
 
 
+def pool(row):
+    """Four sites from a pool that all jobs share, two of them seen if the job has some; the second twice."""
+    seen = len(set(filter(None, row["excluded"].split("\n"))))
+    first = row["job_id"] % 3 + max(0, seen - 2)
+    sites = [(f"https://c{i}.fi", 0.9 - i % 4 / 10) for i in range(first, min(first + 4, 14))]
+    return [{"companyName": w, "website": w, "confidence": c} for w, c in [*sites, *[(f"{w}/x", 0.65) for w, _ in sites[1:2]]]]
+
+
+def by_number(row):
+    n = int(row["company_id"][1:].split(".")[0]) % 6
+    if n == 0:
+        raise ValueError("timeout")
+    return {"companyName": "A", "description": "x" * 30} if n == 1 else {"companyName": "A", "email": "info@acme.fi"} if n == 2 else GOOD
+
+
+def plain_search(job_id, limit):
+    """The rounds of one job over ``pool`` and ``by_number``: company_id to (rank, stage, website)."""
+    stages, rows, tried = ["ENRICH_FAILED", "REMOVED_COMPANY", "REMOVED", "ENRICHED", "ENRICHED", "ENRICHED"], {}, 0
+    for _ in range(search.OPEN_ROUNDS if limit is None else search.TARGET_ROUNDS):
+        deficit = None if limit is None else max(0, limit - sum(s == "ENRICHED" for _, s, _ in rows.values()))
+        wanted = None if limit is None else min(deficit, search.ATTEMPTS_PER_LEAD * limit - tried)
+        if wanted is not None and wanted <= 0:
+            break
+        best, greatest = {}, max((r for r, _, _ in rows.values()), default=0)
+        for i, x in enumerate(pool({"job_id": job_id, "excluded": "\n".join(w for _, _, w in rows.values())})):
+            domain, place = x["website"].split("/")[2], (-x["confidence"], i, x["website"])
+            best[domain] = min(place, best.get(domain, place))
+        found = sorted((place, domain) for domain, place in best.items())[:wanted]
+        new = {d: (greatest + n, stages[int(d[1:-3]) % 6], w) for n, ((_, _, w), d) in enumerate(found, 1) if d not in rows}
+        rows, tried = rows | new, tried + len(found)
+        if not new:
+            break
+    return rows
+
+
+def test_rounds_are_those_of_a_plain_loop(spark):
+    limits = [1, 2, 3, 5, 8, 20, None, 0, None, 4]
+    results, s = run(spark, pool, by_number, *limits)
+    want = {i: plain_search(i, limit) for i, limit in enumerate(limits)}
+    gone = {c for rows in want.values() for c, (_, stage, _) in rows.items() if stage == "REMOVED_COMPANY"}
+    assert {(r.job_id, r.company_id, r["rank"], r.stage, r.website) for r in results} == {(i, c, *row) for i, rows in want.items() for c, row in rows.items() if not row[1].startswith("REMOVED") and c not in gone}
+    for i, rows in want.items():
+        stages = [stage for _, stage, _ in rows.values()]
+        assert (s[i].discovered, s[i].enriched, s[i].removed, s[i].failed) == (len(rows), stages.count("ENRICHED"), sum(x.startswith("REMOVED") for x in stages), stages.count("ENRICH_FAILED"))
+
+
+def test_no_round_writes_the_results_of_those_before(spark, monkeypatch):
+    rows, plain = {}, search.written
+
+    def counted(df, name):
+        table = plain(df, name)
+        rows[name] = [*rows.get(name, []), table.count()]
+        return table
+
+    monkeypatch.setattr(search, "written", counted)
+    _, s = run(spark, fresh, lambda row: None, 4, 2, None)
+    assert len(rows["results"]) > 3 and sum(rows["results"]) == sum(x.discovered for x in s.values())
+
+
 def test_retries_double_or_step():
     for growth, delays in (("exponential", [0.1, 0.2, 0.4]), ("linear", [0.1, 0.2, 0.3])):
         calls, waits = [], []
